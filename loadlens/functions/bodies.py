@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from loadlens.functions.template import display_template, json_document
-from loadlens.functions.text import lines
 
 # Bulk actions in the order they are looked for.
 BULK_ACTIONS = ("index", "create", "update", "delete")
@@ -25,8 +24,8 @@ RESPONSE_SCHEMA = (
 
 # -- requests -------------------------------------------------------------------------------
 
-def bulk_lines(body: Column) -> Column:
-    """Per non-blank line of a bulk body: the action it names (NULL if none) and its index."""
+def bulk_lines(rows: Column) -> Column:
+    """Per line of a bulk body: the action it names (NULL if none) and its index."""
 
     def read(line: Column) -> Column:
         whole = F.when(line.rlike(r"^\s*\{.*\}\s*$"), line)
@@ -37,7 +36,7 @@ def bulk_lines(body: Column) -> Column:
         index = F.coalesce(*[F.when(parsed[a].isNotNull(), F.coalesce(parsed[a]["_index"], F.lit(""))) for a in BULK_ACTIONS])
         return F.struct(action.alias("action"), index.alias("index"))
 
-    return F.transform(F.transform(lines(body), read), name)
+    return F.transform(F.transform(rows, read), name)
 
 
 def bulk_doc_count(parsed: Column) -> Column:
@@ -70,9 +69,8 @@ def bulk_template(parsed: Column) -> Column:
     return F.when(F.size(actions) > 0, display_template(text)).otherwise(F.lit(""))
 
 
-def msearch_pairs(body: Column) -> Column:
+def msearch_pairs(rows: Column) -> Column:
     """ARRAY<STRUCT<header, text, document>> of the usable (header, search) line pairs, in order."""
-    rows = lines(body)
     starts = F.when(F.size(rows) >= 2, F.sequence(F.lit(0), F.size(rows) - 2, F.lit(2)))
 
     def pair(at: Column) -> Column:

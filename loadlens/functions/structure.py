@@ -62,72 +62,87 @@ def count_keyed(found: Column, count: str) -> Column:
     return F.size(F.filter(found, lambda key: key.isin(*keys)))
 
 
-def _counted_children(state, token, top, element, size, name, role) -> Column:
-    """One bool count: elements of its list, or the single object under its key."""
-    single = (top == "b") & token.isin(f'"{name}":{{', f'"{name}":{{}}')
-    return state[name] + F.when(element & (top == role), size).when(single, 1).otherwise(0)
+_COUNTS = ("must", "should", "filter", "must_not", "terms", "agg")
+_BOOL_LISTS = {"must": "M", "should": "S", "filter": "F", "must_not": "X"}
+
+
+def _shaped(token: Column) -> Column:
+    """Token with what the fold asks about it, worked out once."""
+    first, last = F.substring(token, 1, 1), F.substring(token, -1, 1)
+    run = last == '"'
+    closes = first.isin("}", "]")
+    opens = last.isin("{", "[")
+    return F.struct(
+        token.alias("text"),
+        F.when(closes, -F.length(token)).when(opens, 1).otherwise(0).alias("move"),
+        (run | first.isin("{", "[")).alias("element"),
+        F.when(run, ((F.length(token) + 1) / 4).cast("int")).otherwise(1).alias("size"),
+        ((last == "{") | F.endswith(token, F.lit("{}"))).alias("object"),
+    )
 
 
 def nested_counts(scrubbed: Column) -> Column:
     """STRUCT<must, should, filter, must_not, terms, agg> of a scrubbed body."""
-    tokens = F.regexp_extract_all(scrubbed, F.lit(_BODY_TOKEN), F.lit(1))
+    tokens = F.transform(F.regexp_extract_all(scrubbed, F.lit(_BODY_TOKEN), F.lit(1)), _shaped)
     start = F.struct(
         F.lit("").alias("stack"),
+        F.lit("").alias("top"),
         F.array(F.lit(0)).alias("base"),
-        *[F.lit(0).alias(n) for n in ("must", "should", "filter", "must_not", "terms", "agg")],
+        *[F.lit(0).alias(name) for name in _COUNTS],
     )
 
     def step(state: Column, token: Column) -> Column:
-        stack, top = state["stack"], F.right(state["stack"], F.lit(1))
-        first, last = F.left(token, F.lit(1)), F.right(token, F.lit(1))
-        closing = first.isin("}", "]")
-        pushes = last.isin("{", "[")
-        run = last == '"'
-        element = run | first.isin("{", "[")
-        size = F.when(run, ((F.length(token) + 1) / 4).cast("int")).otherwise(1)
-        opens_object = last == "{"
+        stack, top = state["stack"], state["top"]
+        text, move, element, size = token["text"], token["move"], token["element"], token["size"]
+        kept = F.length(stack) + move
+        closes, opens = move < 0, move > 0
 
         role = (
-            F.when(stack == "", "R")
+            F.when(top == "", "R")
             .when(top == "x", "x")
-            .when(top.isin("R", "N") & token.isin('"aggs":{', '"aggregations":{'), "C")
-            .when(top == "C", F.when(opens_object, "N").otherwise("x"))
+            .when(top.isin("R", "N") & text.isin('"aggs":{', '"aggregations":{'), "C")
+            .when(top == "C", F.when(token["object"], "N").otherwise("x"))
             .when(top == "N", "x")
-            .when(top == "R", F.when(F.regexp_like(token, F.lit('^"(query|script_fields)":')), "q").otherwise("x"))
-            .when(token == '"bool":{', "b")
-            .when(token == '"terms":{', "t")
-            .when((top == "t") & (last == "[") & ~element, "v")
-            .when((top == "b") & (token == '"must":['), "M")
-            .when((top == "b") & (token == '"should":['), "S")
-            .when((top == "b") & (token == '"filter":['), "F")
-            .when((top == "b") & (token == '"must_not":['), "X")
-            .otherwise("q")
+            .when(
+                top == "R",
+                F.when(text.isin('"query":{', '"query":[', '"script_fields":{', '"script_fields":['), "q").otherwise("x"),
+            )
+            .when(text == '"bool":{', "b")
+            .when(text == '"terms":{', "t")
+            .when((top == "t") & ~token["object"] & ~element, "v")
         )
-        named = (top == "C") & (opens_object | F.endswith(token, F.lit("{}")))
+        for name, letter in _BOOL_LISTS.items():
+            role = role.when((top == "b") & (text == f'"{name}":['), letter)
+        role = role.otherwise("q")
+
+        def children(name: str, letter: str) -> Column:
+            """Elements of the list under a bool key, or the single object there."""
+            single = (top == "b") & text.isin(f'"{name}":{{', f'"{name}":{{}}')
+            return F.when(element & (top == letter), state[name] + size).when(single, state[name] + 1).otherwise(state[name])
+
         # 'aggs' wins over 'aggregations' of the same object: forget what the latter added.
-        wins = top.isin("R", "N") & token.isin('"aggs":{', '"aggs":[')
-        agg = F.when(named, state["agg"] + 1).when(wins, F.element_at(state["base"], -1)).otherwise(state["agg"])
-        kept = F.length(stack) - F.length(token)
+        wins = top.isin("R", "N") & text.isin('"aggs":{', '"aggs":[')
+        agg = (
+            F.when((top == "C") & token["object"], state["agg"] + 1)
+            .when(wins, F.element_at(state["base"], -1))
+            .otherwise(state["agg"])
+        )
         return F.struct(
-            F.when(closing, F.left(stack, kept)).when(pushes, F.concat(stack, role)).otherwise(stack).alias("stack"),
-            F.when(closing, F.slice(state["base"], F.lit(1), kept + 1))
-            .when(pushes, F.array_append(state["base"], agg))
+            F.when(closes, F.substr(stack, F.lit(1), kept)).when(opens, F.concat(stack, role)).otherwise(stack).alias("stack"),
+            F.when(closes, F.substr(stack, kept, F.lit(1))).when(opens, role).otherwise(top).alias("top"),
+            F.when(closes, F.slice(state["base"], F.lit(1), kept + 1))
+            .when(opens, F.array_append(state["base"], agg))
             .otherwise(state["base"]).alias("base"),
-            *[
-                _counted_children(state, token, top, element, size, name, letter).alias(name)
-                for name, letter in (("must", "M"), ("should", "S"), ("filter", "F"), ("must_not", "X"))
-            ],
-            (state["terms"] + F.when(element & (top == "v"), size).otherwise(0)).alias("terms"),
+            *[children(name, letter).alias(name) for name, letter in _BOOL_LISTS.items()],
+            F.when(element & (top == "v"), state["terms"] + size).otherwise(state["terms"]).alias("terms"),
             agg.alias("agg"),
         )
 
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("must", "should", "filter", "must_not", "terms", "agg")])
     counted = F.aggregate(
-        tokens, start, step,
-        lambda s: F.struct(*[s[n].alias(n) for n in ("must", "should", "filter", "must_not", "terms", "agg")]),
+        tokens, start, step, lambda state: F.struct(*[state[name].alias(name) for name in _COUNTS])
     )
-    worth_it = scrubbed.rlike(r'"(?:bool|terms|aggs|aggregations)":\{')
-    return F.when(worth_it, counted).otherwise(zero)
+    zero = F.struct(*[F.lit(0).alias(name) for name in _COUNTS])
+    return F.when(scrubbed.rlike(r'"(?:bool|terms|aggs|aggregations)":\{'), counted).otherwise(zero)
 
 
 def geo_vertices(query_text: Column) -> Column:

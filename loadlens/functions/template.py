@@ -31,8 +31,9 @@ def json_document(text: Column) -> Column:
 
 
 def canonical_json(document: Column) -> Column:
-    """Compact, key-sorted text of a ``json_document``; NULL when there is none or it holds two values."""
-    return F.regexp_extract(F.to_json(document), r"(?s)^\[(.*)\]$", 1)
+    """Compact, key-sorted text of a ``json_document``."""
+    text = F.to_json(document)
+    return F.substr(text, F.lit(2), F.length(text) - 2)
 
 
 def scrub(canonical: Column) -> Column:
@@ -43,8 +44,11 @@ def scrub(canonical: Column) -> Column:
 def display_template(scrubbed: Column) -> Column:
     """Stored form of a template: ', ' and ': ' separators, ASCII only, '' for an empty body."""
     spaced = F.regexp_replace(scrubbed, _SPACE, "$1$2 ")
-    text = F.when(spaced.rlike(r"[^\x00-\x7F]"), _ascii(spaced)).otherwise(spaced)
-    return F.when(scrubbed.isNull() | (scrubbed == "{}"), F.lit("")).otherwise(text)
+    return (
+        F.when(scrubbed.isNull() | (scrubbed == "{}"), F.lit(""))
+        .when(scrubbed.rlike(r"[^\x00-\x7F]"), _ascii(spaced))
+        .otherwise(spaced)
+    )
 
 
 def _ascii(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadlens.functions import bodies, identity, paths
 from loadlens.functions.structure import KEYED_CLAUSES, count_keyed, geo_vertices, keyed_clauses, nested_counts
 from loadlens.functions.template import canonical_json, display_template, json_document, scrub
-from loadlens.functions.text import is_truncated, seconds_to_ms, truncate_to_ms, truncate_utf8, whole_number
+from loadlens.functions.text import is_truncated, lines, seconds_to_ms, truncate_to_ms, truncate_utf8, whole_number
 from loadlens.operators.baselines import baseline_columns, join_baselines
 from loadlens.operators.scoring import QUERY_OPERATIONS, ScoringModel, with_cost_indicators, with_stress
 from loadlens.schema import DEAD_LETTER, RECORD
@@ -37,11 +37,13 @@ def with_parsed_bodies(df: DataFrame) -> DataFrame:
     """Parse each body once: the response into its metrics, the request by what its operation needs."""
     operation = F.col("request_operation")
     plain = ~operation.isin("_bulk", "_msearch")
+    # Lines are split in a step of their own: the folds below refer to them many times.
+    df = df.withColumn("rows", F.when(~plain, lines(F.col("request_body"))))
     return df.withColumns({
         "response": bodies.response_document(F.col("response_body")),
         "document": F.when(plain, json_document(F.col("request_body"))),
-        "bulk": F.when(operation == "_bulk", bodies.bulk_lines(F.col("request_body"))),
-        "pairs": F.when(operation == "_msearch", bodies.msearch_pairs(F.col("request_body"))),
+        "bulk": F.when(operation == "_bulk", bodies.bulk_lines(F.col("rows"))),
+        "pairs": F.when(operation == "_msearch", bodies.msearch_pairs(F.col("rows"))),
     })
 
 

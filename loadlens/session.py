@@ -54,3 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="loadlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip(os.sep)
+
+
+def spread(df):
+    """Small inputs over all cores.
+
+    Building a record costs far more than reading its payload, so an input that arrives in fewer
+    partitions than there are cores is redistributed first.  Inputs of cluster size have more splits
+    than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlens.schema import PAYLOAD
+from loadlens.session import spread
 from loadlens.sources.payloads import drop_unusable
 
 _HEADERS = {
@@ -171,7 +172,8 @@ CONTENT_LENGTH = "CASE WHEN k % 19 = 0 THEN '' ELSE CAST(length(request_body) AS
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log as payloads, unusable rows already dropped."""
-    return drop_unusable(log_of_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return drop_unusable(log_of_events(events))
 
 
 def log_of_events(events: DataFrame) -> DataFrame:
