@@ -249,8 +249,8 @@ def baselines() -> dict[str, str]:
                              f"WHERE \"timestamp\" >= TIMESTAMP '2024-01-10 11:00:00' AND \"timestamp\" < TIMESTAMP '2024-01-10 12:00:00' AND {queries}",
         "baseline_asof": f", {ticks} SELECT tick, round(baseline_took_ms, 7) AS baseline_took_ms, "
                          "round(baseline_shards_total, 7) AS baseline_shards_total FROM ticks",
-        "scored_asof": f", {ticks} SELECT {OP}, round(sum(round({took_w} * ({TOOK} / coalesce(baseline_took_ms, 100.0)), 4)), 3) AS took, "
-                       f"round(sum(round({shards_w} * (response_shards_total / coalesce(baseline_shards_total, 5.0)), 4)), 3) AS shards, count(*) AS n "
+        "scored_asof": f", {ticks} SELECT {OP}, round(sum(round({took_w} * ({TOOK} / coalesce(baseline_took_ms, 100.0)), 4)), 2) AS took, "
+                       f"round(sum(round({shards_w} * (response_shards_total / coalesce(baseline_shards_total, 5.0)), 4)), 2) AS shards, count(*) AS n "
                        "FROM records LEFT JOIN ticks ON tick = date_trunc('minute', \"timestamp\") GROUP BY 1",
     }
 

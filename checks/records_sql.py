@@ -169,7 +169,7 @@ counted AS (
           CASE type WHEN 'ARRAY' THEN json_array_length(value) WHEN 'OBJECT' THEN 1 ELSE 0 END AS kids FROM nodes) n
   LEFT JOIN nodes p ON p.doc = n.doc AND p.id = n.parent
   GROUP BY n.doc
-)""".replace("\\\\", "\\")
+)"""
 
 _CLAUSES = (
     "bool", "bool_must", "bool_should", "bool_filter", "bool_must_not", "terms_values", "knn", "fuzzy", "geo_bbox",

@@ -158,7 +158,7 @@ def _scored_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = build_records(log, baselines=ticks, decompress=False)
     return rounded(scored.groupBy("request_operation").agg(
         F.sum("stress_components_took").alias("took"), F.sum("stress_components_shards").alias("shards"),
-        F.count(F.lit(1)).alias("n")), 3)
+        F.count(F.lit(1)).alias("n")), 2)
 
 
 # -- compressed bodies ----------------------------------------------------------------------

@@ -10,8 +10,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.operators.scoring import Baselines
-
 # Traffic the medians are taken over, and the measures they replace.
 BASELINE_OPERATIONS = ("_search", "_msearch", "_count")
 _MEASURES = {"took_ms": "response_es_took_ms", "shards_total": "response_shards_total"}
@@ -82,12 +80,3 @@ def join_baselines(df: DataFrame, baselines: DataFrame | None) -> DataFrame:
     # One row per minute.  Left to the optimizer: it broadcasts when statistics say that it is small,
     # and AQE splits a hot minute when it is not.
     return df.withColumn("tick", minute_of(F.col("timestamp"))).join(baselines, "tick", "left").drop("tick")
-
-
-def baseline_columns(df: DataFrame, static: Baselines) -> dict[str, Column]:
-    """Baseline per measure: the joined one where usable, else the static one."""
-    return {
-        name: F.coalesce(F.col(f"baseline_{name}"), F.lit(getattr(static, name)))
-        for name in _MEASURES
-        if f"baseline_{name}" in df.columns
-    }

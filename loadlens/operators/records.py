@@ -12,9 +12,10 @@ from loadlens.functions import bodies, identity, paths
 from loadlens.functions.structure import KEYED_CLAUSES, count_keyed, geo_vertices, keyed_clauses, nested_counts
 from loadlens.functions.template import canonical_json, display_template, json_document, scrub
 from loadlens.functions.text import is_truncated, lines, seconds_to_ms, truncate_to_ms, truncate_utf8, whole_number
-from loadlens.operators.baselines import baseline_columns, join_baselines
-from loadlens.operators.scoring import QUERY_OPERATIONS, ScoringModel, with_cost_indicators, with_stress
+from loadlens.operators.baselines import join_baselines
+from loadlens.operators.scoring import DEFAULT_MODEL, QUERY_OPERATIONS, ScoringModel, with_cost_indicators, with_stress
 from loadlens.schema import DEAD_LETTER, RECORD
+from loadlens.session import built_once
 from loadlens.sources.decompression import decompress_bodies
 from loadlens.sources.payloads import clean_payload
 
@@ -33,22 +34,27 @@ def with_operation(df: DataFrame) -> DataFrame:
     })
 
 
-def with_parsed_bodies(df: DataFrame) -> DataFrame:
-    """Parse each body once: the response into its metrics, the request by what its operation needs."""
+@built_once
+def _parsed_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     operation = F.col("request_operation")
     plain = ~operation.isin("_bulk", "_msearch")
-    # Lines are split in a step of their own: the folds below refer to them many times.
-    df = df.withColumn("rows", F.when(~plain, lines(F.col("request_body"))))
-    return df.withColumns({
+    # Lines are split in a step of their own: the folds refer to them many times.
+    return {"rows": F.when(~plain, lines(F.col("request_body")))}, {
         "response": bodies.response_document(F.col("response_body")),
         "document": F.when(plain, json_document(F.col("request_body"))),
         "bulk": F.when(operation == "_bulk", bodies.bulk_lines(F.col("rows"))),
         "pairs": F.when(operation == "_msearch", bodies.msearch_pairs(F.col("rows"))),
-    })
+    }
 
 
-def with_problem(df: DataFrame) -> DataFrame:
-    """``error``: why the request cannot become a record, NULL when it can."""
+def with_parsed_bodies(df: DataFrame) -> DataFrame:
+    """Parse each body once: the response into its metrics, the request by what its operation needs."""
+    split, parsed = _parsed_columns()
+    return df.withColumns(split).withColumns(parsed)
+
+
+@built_once
+def _problem_columns() -> tuple[Column, Column]:
     operation, response = F.col("request_operation"), F.col("response")
     mismatch = response["_mismatch"].isNotNull() & F.try_parse_json(F.col("response_body")).isNotNull()
     sub_problems = F.filter(
@@ -73,8 +79,13 @@ def with_problem(df: DataFrame) -> DataFrame:
         "method", "path", "headers", "request_body", "response_body", "response_status", "upstream_response_time",
         "content_length", "response_size_bytes", "client_host", "cluster_name",
     ))
-    df = df.withColumn("error", problem)
-    return df.withColumn("raw", F.when(F.col("error").isNotNull(), truncate_utf8(payload)))
+    return problem, F.when(F.col("error").isNotNull(), truncate_utf8(payload))
+
+
+def with_problem(df: DataFrame) -> DataFrame:
+    """``error``: why the request cannot become a record, NULL when it can; ``raw``: the payload then."""
+    error, raw = _problem_columns()
+    return df.withColumn("error", error).withColumn("raw", raw)
 
 
 def _metrics(response: Column) -> dict[str, Column]:
@@ -86,8 +97,9 @@ def _metrics(response: Column) -> dict[str, Column]:
     }
 
 
-def fan_out(df: DataFrame) -> DataFrame:
-    """One row per record: a multi-search opens into its usable sub-searches, the rest pass through."""
+@built_once
+def _parts() -> Column:
+    """Records of one request as an array."""
     operation, response, gateway = F.col("request_operation"), F.col("response"), F.col("response_gateway_took_ms")
     is_bulk = operation == "_bulk"
     target = F.col("path_target")
@@ -130,28 +142,32 @@ def fan_out(df: DataFrame) -> DataFrame:
         )
 
     opens = (operation == "_msearch") & F.col("error").isNull()
-    parts = F.when(opens, F.transform("pairs", sub)).otherwise(F.array(whole))
-    keep = [
+    return F.when(opens, F.transform("pairs", sub)).otherwise(F.array(whole))
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """One row per record: a multi-search opens into its usable sub-searches, the rest pass through."""
+    return df.select(
         "event_time", "method", "path", "headers", "client_host", "cluster_name", "response_status",
         "response_size_bytes", "request_operation", "response_gateway_took_ms", "request_size_bytes", "error", "raw",
-    ]
-    return df.select(*keep, F.inline(parts))
+        F.inline(_parts()),
+    )
 
 
-def with_structure(df: DataFrame) -> DataFrame:
-    """Template, clause counts and geo vertices of the query body."""
+@built_once
+def _structure_columns() -> tuple[dict[str, Column], ...]:
     document = F.col("query_document")
     counted = F.col("request_operation").isin(*QUERY_OPERATIONS)
 
     def section(name: str) -> Column:
         return F.to_json(F.try_variant_get(document, f"$[0].{name}", "variant"))
 
-    df = df.withColumns({
+    texts = {
         "scrubbed": scrub(canonical_json(document)),
         "query_text": F.when(counted, section("query")),
         "fields_text": F.when(counted, section("script_fields")),
-    })
-    df = df.withColumns({
+    }
+    found = {
         "keyed": F.concat(
             F.coalesce(keyed_clauses(F.col("query_text")), F.array().cast("array<string>")),
             F.coalesce(keyed_clauses(F.col("fields_text")), F.array().cast("array<string>")),
@@ -163,7 +179,7 @@ def with_structure(df: DataFrame) -> DataFrame:
             counted,
             F.size(F.map_keys(F.try_variant_get(document, "$[0].runtime_mappings", "map<string,variant>"))),
         ),
-    })
+    }
     inside, zero = F.col("inside"), F.lit(0)
     counts = {name: count_keyed(F.col("keyed"), name) for name in sorted(set(KEYED_CLAUSES.values()))}
     counts["knn"] = counts["knn"] + F.coalesce(F.col("top_knn"), zero)
@@ -178,17 +194,55 @@ def with_structure(df: DataFrame) -> DataFrame:
     out["error"] = F.coalesce(
         F.col("error"), F.when(F.col("geo")["malformed"], F.lit("geo shape is not an object"))
     )
-    return df.withColumns(out)
+    return texts, found, out
 
 
-def with_identity(df: DataFrame) -> DataFrame:
+def with_structure(df: DataFrame) -> DataFrame:
+    """Template, clause counts and geo vertices of the query body."""
+    for columns in _structure_columns():
+        df = df.withColumns(columns)
+    return df
+
+
+@built_once
+def _identity_columns() -> dict[str, Column]:
     headers = F.col("headers")
-    return df.withColumns({
+    return {
         "identity_username": identity.username(headers),
         "identity_applicative_provider": identity.applicative_provider(headers),
         "identity_user_agent": identity.user_agent(headers),
         "identity_labels": identity.labels(headers),
-    })
+    }
+
+
+@built_once
+def _request_columns() -> dict[str, Column]:
+    size = F.when(
+        F.col("request_operation") == "_search", bodies.requested_size(F.col("query_document"))
+    ).otherwise(_big())
+    made = {
+        "timestamp": truncate_to_ms(F.col("event_time")),
+        "identity_client_host": F.col("client_host"),
+        "request_method": F.col("method"),
+        "request_path": F.col("path"),
+        "request_body": truncate_utf8(F.col("body")),
+        "request_body_truncated": is_truncated(F.col("body")).cast("int"),
+        "request_size": F.coalesce(size, _big()),
+        "response_status": F.col("response_status").cast("int"),
+        **_identity_columns(),
+    }
+    return {name: column.alias(name) for name, column in made.items()}
+
+
+@built_once
+def _record_columns() -> list[Column]:
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields]
+    return [*typed, F.col("error"), F.col("raw")]
+
+
+def with_identity(df: DataFrame) -> DataFrame:
+    """Who sent it, from the headers."""
+    return df.withColumns(_identity_columns())
 
 
 def analyze(
@@ -202,31 +256,17 @@ def analyze(
     ``baselines`` is a frame from ``loadlens.operators.baselines``: one row, or one row per minute.
     ``decompress=False`` skips the Python stage when bodies are known to be plain text.
     """
-    model = model or ScoringModel()
+    model = model or DEFAULT_MODEL
     df = clean_payload(payloads)
     if decompress:
         df = decompress_bodies(df)
     df = fan_out(with_problem(with_parsed_bodies(with_operation(df))))
-    df = with_identity(with_structure(df))
-    size = F.when(
-        F.col("request_operation") == "_search", bodies.requested_size(F.col("query_document"))
-    ).otherwise(_big())
-    df = df.select(
-        truncate_to_ms(F.col("event_time")).alias("timestamp"),
-        F.col("client_host").alias("identity_client_host"),
-        F.col("method").alias("request_method"),
-        F.col("path").alias("request_path"),
-        truncate_utf8(F.col("body")).alias("request_body"),
-        is_truncated(F.col("body")).cast("int").alias("request_body_truncated"),
-        F.coalesce(size, _big()).alias("request_size"),
-        F.col("response_status").cast("int").alias("response_status"),
-        *[c for c in df.columns if c in RECORD.names and c != "response_status"],
-        "hits_lower_bound", "error", "raw",
-    )
-    df = join_baselines(df, baselines)
-    df = with_cost_indicators(df, model)
-    df = with_stress(df, model, baseline_columns(df, model.baselines))
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields], "error", "raw")
+    df = with_structure(df)
+    made = _request_columns()
+    kept = [c for c in df.columns if c in RECORD.names and c not in made]
+    df = df.select(*made.values(), *kept, "hits_lower_bound", "error", "raw")
+    df = with_stress(with_cost_indicators(join_baselines(df, baselines), model), model)
+    return df.select(*_record_columns())
 
 
 def split_dead_letters(analyzed: DataFrame) -> tuple[DataFrame, DataFrame]:

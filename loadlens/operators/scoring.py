@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.schema import COMPONENTS
+from loadlens.session import built_once
 
 PRECISION = 4
 
@@ -124,6 +125,9 @@ class ScoringModel:
         )
 
 
+DEFAULT_MODEL = ScoringModel()
+
+
 def _count_column(name: str) -> Column:
     if name == "hits_lower_bound":
         return F.col("hits_lower_bound").cast("int")
@@ -140,31 +144,39 @@ def normalise(value: Column, baseline: Column) -> Column:
     return F.when(baseline != 0, value / baseline).otherwise(F.lit(0.0))
 
 
-def with_cost_indicators(df: DataFrame, model: ScoringModel) -> DataFrame:
-    """0/1 column per indicator, then names, count, multipliers and their product."""
+@built_once
+def _indicator_columns(model: ScoringModel) -> tuple[dict[str, Column], dict[str, Column]]:
     queries = F.col("request_operation").isin(*QUERY_OPERATIONS)
-    df = df.withColumns({
+    flags = {
         f"cost_indicators_{i.name}": (queries & (_total(i.counts) >= i.threshold)).cast("int")
         for i in model.indicators
-    })
+    }
     fired = {i.name: F.col(f"cost_indicators_{i.name}") == 1 for i in model.indicators}
     names = F.filter(
         F.array(*[F.when(fired[i.name], F.lit(i.name)) for i in model.indicators]), lambda n: n.isNotNull()
     )
+    count = reduce(add, [F.col(f"cost_indicators_{i.name}") for i in model.indicators])
     product = F.lit(1.0)
     for i in model.indicators:
         product = product * F.when(fired[i.name], F.lit(i.multiplier)).otherwise(F.lit(1.0))
     multipliers = F.create_map(*[
         part for i in model.indicators for part in (F.lit(i.name), F.when(fired[i.name], F.lit(i.multiplier)))
     ])
-    return df.withColumns({
-        "stress_cost_indicator_count": sum(
-            (F.col(f"cost_indicators_{i.name}") for i in model.indicators), F.lit(0)
+    nothing = F.create_map().cast("map<string,double>")
+    return flags, {
+        "stress_cost_indicator_count": count,
+        "stress_cost_indicator_names": F.when(count == 0, F.array(F.lit("unflagged"))).otherwise(names),
+        "stress_cost_indicator_multipliers": F.when(count == 0, nothing).otherwise(
+            F.map_filter(multipliers, lambda k, v: v.isNotNull())
         ),
-        "stress_cost_indicator_names": F.when(F.size(names) == 0, F.array(F.lit("unflagged"))).otherwise(names),
-        "stress_cost_indicator_multipliers": F.map_filter(multipliers, lambda k, v: v.isNotNull()),
         "stress_multiplier": product,
-    })
+    }
+
+
+def with_cost_indicators(df: DataFrame, model: ScoringModel) -> DataFrame:
+    """0/1 column per indicator, then names, count, multipliers and their product."""
+    flags, derived = _indicator_columns(model)
+    return df.withColumns(flags).withColumns(derived)
 
 
 def _weight(component: str, model: ScoringModel) -> Column:
@@ -178,14 +190,16 @@ def _weight(component: str, model: ScoringModel) -> Column:
     return other if out is None else out.otherwise(other)
 
 
-def with_stress(df: DataFrame, model: ScoringModel, baselines: dict[str, Column] | None = None) -> DataFrame:
-    """Components, bonuses, base and score.  ``baselines`` overrides the static ones by column."""
-    unit = {name: F.lit(getattr(model.baselines, name)) for name in Baselines.__dataclass_fields__}
-    unit.update(baselines or {})
-    df = df.withColumns({
-        f"__{name}": _weight(name, model) * normalise(F.col(measure), unit[baseline])
+@built_once
+def _component_columns(model: ScoringModel, dynamic: tuple[str, ...]) -> tuple[dict[str, Column], ...]:
+    def unit(name: str) -> Column:
+        static = F.lit(getattr(model.baselines, name))
+        return F.coalesce(F.col(f"baseline_{name}"), static) if name in dynamic else static
+
+    parts = {
+        f"__{name}": _weight(name, model) * normalise(F.col(measure), unit(baseline))
         for name, (measure, baseline) in _INPUTS.items()
-    })
+    }
     adjusted = ~F.col("request_operation").isin(*model.unadjusted)
     queries = F.col("request_operation").isin(*QUERY_OPERATIONS)
 
@@ -196,17 +210,32 @@ def with_stress(df: DataFrame, model: ScoringModel, baselines: dict[str, Column]
             F.least(F.lit(b.weight) * F.log(1 + n - F.lit(b.threshold)), F.lit(b.cap)),
         )
 
-    df = df.withColumns({f"__bonus_{b.key}": bonus(b) for b in model.bonuses})
-    extra = reduce(add, [F.coalesce(F.col(f"__bonus_{b.key}"), F.lit(0.0)) for b in model.bonuses], F.lit(0.0))
-    df = df.withColumn("__bonus", extra)
+    parts["__bonuses"] = F.struct(*[bonus(b).alias(b.key) for b in model.bonuses])
+    each = {b.key: F.col("__bonuses")[b.key] for b in model.bonuses}
+    parts_total = {"__bonus": reduce(add, [F.coalesce(each[k], F.lit(0.0)) for k in each], F.lit(0.0))}
     base = reduce(add, [F.col(f"__{name}") for name in (*_INPUTS, "bonus")])
     score = base * F.when(adjusted, F.col("stress_multiplier")).otherwise(F.lit(1.0))
-    bonuses = F.create_map(*[
-        part for b in model.bonuses for part in (F.lit(b.key), F.round(F.col(f"__bonus_{b.key}"), PRECISION))
-    ])
+    bonuses = F.create_map(*[part for k in each for part in (F.lit(k), F.round(each[k], PRECISION))])
+    nothing = F.create_map().cast("map<string,double>")
     out = {f"stress_components_{name}": F.round(F.col(f"__{name}"), PRECISION) for name in COMPONENTS}
     out["stress_base"] = F.round(base, PRECISION)
     out["stress_score"] = F.round(score, PRECISION)
-    out["stress_bonuses"] = F.map_filter(bonuses, lambda k, v: v.isNotNull())
-    scratch = [f"__{name}" for name in (*_INPUTS, "bonus")] + [f"__bonus_{b.key}" for b in model.bonuses]
-    return df.withColumns(out).drop(*scratch)
+    out["stress_bonuses"] = F.when(F.col("__bonus") == 0, nothing).otherwise(
+        F.map_filter(bonuses, lambda k, v: v.isNotNull())
+    )
+    return parts, parts_total, out
+
+
+_NO_DYNAMIC: tuple[str, ...] = ()
+_DYNAMIC = ("took_ms", "shards_total")
+
+
+def with_stress(df: DataFrame, model: ScoringModel) -> DataFrame:
+    """Components, bonuses, base and score.
+
+    ``baseline_*`` columns, where the frame has them and they are not NULL, replace static baselines.
+    """
+    dynamic = _DYNAMIC if f"baseline_{_DYNAMIC[0]}" in df.columns else _NO_DYNAMIC
+    for columns in _component_columns(model, dynamic):
+        df = df.withColumns(columns)
+    return df.drop(*[c for c in df.columns if c.startswith("__")])

@@ -117,12 +117,14 @@ def heaviest(df: DataFrame, columns: dict[str, str | Column], n: int = 50, by: s
     """The N rows with the highest value of ``by``."""
     shown = []
     for name, column in columns.items():
-        if column == "timestamp":
+        if isinstance(column, Column):
+            shown.append(column.alias(name))
+        elif column == "timestamp":
             shown.append(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias(name))
         elif column == INDICATOR_NAMES:
             shown.append(F.array_join(column, ", ").alias(name))
         else:
-            shown.append((F.col(column) if isinstance(column, str) else column).alias(name))
+            shown.append(F.col(column).alias(name))
     ties = ("timestamp", "request_path", "msearch_sub_query_index", "identity_client_host")
     return df.orderBy(F.desc(by), *ties).limit(n).select(*shown)
 

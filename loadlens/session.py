@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings that change results, not speed.  Duplicate JSON keys keep the last value.
@@ -65,3 +67,24 @@ def spread(df):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def built_once(build):
+    """Keep the columns a function builds for as long as the Spark context lives.
+
+    A column is only a description, valid for any frame with the names it mentions, and describing
+    the record job takes Python far longer than planning it takes Spark.  Arguments are compared by
+    identity.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def columns(*args):
+        context = SparkContext._active_spark_context
+        key = tuple(id(arg) for arg in args)
+        held = made.get(key)
+        if held is None or held[0] is not context or any(a is not b for a, b in zip(held[1], args)):
+            held = made[key] = (context, args, build(*args))
+        return held[2]
+
+    return columns
