@@ -219,7 +219,9 @@ def queries() -> dict[str, Query]:
     out["compressed_bodies"] = compressed_bodies
     out["truncated_bodies"] = truncated_bodies
     out.update({
-        name: (lambda spark, sf_dir, p=panel: rounded(p(metric_samples.samples(configure(spark), sf_dir))))
+        # Interpolated quantiles are short decimals: round them where no tie can fall.
+        name: (lambda spark, sf_dir, p=panel, d=5 if name == "analyzer_latency" else DIGITS: rounded(
+            p(metric_samples.samples(configure(spark), sf_dir)), d))
         for name, panel in H.PANELS.items()
     })
     out.update({

@@ -24,6 +24,11 @@ def _big(value: int = 0) -> Column:
     return F.lit(value).cast("bigint")
 
 
+def _section(document: Column, name: str) -> Column:
+    """Compact text of one top-level part of a body."""
+    return F.to_json(F.try_variant_get(document, f"$[0].{name}", "variant"))
+
+
 def with_operation(df: DataFrame) -> DataFrame:
     """Operation, path target and gateway time of a clean payload."""
     return df.withColumns({
@@ -64,6 +69,15 @@ def _problem_columns() -> tuple[Column, Column]:
         lambda problem: problem.isNotNull(),
     )
     size = bodies.requested_size(F.col("document"))
+
+    def bad_shape(document: Column) -> Column:
+        return F.coalesce(geo_vertices(_section(document, "query"))["malformed"], F.lit(False))
+
+    bad_geo = F.when(
+        operation.isin(*QUERY_OPERATIONS) & F.col("request_body").rlike("geo_(?:shape|polygon)"),
+        F.when(operation == "_msearch", F.exists("pairs", lambda pair: bad_shape(pair["document"])))
+        .otherwise(bad_shape(F.col("document"))),
+    )
     problem = F.coalesce(
         F.col("scan_error"),
         F.when(mismatch, F.lit("response has an unexpected shape")),
@@ -74,6 +88,7 @@ def _problem_columns() -> tuple[Column, Column]:
                 F.when((operation == "_search") & size.isNull(), F.lit("size is not a whole number")),
             )
         ),
+        F.when(bad_geo, F.lit("geo shape is not an object")),
     )
     payload = F.to_json(F.struct(
         "method", "path", "headers", "request_body", "response_body", "response_status", "upstream_response_time",
@@ -158,14 +173,10 @@ def fan_out(df: DataFrame) -> DataFrame:
 def _structure_columns() -> tuple[dict[str, Column], ...]:
     document = F.col("query_document")
     counted = F.col("request_operation").isin(*QUERY_OPERATIONS)
-
-    def section(name: str) -> Column:
-        return F.to_json(F.try_variant_get(document, f"$[0].{name}", "variant"))
-
     texts = {
         "scrubbed": scrub(canonical_json(document)),
-        "query_text": F.when(counted, section("query")),
-        "fields_text": F.when(counted, section("script_fields")),
+        "query_text": F.when(counted, _section(document, "query")),
+        "fields_text": F.when(counted, _section(document, "script_fields")),
     }
     found = {
         "keyed": F.concat(
@@ -191,9 +202,6 @@ def _structure_columns() -> tuple[dict[str, Column], ...]:
     out = {f"clause_counts_{name}": column for name, column in counts.items()}
     out["request_template"] = F.coalesce(F.col("bulk_template"), display_template(F.col("scrubbed")))
     out["request_geo_vertex_count"] = F.coalesce(F.col("geo")["vertices"], zero).cast("bigint")
-    out["error"] = F.coalesce(
-        F.col("error"), F.when(F.col("geo")["malformed"], F.lit("geo shape is not an object"))
-    )
     return texts, found, out
 
 
