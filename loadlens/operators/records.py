@@ -69,15 +69,6 @@ def _problem_columns() -> tuple[Column, Column]:
         lambda problem: problem.isNotNull(),
     )
     size = bodies.requested_size(F.col("document"))
-
-    def bad_shape(document: Column) -> Column:
-        return F.coalesce(geo_vertices(_section(document, "query"))["malformed"], F.lit(False))
-
-    bad_geo = F.when(
-        operation.isin(*QUERY_OPERATIONS) & F.col("request_body").rlike("geo_(?:shape|polygon)"),
-        F.when(operation == "_msearch", F.exists("pairs", lambda pair: bad_shape(pair["document"])))
-        .otherwise(bad_shape(F.col("document"))),
-    )
     problem = F.coalesce(
         F.col("scan_error"),
         F.when(mismatch, F.lit("response has an unexpected shape")),
@@ -88,7 +79,6 @@ def _problem_columns() -> tuple[Column, Column]:
                 F.when((operation == "_search") & size.isNull(), F.lit("size is not a whole number")),
             )
         ),
-        F.when(bad_geo, F.lit("geo shape is not an object")),
     )
     payload = F.to_json(F.struct(
         "method", "path", "headers", "request_body", "response_body", "response_status", "upstream_response_time",
@@ -202,6 +192,11 @@ def _structure_columns() -> tuple[dict[str, Column], ...]:
     out = {f"clause_counts_{name}": column for name, column in counts.items()}
     out["request_template"] = F.coalesce(F.col("bulk_template"), display_template(F.col("scrubbed")))
     out["request_geo_vertex_count"] = F.coalesce(F.col("geo")["vertices"], zero).cast("bigint")
+    # Found out only here: the request may be a part of a multi-search, so what is kept is this part.
+    bad_geo = F.col("error").isNull() & F.col("geo")["malformed"]
+    part = F.to_json(F.struct("method", "path", "headers", F.col("body").alias("request_body"), "client_host", "cluster_name"))
+    out["raw"] = F.when(bad_geo, truncate_utf8(part)).otherwise(F.col("raw"))
+    out["error"] = F.when(bad_geo, F.lit("geo shape is not an object")).otherwise(F.col("error"))
     return texts, found, out
 
 
