@@ -309,7 +309,7 @@ def _quantiles() -> str:
         f"WHERE metric = '{H.DURATION_BUCKET}' GROUP BY ALL) WINDOW w AS (PARTITION BY t, cluster ORDER BY bound))")
     parts = " UNION ALL ".join(
         f"SELECT t, cluster, round(CASE WHEN isinf(bound) THEN below ELSE coalesce(below, 0.0) + (bound - coalesce(below, 0.0)) "
-        f"* (total * {q} - before) / (cum - before) END, 5) AS value, 'p{round(q * 100)}' AS line FROM b WHERE total > 0 AND cum >= total * {q} "
+        f"* (total * {q} - before) / (cum - before) END, 10) AS value, 'p{round(q * 100)}' AS line FROM b WHERE total > 0 AND cum >= total * {q} "
         "QUALIFY row_number() OVER (PARTITION BY t, cluster ORDER BY bound) = 1" for q in (0.5, 0.95, 0.99))
     return f", {buckets} {parts}"
 

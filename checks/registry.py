@@ -219,8 +219,8 @@ def queries() -> dict[str, Query]:
     out["compressed_bodies"] = compressed_bodies
     out["truncated_bodies"] = truncated_bodies
     out.update({
-        # Interpolated quantiles are short decimals: round them where no tie can fall.
-        name: (lambda spark, sf_dir, p=panel, d=5 if name == "analyzer_latency" else DIGITS: rounded(
+        # Interpolated quantiles are often short decimals: round them beyond where ties fall.
+        name: (lambda spark, sf_dir, p=panel, d=10 if name == "analyzer_latency" else DIGITS: rounded(
             p(metric_samples.samples(configure(spark), sf_dir)), d))
         for name, panel in H.PANELS.items()
     })
