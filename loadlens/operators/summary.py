@@ -7,8 +7,6 @@ answer as one row, late data included.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.schema import AVG_STATES, PCT_STATES, SUM_STATES, SUMMARY, SUMMARY_DIMS
@@ -114,7 +112,3 @@ def can_answer(op: str, column: str | None, dims=()) -> bool:
         op.startswith("percentile_") and column in _SKETCHES
     )
     return known and set(dims) <= set(SUMMARY_DIMS)
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
