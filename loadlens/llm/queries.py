@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import lines, mixing, privacy, secrets
+from loadlens.llm import decontamination, lines, mixing, privacy, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_warc": warc.op2_warc,
         "op3_personal_data": privacy.op3_personal_data,
-        "op4_secret_scans": secrets.op4_secret_scans,
+        "op4_secret_scans": secret_scan.op4_secret_scans,
         "op6_mixing": mixing.op6_mixing,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": lines.op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.SQL}
+    return {"op2_warc": warc.SQL, "op9_line_dedup": lines.SQL}
