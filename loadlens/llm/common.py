@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Word separators of every operator here: space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -26,9 +27,18 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
-    path = f"{work_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it back: lineage ends here and lost executors lose nothing.
+
+    The shuffle files behind the table are dropped once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

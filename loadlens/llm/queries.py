@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import decontamination, lines, mixing, privacy, quality, secret_scan, warc
+from loadlens.llm import decontamination, lines, mixing, privacy, quality, secret_scan, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": privacy.op3_personal_data,
         "op4_secret_scans": secret_scan.op4_secret_scans,
         "op6_mixing": mixing.op6_mixing,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": lines.op9_line_dedup,
     }
