@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import decontamination, lines, mixing, privacy, quality, secret_scan, substrings, warc
+from loadlens.llm import decontamination, lines, mixing, neardups, privacy, quality, secret_scan, substrings, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": warc.op2_warc,
         "op3_personal_data": privacy.op3_personal_data,
         "op4_secret_scans": secret_scan.op4_secret_scans,
+        "op5_order_minhash": neardups.op5_order_minhash,
         "op6_mixing": mixing.op6_mixing,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": lines.op9_line_dedup,
+        "op10_vector_graph": vectors.op10_vector_graph,
     }
 
 
