@@ -169,11 +169,14 @@ def train_model(docs: DataFrame, labels: DataFrame, id_="doc_id", text="text", l
             yield pd.DataFrame({"id": batch["__id"], "y": batch["__y"], "x": [hashed_ngrams(t) for t in batch["__text"]]})
 
     def fit_all(batches):
-        rows = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
         if len(rows):
             rows["hash"] = pd.util.hash_array(rows["id"].to_numpy())
             # Repeated rows of one id would weigh more; one of each is learned from.
-            rows["n"] = [len(x) for x in rows["x"]]
+            rows["n"] = [tuple(x) for x in rows["x"]]
             rows = rows.sort_values(["hash", "id", "n"]).drop_duplicates("id")
         weights, bias, a, b = fit([np.asarray(x, dtype=np.int64) for x in rows["x"]], rows["y"].to_numpy(dtype=int))
         yield pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias], "a": [a], "b": [b]})

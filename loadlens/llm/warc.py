@@ -52,8 +52,8 @@ def warc_record(page_id, url, payload: bytes, digest: str, refers_to, date: str)
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response",
-             f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+             "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -75,6 +75,9 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
         return "wrong length"
     block = data[start:end]
     http, _, payload = block.partition(b"\r\n\r\n")
+    whole = head.get("warc-block-digest", "")
+    if whole.startswith("sha256:") and hashlib.sha256(block).hexdigest() != whole[7:]:
+        return "wrong block digest"
     revisit = head.get("warc-type") == "revisit"
     digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
     if not revisit and digest and hashlib.sha256(payload).hexdigest() != digest:
