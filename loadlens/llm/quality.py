@@ -182,7 +182,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_="doc_id", text="text", l
         yield pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias], "a": [a], "b": [b]})
 
     made = (
-        sample.mapInPandas(featurise, "id long, y int, x array<long>").coalesce(1)
+        sample.mapInPandas(featurise, "id long, y int, x array<long>").repartition(1)
         .mapInPandas(fit_all, "weights array<float>, bias double, a double, b double")
     )
     made = made.collect()
