@@ -65,11 +65,14 @@ def find_leaks(
     Columns: __k1, __k2 (document key), id, item, n_matched (template tokens in a row), n_item, same_values (no slot
     was changed).
     """
+    # A second template without names meets documents in lower case.
+    named, lower = (benchmark.select(
+        F.col(item).alias("__item"), template(t).alias("__t"), plain(F.col(item_text)).alias("__plain"))
+        for t in (F.col(item_text), F.lower(item_text)))
     items = cut(
-        benchmark.select(
-            F.col(item).alias("__item"), template(F.col(item_text)).alias("__t"), plain(F.col(item_text)).alias("__plain"))
+        named.unionByName(lower)
         .withColumn("__n", F.size("__t")).where(F.col("__n") >= min_item)
-        .dropDuplicates(["__item", "__plain"]), "leak-items")
+        .dropDuplicates(["__item", "__plain", "__t"]), "leak-items")
     rows = docs.select(*row_key(id_, text), template(F.col(text)).alias("__t"))
     whole = window + stride - 1
     lengths = sorted(r[0] for r in items.where(F.col("__n") < whole).select("__n").distinct().collect())

@@ -25,7 +25,7 @@ TRIM = "\x20\t\n\x0b\x0c\r"
 def line_table(docs: DataFrame, id_: str, text: str, site: str, min_words: int) -> DataFrame:
     """One row per line that counts: document key, id, site, position, 128-bit line hash."""
     key = row_key(id_, text)
-    enough = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (min_words - 1)
+    enough = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (min_words - 1)
     lines = docs.where(F.col(text).isNotNull()).select(
         *key, F.col(id_).alias("__id"), F.col(site).alias("__site"),
         F.posexplode(F.split(text, "\n")).alias("__pos", "__line"))

@@ -251,7 +251,7 @@ def test_alignment_is_exact_within_the_band():
 
 def test_a_bucket_of_many_copies_is_one_class(spark):
     base = odd.words(77, 200)
-    rows = [(i, edited(base, 3, i)) for i in range(150)]
+    rows = [(i, edited(base, 1, i)) for i in range(150)]
     got = neardups.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("class").distinct().collect()
     assert len(got) == 1
 
