@@ -9,9 +9,9 @@ of offsets that a similarity of ``threshold`` leaves possible, and finds the lon
 At a similarity of 0.8 two texts agree on a vector with probability about 0.8^4, so that 32 orders miss 5 in 10^8.
 
 Copies of a text are one node.  In each bucket of candidates only as many pairs are verified as classes need: first with
-the bucket's smallest node, then, where a bucket still spans several classes, with a node drawn per bucket, and last every
-pair of different classes (that agree on two vectors; missed with probability 10^-6).  A bucket of thousands of copies
-so costs thousands of alignments, and no link between classes is left out.
+the bucket's smallest node, then, where a bucket still spans several classes, every pair of different classes, in blocks
+of nodes that are compared by matrix products.  A bucket of thousands of copies of one class so costs thousands of
+alignments, and no link between classes is left out.
 
 Null texts and texts without words are in no group.  Rows equal in id and text are copies, without words too.  The class
 of a group is its smallest id; null ids come last.  An empty table gives an empty result.
@@ -22,6 +22,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,37 +169,103 @@ def near_links(
     links = cut(verify(tried, texts, threshold), "near-links")
     groups = components(links.select("a", "b"), "near")
 
-    def open_members(groups):
-        """Members of buckets that span several classes."""
-        now = members.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-            "key", "node", F.coalesce("component", "node").alias("class"))
-        mixed_ = now.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
-        return cut(now.join(mixed_, "key"), "near-open")
-
-    for last in (False, True):
-        now = open_members(groups)
-        if now.isEmpty():
-            break
-        if not last:
-            drawn = now.groupBy("key").agg(F.min_by(F.struct("node", "class"), F.xxhash64("key", "node")).alias("c"))
-            pairs = now.join(drawn, "key").where(F.col("class") != F.col("c.class")).select(
-                F.col("node").alias("a"), F.col("c.node").alias("b"))
-        else:
-            classes = now.select("key", "class").distinct()
-            sides = classes.join(classes.withColumnRenamed("class", "other"), "key").where("class < other")
-            across = sides.join(now.withColumnRenamed("node", "a"), ["key", "class"]).join(
-                now.select("key", F.col("class").alias("other"), F.col("node").alias("b")), ["key", "other"])
-            pairs = across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().where("count >= 2")
-        pairs = cut(one(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        more = cut(verify(pairs, texts, threshold), "near-links")
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
+    # Buckets that still span several classes: every pair of different classes in them, block by block.
+    now = members.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+        "key", "node", F.coalesce("component", "node").alias("class"))
+    several = now.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
+    now = cut(now.join(several, "key"), "near-open")
+    if not now.isEmpty():
+        more = cut(across_classes(now, texts, threshold).distinct(), "near-links")
         if not more.isEmpty():
+            links = links.unionByName(more)
             groups = components(links.select("a", "b"), "near")
     return links, groups
 
 
+def across_classes(members: DataFrame, texts: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """Links between different classes of a bucket; ``members`` has (key, node, class).
+
+    A bucket is cut into blocks of about ``block`` nodes, large classes by themselves, and each pair of blocks that can
+    hold two classes is one group.  Within it, counts of common shingles come from matrix products; they bound what an
+    alignment can match, so that only pairs that may reach the threshold are aligned.
+    """
+    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
+    pooled = sizes.groupBy("key").agg(F.sum(F.when(F.col("size") < block, F.col("size")).otherwise(0)).alias("rest"))
+    sizes = cut(sizes.join(pooled, "key"), "near-sizes")
+    large = F.col("size") >= block
+    chunk = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(
+        F.pmod(F.xxhash64("class"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))))
+    placed = members.join(sizes, ["key", "class"]).select(
+        "key", "node", "class", F.when(large, F.col("class")).alias("alone"), chunk.alias("chunk"))
+    placed = cut(placed, "near-blocks")
+    name = F.struct(F.col("alone").isNull().alias("pool"), F.coalesce("alone", F.lit(0)).alias("of"), "chunk")
+    blocks = placed.select("key", name.alias("p")).distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("p", "q"), "key").where(
+        "p < q and (p.pool or q.pool or p.of <> q.of) or p = q and p.pool")
+    sequences = cut(labelled_texts(texts.join(placed.select("node").distinct(), "node", "left_semi")), "near-sequences")
+    rows = placed.select("key", "node", "class", name.alias("own")).join(sequences, "node")
+    first = pairs.withColumn("own", F.col("p")).join(rows, ["key", "own"]).withColumn("side", F.lit(0))
+    second = pairs.where("p <> q").withColumn("own", F.col("q")).join(rows, ["key", "own"]).withColumn("side", F.lit(1))
+    group = F.struct("key", "p", "q")
+    both = first.unionByName(second).select(
+        F.xxhash64(group).alias("group"), F.xxhash64(F.lit(1), group).alias("group2"), "side", "node", "class", "sequence")
+
+    def compare(frame):
+        left = frame[frame["side"] == 0]
+        right = frame[frame["side"] == 1]
+        right = right if len(right) else left
+        a, b = ([np.asarray(x, np.int64).view(np.uint64) for x in side["sequence"]] for side in (left, right))
+        common = common_counts(a, b)
+        n, m = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+        may = common >= threshold * (n + m - common)
+        may &= left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
+        x, y = left["node"].to_numpy(), right["node"].to_numpy()
+        found = []
+        for i, j in zip(*np.nonzero(may)):
+            if (similarity := aligned_similarity(a[i], b[j], threshold)) >= threshold:
+                found.append((min(x[i], y[j]), max(x[i], y[j]), similarity))
+        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return both.groupBy("group", "group2").applyInPandas(compare, "a long, b long, similarity double")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], step: int = 1 << 13) -> np.ndarray:
+    """How many labelled shingles each sequence of ``a`` shares with each of ``b``."""
+    known = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for side in (a, b):
+        code = np.concatenate(side)
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(known, code)
+        good = (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == code) if len(known) else np.zeros(len(code), bool)
+        order = np.argsort(at[good], kind="stable")
+        sides.append((row[good][order], at[good][order]))
+    for low in range(0, len(known), step):
+        parts = []
+        for (row, at), side in zip(sides, (a, b)):
+            s = slice(*np.searchsorted(at, [low, low + step]))
+            part = np.zeros((len(side), min(step, len(known) - low)), np.float32)
+            part[row[s], at[s] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def labelled_texts(texts: DataFrame) -> DataFrame:
+    """(node, sequence) of labelled shingles."""
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            with np.errstate(over="ignore"):
+                found, stop = shingles(*flat(batch.column(1)))
+            offsets = pa.array(np.r_[0, stop].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))], names=["node", "sequence"])
+
+    return texts.select("node", word_names(F.col("text")).alias("names")).mapInArrow(run, "node long, sequence array<long>")
+
+
 def near_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: __k1, __k2 (document key), id, class (smallest id of its group), __place, __first.
 
