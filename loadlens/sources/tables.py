@@ -1,5 +1,10 @@
 """Tables: records and dead letters by day, summary states by month.
 
+Every write goes to a folder of its own, ``run=<id>/<partition>``, and becomes visible when the next version of a small
+manifest names it.  A version is created only if it does not exist, so that of two writers one starts over from the other's
+state.  A repeated batch takes the place of what that batch wrote before, wherever its rows lie; compaction takes the
+place of exactly the folders it read.  Replaced folders are listed until ``vacuum`` deletes them.
+
 Writes are laid out for the panels: a rebalance by day, cluster and operation gives even files (AQE
 splits a combination that holds a third of all rows), and rows are sorted inside each file so that
 row-group statistics skip what a filter does not touch.
@@ -7,9 +12,12 @@ row-group statistics skip what a filter does not touch.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from loadlens.operators.summary import merge_states
@@ -61,32 +69,119 @@ def align_schema(df: DataFrame, schema: T.StructType, defaults: Mapping | None =
     return df.select(*[column(field) for field in schema.fields])
 
 
-def write_table(df: DataFrame, table: str, path: str, batch: int | None = None, options: Mapping[str, str] | None = None) -> None:
-    """Append rows; with a ``batch`` number, writing the same batch again replaces what it wrote before."""
+# -- manifest -------------------------------------------------------------------------------
+
+def _files(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """(version, content) of the newest manifest; version 0 where there is none."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/_manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    version = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()), default=0)
+    if not version:
+        return 0, {"live": [], "gone": []}
+    stream = fs.open(at(f"{path}/_manifest/{version:012d}.json"))
+    try:
+        return version, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, change: Callable[[dict], dict]) -> dict:
+    """Write the next version; starts over when another writer was first."""
+    fs, at = _files(spark, path)
+    while True:
+        version, content = _manifest(spark, path)
+        content = change(content)
+        name = f"{version + 1:012d}.json"
+        aside = at(f"{path}/_manifest/.{name}.{uuid.uuid4().hex}")
+        stream = fs.create(aside)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        target = at(f"{path}/_manifest/{name}")
+        try:
+            # A rename onto an existing name fails, so a version is whole or absent.
+            done = not fs.exists(target) and fs.rename(aside, target)
+        except Py4JJavaError:
+            done = False
+        if done:
+            if version > 8:
+                fs.delete(at(f"{path}/_manifest/{version - 8:012d}.json"), False)
+            return content
+        fs.delete(aside, False)
+
+
+def stage_table(df: DataFrame, table: str, path: str, options: Mapping[str, str] | None = None, spread: bool = True) -> str:
+    """Write rows into a new run folder that nobody reads yet; returns its id."""
     schema, _, column, order = LAYOUT[table]
     rows = with_partition(align_schema(df, schema), table)
-    rows = rows.hint("rebalance", column, *_SPREAD_BY[table]).sortWithinPartitions(column, *order)
-    writer_options = {"compression": "zstd", **(options or {})}
-    if batch is None:
-        rows.write.options(**writer_options).partitionBy(column).mode("append").parquet(path)
-    else:
-        (
-            rows.withColumn("batch", F.lit(batch)).write.options(**writer_options)
-            .option("partitionOverwriteMode", "dynamic").partitionBy(column, "batch").mode("overwrite").parquet(path)
-        )
+    if spread:
+        rows = rows.hint("rebalance", column, *_SPREAD_BY[table]).sortWithinPartitions(column, *order)
+    run = uuid.uuid4().hex
+    rows.write.options(**{"compression": "zstd", **(options or {})}).partitionBy(column).parquet(f"{path}/run={run}")
+    return run
+
+
+def publish(spark: SparkSession, path: str, run: str, batch: int | None = None, replaces: Sequence[str] = ()) -> None:
+    """Make a staged run visible, in place of the same batch's earlier rows and of the folders ``replaces``."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/run={run}")
+    parts = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    added = [{"folder": f"run={run}/{part}", "batch": batch} for part in parts]
+
+    def change(content: dict) -> dict:
+        out = {e["folder"] for e in content["live"] if e["folder"] in replaces or batch is not None and e["batch"] == batch}
+        return {"live": [e for e in content["live"] if e["folder"] not in out] + added,
+                "gone": sorted({*content["gone"], *out})}
+
+    _commit(spark, path, change)
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Delete folders that a later write replaced; run it when no reader is older than the last version."""
+    fs, at = _files(spark, path)
+    gone = _manifest(spark, path)[1]["gone"]
+    for folder in gone:
+        fs.delete(at(f"{path}/{folder}"), True)
+    _commit(spark, path, lambda c: {"live": c["live"], "gone": [g for g in c["gone"] if g not in gone]})
+    return gone
 
 
-def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Rows with their partition column; files written before a column existed read as its default."""
+def write_table(df: DataFrame, table: str, path: str, batch: int | None = None, options: Mapping[str, str] | None = None) -> None:
+    """Append rows; with a ``batch`` number, writing the same batch again replaces what it wrote before."""
+    publish(df.sparkSession, path, stage_table(df, table, path, options), batch)
+
+
+def _read(spark: SparkSession, table: str, path: str, folders: Sequence[str] | None) -> DataFrame:
     schema, _, column, _ = LAYOUT[table]
     stored = T.StructType([*schema.fields, T.StructField(column, T.DateType())])
-    df = spark.read.schema(stored).parquet(path)
+    reader = spark.read.schema(stored)
+    if folders is None:
+        df = reader.parquet(path)
+    elif folders:
+        df = reader.option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+    else:
+        df = spark.createDataFrame([], stored)
+    df = df.select(*stored.names)
     if table != "records":
         return df
     late = {name: F.coalesce(F.col(name), F.lit(value).cast(schema[name].dataType)) for name, value in LATE_RECORD_COLUMNS.items()}
     return df.withColumns(late)
 
 
+def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """Rows of the newest version with their partition column; columns that older files lack read as their default.
+
+    A folder without a manifest is read as it lies.
+    """
+    version, content = _manifest(spark, path)
+    return _read(spark, table, path, [e["folder"] for e in content["live"]] if version else None)
+
+
 # -- retention ------------------------------------------------------------------------------
 
 def apply_retention(df: DataFrame, ts: str, days: int, now: datetime) -> DataFrame:
@@ -94,15 +189,6 @@ def apply_retention(df: DataFrame, ts: str, days: int, now: datetime) -> DataFra
     return df.where(F.col(ts) > F.lit(now - timedelta(days=days)).cast("timestamp_ntz"))
 
 
-def _partitions(spark: SparkSession, path: str, column: str):
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return fs, []
-    found = [(s.getPath().getName().partition("="), s.getPath()) for s in fs.listStatus(root) if s.isDirectory()]
-    return fs, [(date.fromisoformat(value), where) for (name, _, value), where in found if name == column]
-
-
 def _end(start: date, column: str) -> date:
     if column == "day":
         return start + timedelta(days=1)
@@ -117,38 +203,45 @@ def drop_expired(spark: SparkSession, table: str, path: str, now: datetime, days
     """
     column = LAYOUT[table][2]
     limit = now - timedelta(days=days if days is not None else SUMMARY_DAYS if table == "summary" else RAW_DAYS)
-    fs, partitions = _partitions(spark, path, column)
-    gone = []
-    for start, where in sorted(partitions, key=lambda p: p[0]):
-        if datetime.combine(_end(start, column), datetime.min.time()) <= limit:
-            fs.delete(where, True)
-            gone.append(start)
-    return gone
+    expired: dict[str, date] = {}
+
+    def change(content: dict) -> dict:
+        expired.clear()
+        for entry in content["live"]:
+            value = entry["folder"].rpartition(f"{column}=")[2]
+            if "__HIVE" in value:
+                continue
+            start = date.fromisoformat(value)
+            if datetime.combine(_end(start, column), datetime.min.time()) <= limit:
+                expired[entry["folder"]] = start
+        return {**content, "live": [e for e in content["live"] if e["folder"] not in expired]}
+
+    if not _manifest(spark, path)[0]:
+        return []
+    _commit(spark, path, change)
+    fs, at = _files(spark, path)
+    for folder in expired:
+        fs.delete(at(f"{path}/{folder}"), True)
+    return sorted(set(expired.values()))
+
+
+def compact(spark: SparkSession, table: str, path: str, start: date) -> None:
+    """One run in place of all runs of a day (or month): summary states merged per key, other rows laid out anew.
+
+    Exactly the folders of the version that was read are replaced; what lands meanwhile stays.
+    """
+    column = LAYOUT[table][2]
+    folders = [e["folder"] for e in _manifest(spark, path)[1]["live"] if e["folder"].endswith(f"{column}={start.isoformat()}")]
+    if not folders:
+        return
+    rows = _read(spark, table, path, folders)
+    merged = merge_states(rows) if table == "summary" else rows
+    publish(spark, path, stage_table(merged, table, path), replaces=folders)
 
 
 def compact_summary(spark: SparkSession, path: str, month: date) -> None:
-    """Merge the partial states of one month into one row per key.
-
-    The merged month is written aside first and read back from there, so a lost executor never
-    leaves the month half written from its own input.
-    """
-    rows = read_table(spark, "summary", path).where(F.col("month") == F.lit(month))
-    merged = merge_states(rows)
-    aside = f"{path}_compacting/{month.isoformat()}"
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(aside)
-    kept = spark.read.schema(SUMMARY).parquet(aside)
-    fs, partitions = _partitions(spark, path, "month")
-    where = dict(partitions).get(month)
-    old = [] if where is None else [s.getPath() for s in fs.listStatus(where)]
-    column, order = LAYOUT["summary"][2:]
-    (
-        with_partition(kept, "summary").withColumn("batch", F.lit(-1)).hint("rebalance", *_SPREAD_BY["summary"])
-        .sortWithinPartitions(*order).write.option("compression", "zstd")
-        .option("partitionOverwriteMode", "dynamic").partitionBy(column, "batch").mode("overwrite").parquet(path)
-    )
-    for part in old:
-        if part.getName() != "batch=-1":
-            fs.delete(part, True)
+    """Merge the partial states of one month into one row per key."""
+    compact(spark, "summary", path, month)
 
 
 # -- catalog tables -------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Continuous ingest: payload files in, records, dead letters and summary states out.
 
-One micro-batch is analysed once and feeds three tables.  Each write is keyed by the batch number and
-replaces itself when the batch is repeated, so a restart neither loses nor doubles rows.  Late rows
+One micro-batch is analysed once and feeds three tables.  All three are written before any is published.  Each write is
+keyed by the batch number and replaces itself when the batch is repeated, so a restart neither loses nor doubles rows.  Late rows
 need no watermark: they add one more partial state, which reading merges.
 """
 
@@ -21,7 +21,7 @@ from loadlens.operators.baselines import trailing_baselines
 from loadlens.operators.records import analyze, split_dead_letters
 from loadlens.operators.scoring import ScoringModel
 from loadlens.operators.summary import summary_states
-from loadlens.sources.tables import read_table, write_table
+from loadlens.sources.tables import publish, read_table, stage_table
 
 
 def utc_now() -> datetime:
@@ -70,9 +70,11 @@ def process_batch(
     analyzed = analyze(batch, model=model, baselines=baselines).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         records, dead = split_dead_letters(analyzed)
-        write_table(records, "records", f"{root}/records", batch=number)
-        write_table(dead, "dead_letters", f"{root}/dead_letters", batch=number)
-        write_table(summary_states(records), "summary", f"{root}/summary", batch=number)
+        made = {"records": records, "dead_letters": dead, "summary": summary_states(records)}
+        # Written as they come: a few seconds of rows are not worth a shuffle, compaction lays them out.
+        runs = {table: stage_table(rows, table, f"{root}/{table}", spread=False) for table, rows in made.items()}
+        for table, run in runs.items():
+            publish(batch.sparkSession, f"{root}/{table}", run, number)
     finally:
         analyzed.unpersist()
 

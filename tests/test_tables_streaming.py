@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loadlens.operators.records import build_records
 from loadlens.operators.summary import finalize_states
 from loadlens.plans.catalog import pick_source
 from loadlens.plans.filters import Filters
@@ -70,6 +71,50 @@ def test_a_repeated_batch_replaces_itself(spark, folder):
     assert tables.read_table(spark, "summary", f"{folder}/out/summary").agg(F.sum("count_state")).first()[0] == 2
 
 
+def test_batches_and_plain_writes_share_a_table(spark, folder):
+    put(f"{folder}/in", "a", [payload(1), payload(2)])
+    records = build_records(read_payloads(spark, f"{folder}/in"))
+    for batches in ((None, 7), (7, None)):
+        path = f"{folder}/t{batches[0]}"
+        for batch in batches:
+            tables.write_table(records, "records", path, batch=batch)
+        assert tables.read_table(spark, "records", path).count() == 4
+
+
+def test_a_repeated_batch_may_move_to_another_day_or_vanish(spark, folder):
+    path = f"{folder}/t"
+    put(f"{folder}/a", "a", [payload(13 * 60 + 59), payload(13 * 60 + 59)])
+    put(f"{folder}/b", "b", [payload(14 * 60 + 1)])
+    for source, n in (("a", 2), ("b", 1), ("a", 2)):
+        tables.write_table(build_records(read_payloads(spark, f"{folder}/{source}")), "records", path, batch=3)
+        assert tables.read_table(spark, "records", path).count() == n
+    tables.write_table(tables.read_table(spark, "records", path).where("false"), "records", path, batch=3)
+    assert tables.read_table(spark, "records", path).count() == 0
+    assert len(tables.vacuum(spark, path)) == 3 and tables.vacuum(spark, path) == []
+
+
+def test_compaction_keeps_what_lands_meanwhile(spark, folder, monkeypatch):
+    put(f"{folder}/in", "a", [payload(1), payload(2)])
+    batch = read_payloads(spark, f"{folder}/in")
+    process_batch(batch, 1, f"{folder}/out")
+    path, staged = f"{folder}/out/summary", tables.stage_table
+
+    def slow(df, *args, **kwargs):
+        run = staged(df, *args, **kwargs)
+        monkeypatch.setattr(tables, "stage_table", staged)
+        process_batch(batch, 2, f"{folder}/out")
+        return run
+
+    monkeypatch.setattr(tables, "stage_table", slow)
+    tables.compact_summary(spark, path, date(2024, 3, 1))
+    assert tables.read_table(spark, "summary", path).agg(F.sum("count_state")).first()[0] == 4
+    tables.compact_summary(spark, path, date(2024, 3, 1))
+    left = tables.read_table(spark, "summary", path)
+    assert left.count() == 1 and left.agg(F.sum("count_state")).first()[0] == 4
+    tables.compact(spark, "records", f"{folder}/out/records", date(2024, 3, 1))
+    assert tables.read_table(spark, "records", f"{folder}/out/records").count() == 4
+
+
 def test_baseline_cache(spark, folder):
     clock = [0.0]
     cache = BaselineCache(f"{folder}/out/records", ttl=60, now=lambda: HOUR + timedelta(minutes=30), clock=lambda: clock[0])
@@ -129,7 +174,7 @@ def test_days_are_pruned(spark, folder):
 def test_older_tables_read_with_defaults(spark, folder):
     put(f"{folder}/in", "a", [payload(0)])
     process_batch(read_payloads(spark, f"{folder}/in"), 0, f"{folder}/out")
-    old = spark.read.parquet(f"{folder}/out/records").drop("request_bulk_doc_count", "stress_components_bulk_doc_count", "batch")
+    old = spark.read.parquet(f"{folder}/out/records").drop("request_bulk_doc_count", "stress_components_bulk_doc_count", "run")
     old.write.partitionBy("day").parquet(f"{folder}/old")
     row = tables.read_table(spark, "records", f"{folder}/old").first()
     assert row.request_bulk_doc_count == 0 and row.stress_components_bulk_doc_count == 0.0
