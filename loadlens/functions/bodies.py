@@ -22,13 +22,18 @@ RESPONSE_SCHEMA = (
 )
 
 
+def single_value(text: Column) -> Column:
+    """Whether text is one JSON value and nothing after it; the parser itself stops after the first."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 # -- requests -------------------------------------------------------------------------------
 
 def bulk_lines(rows: Column) -> Column:
     """Per line of a bulk body: the action it names (NULL if none) and its index."""
 
     def read(line: Column) -> Column:
-        whole = F.when(line.rlike(r"^\s*\{.*\}\s*$"), line)
+        whole = F.when(line.rlike(r"^\s*\{.*\}\s*$") & single_value(line), line)
         return F.from_json(whole, _ACTION_SCHEMA)
 
     def name(parsed: Column) -> Column:
@@ -105,7 +110,7 @@ def requested_size(document: Column) -> Column:
 
 def response_document(text: Column) -> Column:
     body = F.btrim(text, F.lit(" \t\r\n"))
-    whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")), body)
+    whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & single_value(body), body)
     return F.from_json(whole, RESPONSE_SCHEMA, {"columnNameOfCorruptRecord": "_mismatch"})
 
 

@@ -52,9 +52,15 @@ def truncate_utf8(text: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
     return F.when(is_truncated(text, max_bytes), F.concat(cut, F.lit(TRUNCATION_SUFFIX))).otherwise(text)
 
 
+def decimal(text: Column) -> Column:
+    """A number written as text, NULL for anything else; casts alone would take type suffixes ("1d")."""
+    plain = F.when(text.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"), F.trim(text))
+    return plain.try_cast("double")
+
+
 def seconds_to_ms(text: Column) -> Column:
     """Seconds written as text, in milliseconds; anything else is 0."""
-    return F.coalesce(F.trim(text).try_cast("double") * 1000, F.lit(0.0))
+    return F.coalesce(decimal(text) * 1000, F.lit(0.0))
 
 
 def whole_number(text: Column) -> Column:

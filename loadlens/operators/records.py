@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadlens.functions import bodies, identity, paths
 from loadlens.functions.structure import KEYED_CLAUSES, count_keyed, geo_vertices, keyed_clauses, nested_counts
 from loadlens.functions.template import canonical_json, display_template, json_document, scrub
-from loadlens.functions.text import is_truncated, lines, seconds_to_ms, truncate_to_ms, truncate_utf8, whole_number
+from loadlens.functions.text import MAX_BODY_BYTES, is_truncated, lines, seconds_to_ms, truncate_to_ms, truncate_utf8, whole_number
 from loadlens.operators.baselines import join_baselines
 from loadlens.operators.scoring import DEFAULT_MODEL, QUERY_OPERATIONS, ScoringModel, with_cost_indicators, with_stress
 from loadlens.schema import DEAD_LETTER, RECORD
 from loadlens.session import built_once
 from loadlens.sources.decompression import decompress_bodies
-from loadlens.sources.payloads import clean_payload
+from loadlens.sources.payloads import clean_payload, recover_text
 
 
 def _big(value: int = 0) -> Column:
@@ -59,7 +59,7 @@ def with_parsed_bodies(df: DataFrame) -> DataFrame:
 
 
 @built_once
-def _problem_columns() -> tuple[Column, Column]:
+def _problem_columns(max_body_bytes: int) -> tuple[Column, Column]:
     operation, response = F.col("request_operation"), F.col("response")
     mismatch = response["_mismatch"].isNotNull() & F.try_parse_json(F.col("response_body")).isNotNull()
     sub_problems = F.filter(
@@ -84,12 +84,12 @@ def _problem_columns() -> tuple[Column, Column]:
         "method", "path", "headers", "request_body", "response_body", "response_status", "upstream_response_time",
         "content_length", "response_size_bytes", "client_host", "cluster_name",
     ))
-    return problem, F.when(F.col("error").isNotNull(), truncate_utf8(payload))
+    return problem, F.when(F.col("error").isNotNull(), truncate_utf8(payload, max_body_bytes))
 
 
-def with_problem(df: DataFrame) -> DataFrame:
+def with_problem(df: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """``error``: why the request cannot become a record, NULL when it can; ``raw``: the payload then."""
-    error, raw = _problem_columns()
+    error, raw = _problem_columns(max_body_bytes)
     return df.withColumn("error", error).withColumn("raw", raw)
 
 
@@ -160,7 +160,7 @@ def fan_out(df: DataFrame) -> DataFrame:
 
 
 @built_once
-def _structure_columns() -> tuple[dict[str, Column], ...]:
+def _structure_columns(max_body_bytes: int) -> tuple[dict[str, Column], ...]:
     document = F.col("query_document")
     counted = F.col("request_operation").isin(*QUERY_OPERATIONS)
     texts = {
@@ -195,14 +195,14 @@ def _structure_columns() -> tuple[dict[str, Column], ...]:
     # Found out only here: the request may be a part of a multi-search, so what is kept is this part.
     bad_geo = F.col("error").isNull() & F.col("geo")["malformed"]
     part = F.to_json(F.struct("method", "path", "headers", F.col("body").alias("request_body"), "client_host", "cluster_name"))
-    out["raw"] = F.when(bad_geo, truncate_utf8(part)).otherwise(F.col("raw"))
+    out["raw"] = F.when(bad_geo, truncate_utf8(part, max_body_bytes)).otherwise(F.col("raw"))
     out["error"] = F.when(bad_geo, F.lit("geo shape is not an object")).otherwise(F.col("error"))
     return texts, found, out
 
 
-def with_structure(df: DataFrame) -> DataFrame:
+def with_structure(df: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Template, clause counts and geo vertices of the query body."""
-    for columns in _structure_columns():
+    for columns in _structure_columns(max_body_bytes):
         df = df.withColumns(columns)
     return df
 
@@ -219,7 +219,7 @@ def _identity_columns() -> dict[str, Column]:
 
 
 @built_once
-def _request_columns() -> dict[str, Column]:
+def _request_columns(max_body_bytes: int) -> dict[str, Column]:
     size = F.when(
         F.col("request_operation") == "_search", bodies.requested_size(F.col("query_document"))
     ).otherwise(_big())
@@ -228,8 +228,8 @@ def _request_columns() -> dict[str, Column]:
         "identity_client_host": F.col("client_host"),
         "request_method": F.col("method"),
         "request_path": F.col("path"),
-        "request_body": truncate_utf8(F.col("body")),
-        "request_body_truncated": is_truncated(F.col("body")).cast("int"),
+        "request_body": truncate_utf8(F.col("body"), max_body_bytes),
+        "request_body_truncated": is_truncated(F.col("body"), max_body_bytes).cast("int"),
         "request_size": F.coalesce(size, _big()),
         "response_status": F.col("response_status").cast("int"),
         **_identity_columns(),
@@ -243,29 +243,26 @@ def _record_columns() -> list[Column]:
     return [*typed, F.col("error"), F.col("raw")]
 
 
-def with_identity(df: DataFrame) -> DataFrame:
-    """Who sent it, from the headers."""
-    return df.withColumns(_identity_columns())
-
-
 def analyze(
     payloads: DataFrame,
     model: ScoringModel | None = None,
     baselines: DataFrame | None = None,
     decompress: bool = True,
+    max_body_bytes: int = MAX_BODY_BYTES,
 ) -> DataFrame:
     """All record columns plus ``error`` and ``raw``.
 
     ``baselines`` is a frame from ``loadlens.operators.baselines``: one row, or one row per minute.
     ``decompress=False`` skips the Python stage when bodies are known to be plain text.
+    ``max_body_bytes`` limits stored bodies and dead-letter payloads, nothing else; 0 keeps them whole.
     """
     model = model or DEFAULT_MODEL
-    df = clean_payload(payloads)
+    df = clean_payload(recover_text(payloads, bodies=not decompress))
     if decompress:
         df = decompress_bodies(df)
-    df = fan_out(with_problem(with_parsed_bodies(with_operation(df))))
-    df = with_structure(df)
-    made = _request_columns()
+    df = fan_out(with_problem(with_parsed_bodies(with_operation(df)), max_body_bytes))
+    df = with_structure(df, max_body_bytes)
+    made = _request_columns(max_body_bytes)
     kept = [c for c in df.columns if c in RECORD.names and c not in made]
     df = df.select(*made.values(), *kept, "hits_lower_bound", "error", "raw")
     df = with_stress(with_cost_indicators(join_baselines(df, baselines), model), model)

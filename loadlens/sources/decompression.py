@@ -19,24 +19,30 @@ WRAPPED_PREFIX = "gzip+b64:"
 _MAGIC = r"^(?:\x1F\x8B|x[\x01\x20\x3F\x5E\x7D\x9C\xBB\xDA\xF9])"
 
 
-def _inflate(blob):
-    """All gzip or zlib members of one blob; None when it is neither, or damaged."""
-    parts = []
-    try:
-        while blob:
-            stream = zlib.decompressobj(wbits=zlib.MAX_WBITS | 32)
-            parts.append(stream.decompress(blob))
-            if not stream.eof:
-                return None
-            blob = stream.unused_data.lstrip(b"\0")
-    except zlib.error:
-        return None
-    return b"".join(parts)
-
-
-@F.pandas_udf(T.BinaryType())
-def inflate(blobs: pd.Series) -> pd.Series:
-    return blobs.map(_inflate, na_action="ignore")
+def _inflater():
+    """The UDF, made of inner functions: they travel to executors by value, which need not have this package."""
+
+    def one(blob):
+        """All gzip or zlib members of one blob; None when it is neither, or damaged."""
+        parts = []
+        try:
+            while blob:
+                stream = zlib.decompressobj(wbits=zlib.MAX_WBITS | 32)
+                parts.append(stream.decompress(blob))
+                if not stream.eof:
+                    return None
+                blob = stream.unused_data.lstrip(b"\0")
+        except zlib.error:
+            return None
+        return b"".join(parts)
+
+    def inflate(blobs: pd.Series) -> pd.Series:
+        return blobs.map(one, na_action="ignore")
+
+    return F.pandas_udf(inflate, T.BinaryType())
+
+
+inflate = _inflater()
 
 
 def decompress_bodies(df: DataFrame, columns=("request_body", "response_body")) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from loadlens.functions.text import byte_text, decimal
 from loadlens.schema import PAYLOAD
 
 _IDENTITY_HEADERS = ("authorization", "x-opaque-id", "user-agent")
@@ -29,10 +30,26 @@ def _checked_headers(headers: Column) -> dict[str, Column]:
     return {"headers": tags, "scan_error": problem}
 
 
-def _finish_scan(df: DataFrame) -> DataFrame:
+def _finish_scan(df: DataFrame, byte_safe: bool) -> DataFrame:
     checked = _checked_headers(F.col("headers"))
     keep = [checked["headers"].alias("headers") if f.name == "headers" else F.col(f.name) for f in PAYLOAD.fields]
-    return drop_unusable(df).select(*keep, checked["scan_error"].alias("scan_error"))
+    return drop_unusable(df).select(
+        *keep, checked["scan_error"].alias("scan_error"), F.lit(byte_safe).alias("byte_safe"))
+
+
+def recover_text(df: DataFrame, bodies: bool) -> DataFrame:
+    """Text of a byte-safe scan as UTF-8; bodies only if they are known not to be compressed.
+
+    Frames from elsewhere (no ``byte_safe`` column) are text already.
+    """
+    if "byte_safe" not in df.columns:
+        return df
+    names = ["path", "client_host", "cluster_name", *(("request_body", "response_body") if bodies else ())]
+    recovered = {n: F.when(F.col("byte_safe"), byte_text(F.col(n))).otherwise(F.col(n)) for n in names if n in df.columns}
+    if "headers" in df.columns:
+        decoded = F.transform_values("headers", lambda _, v: byte_text(v))
+        recovered["headers"] = F.when(F.col("byte_safe"), decoded).otherwise(F.col("headers"))
+    return df.withColumns(recovered)
 
 
 def read_payloads(spark: SparkSession, path: str, byte_safe: bool = True, **options) -> DataFrame:
@@ -40,12 +57,12 @@ def read_payloads(spark: SparkSession, path: str, byte_safe: bool = True, **opti
 
     ``byte_safe`` reads each byte as one character, so that compressed bodies survive the scan.
     """
-    return _finish_scan(_json_reader(spark.read, byte_safe, options).json(path))
+    return _finish_scan(_json_reader(spark.read, byte_safe, options).json(path), byte_safe)
 
 
 def stream_payloads(spark: SparkSession, path: str, byte_safe: bool = True, **options) -> DataFrame:
     """The same over files as they arrive; ``maxFilesPerTrigger`` sets the batch size."""
-    return _finish_scan(_json_reader(spark.readStream, byte_safe, options).json(path))
+    return _finish_scan(_json_reader(spark.readStream, byte_safe, options).json(path), byte_safe)
 
 
 def _json_reader(reader, byte_safe: bool, options: dict):
@@ -113,7 +130,7 @@ def clean_payload(df: DataFrame) -> DataFrame:
 
     def number(name: str) -> tuple[Column, Column]:
         raw = F.col(name).cast("string") if name in have else F.lit(None).cast("string")
-        value = F.trim(raw).try_cast("double").try_cast("bigint")
+        value = decimal(raw).try_cast("bigint")
         return F.coalesce(value, F.lit(0).cast("bigint")), raw.isNotNull() & value.isNull()
 
     now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")

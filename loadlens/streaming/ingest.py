@@ -65,9 +65,9 @@ class BaselineCache:
 
 
 def process_batch(
-    batch: DataFrame, number: int, root: str, model: ScoringModel | None = None, baselines: DataFrame | None = None
+    batch: DataFrame, number: int, root: str, model: ScoringModel | None = None, baselines: DataFrame | None = None, **options
 ) -> None:
-    analyzed = analyze(batch, model=model, baselines=baselines).persist(StorageLevel.MEMORY_AND_DISK)
+    analyzed = analyze(batch, model=model, baselines=baselines, **options).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         records, dead = split_dead_letters(analyzed)
         made = {"records": records, "dead_letters": dead, "summary": summary_states(records)}
@@ -87,12 +87,13 @@ def start_ingest(
     baselines: BaselineCache | None = None,
     every: str = "5 seconds",
     once: bool = False,
+    **options,
 ) -> StreamingQuery:
-    """Run ``process_batch`` over a stream; ``once`` drains what is there and stops."""
+    """Run ``process_batch`` over a stream; ``once`` drains what is there and stops; ``options`` go to ``analyze``."""
 
     def handle(batch: DataFrame, number: int) -> None:
         current = baselines.current(batch.sparkSession) if baselines else None
-        process_batch(batch, number, root, model, current)
+        process_batch(batch, number, root, model, current, **options)
 
     writer = payloads.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
