@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from checks import stored
 from loadlens.operators import baselines as B, latency as L, metrics as M, summary as S
 from loadlens.operators.records import analyze, build_records, dedupe_msearch, split_dead_letters
 from loadlens.plans import catalog as C, health as H, panels as P
@@ -228,5 +229,14 @@ def queries() -> dict[str, Query]:
         name: (lambda spark, sf_dir, p=report: rounded(p(latency_samples.samples(configure(spark), sf_dir))))
         for name, report in L.REPORTS.items()
     })
+    view = RECORD_VIEWS
+    out["scanned_requests"] = stored.scanned(lambda r: rounded(view["record_request"](r)))
+    out["scanned_plain_responses"] = stored.scanned(lambda r: rounded(view["record_response"](r)), decompress=False)
+    out["streamed_responses"] = stored.streamed("records", lambda r: rounded(view["record_response"](r)))
+    out["streamed_dead_letters"] = stored.streamed("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
+    out["streamed_summary"] = stored.streamed("summary", lambda s: rounded(_no_sketches(S.finalize_states(s))))
+    out["tabled_requests"] = stored.tabled("records", lambda r: rounded(view["record_request"](r)))
+    out["tabled_dead_letters"] = stored.tabled("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
+    out["compacted_summary"] = stored.compacted_summary(lambda s: rounded(_no_sketches(S.finalize_states(s))))
     out["write_integrity"] = lambda spark, sf_dir: latency_samples.integrity_report(configure(spark), sf_dir)
     return out
