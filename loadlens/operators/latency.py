@@ -47,11 +47,11 @@ def latency_report(samples: DataFrame) -> DataFrame:
     )
 
 
-def error_samples(samples: DataFrame, n: int = 10) -> DataFrame:
-    """The first n failures, bodies cut."""
+def error_samples(samples: DataFrame, n: int = 10, snippet: int = SNIPPET) -> DataFrame:
+    """The first n failures, bodies cut to ``snippet`` characters."""
     return (
         samples.where(failed()).orderBy("ts", "op", "path_name").limit(n)
-        .select("op", "status", F.left("body", F.lit(SNIPPET)).alias("body"))
+        .select("op", "status", F.left("body", F.lit(snippet)).alias("body"))
     )
 
 

@@ -152,16 +152,22 @@ def dual(records: DataFrame, summary: DataFrame, name: str) -> DataFrame:
     )
 
 
-def variable(records: DataFrame, summary: DataFrame, name: str, now: datetime | None = None) -> DataFrame:
-    """Values of a dashboard variable: from the summary where it has the column, else from recent raw rows."""
+def variable(
+    records: DataFrame, summary: DataFrame, name: str, now: datetime | None = None,
+    limits: dict[str, int | None] = VARIABLE_LIMITS, days: int = 7,
+) -> DataFrame:
+    """Values of a dashboard variable: from the summary where it has the column, else from raw rows of the last ``days``.
+
+    ``limits`` caps the values per source; None offers all.
+    """
     column = DIMENSIONS[name]
     if column in summary.columns:
-        return P.variable_values(summary, column, VARIABLE_LIMITS["summary"])
+        return P.variable_values(summary, column, limits["summary"])
     moment = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
-    recent = records.where(F.col("timestamp") > moment - F.expr("INTERVAL 7 DAYS"))
+    recent = records.where(F.col("timestamp") > moment - F.make_dt_interval(F.lit(days)))
     if now and "day" in records.columns:
-        recent = recent.where(F.col("day") >= F.lit((now - timedelta(days=7)).date()))
-    return P.variable_values(recent, column, VARIABLE_LIMITS["raw"])
+        recent = recent.where(F.col("day") >= F.lit((now - timedelta(days=days)).date()))
+    return P.variable_values(recent, column, limits["raw"])
 
 
 def pick_source(filters: Filters, dims: list[str], op: str, column: str | None, now: datetime, raw_days: int = 3) -> str:

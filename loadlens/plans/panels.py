@@ -41,11 +41,14 @@ def with_bucket(df: DataFrame, dim: str, name: str = "bucket") -> DataFrame:
     return df.withColumn(name, column)
 
 
-def label_of(dim: str, bucket: str = "bucket") -> Column:
-    """What a chart prints for a bucket.  Templates are cut, so those that share a prefix merge."""
+def label_of(dim: str, bucket: str = "bucket", chars: int | None = 60) -> Column:
+    """What a chart prints for a bucket.
+
+    Templates are cut to ``chars`` characters, so those that share a prefix merge; None keeps them whole.
+    """
     text = F.col(bucket).cast("string")
     if dim == "request_template":
-        return F.coalesce(F.nullif(F.left(text, F.lit(60)), F.lit("")), F.lit("(no template)"))
+        return F.coalesce(F.nullif(text if chars is None else F.left(text, F.lit(chars)), F.lit("")), F.lit("(no template)"))
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("(unknown)"))
 
 
@@ -77,10 +80,10 @@ def stat(df: DataFrame, op: str, column: str | None = None, where: str = "") ->
     return (df.where(where) if where else df).agg(metric(op, column).alias("value"))
 
 
-def pie(df: DataFrame, dim: str, n: int = 8) -> DataFrame:
+def pie(df: DataFrame, dim: str, n: int = 8, chars: int | None = 60) -> DataFrame:
     """Share of total stress by label."""
     return (
-        with_bucket(df, dim).groupBy(label_of(dim).alias("label")).agg(F.sum("stress_score").alias("stress"))
+        with_bucket(df, dim).groupBy(label_of(dim, chars=chars).alias("label")).agg(F.sum("stress_score").alias("stress"))
         .orderBy(_descending("stress"), "label").limit(n)
     )
 
@@ -184,9 +187,10 @@ def wide(series: DataFrame, names: Sequence[str]) -> DataFrame:
 
 # -- variables and dead letters -------------------------------------------------------------
 
-def variable_values(df: DataFrame, column: str, n: int) -> DataFrame:
-    """First N distinct values to offer for a filter."""
-    return with_bucket(df, column, "value").select("value").distinct().orderBy("value").limit(n)
+def variable_values(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """Distinct values to offer for a filter, the first N of them or all."""
+    values = with_bucket(df, column, "value").select("value").distinct().orderBy("value")
+    return values if n is None else values.limit(n)
 
 
 def dlq_count(dead: DataFrame, every: str = "1 hour") -> DataFrame:
