@@ -174,6 +174,10 @@ def near_links(
         "key", "node", F.coalesce("component", "node").alias("class"))
     several = now.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
     now = cut(now.join(several, "key"), "near-open")
+    # Buckets with the same members are looked at once.
+    made = now.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    now = cut(now.join(made.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key"), "near-open")
     if not now.isEmpty():
         more = cut(across_classes(now, texts, threshold).distinct(), "near-links")
         if not more.isEmpty():
@@ -187,7 +191,8 @@ def across_classes(members: DataFrame, texts: DataFrame, threshold: float, block
 
     A bucket is cut into blocks of about ``block`` nodes, large classes by themselves, and each pair of blocks that can
     hold two classes is one group.  Within it, counts of common shingles come from matrix products; they bound what an
-    alignment can match, so that only pairs that may reach the threshold are aligned.
+    alignment can match, so that only pairs that may reach the threshold are aligned, and of those only the ones whose
+    classes no link of the group has joined yet.
     """
     sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
     pooled = sizes.groupBy("key").agg(F.sum(F.when(F.col("size") < block, F.col("size")).otherwise(0)).alias("rest"))
@@ -220,10 +225,21 @@ def across_classes(members: DataFrame, texts: DataFrame, threshold: float, block
         may = common >= threshold * (n + m - common)
         may &= left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
         x, y = left["node"].to_numpy(), right["node"].to_numpy()
-        found = []
+        p, q = left["class"].to_numpy(), right["class"].to_numpy()
+        found, joined = [], {}
+
+        def top(c):
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
         for i, j in zip(*np.nonzero(may)):
+            # Classes that a link has joined need no second one.
+            if (one := top(p[i])) == (other := top(q[j])):
+                continue
             if (similarity := aligned_similarity(a[i], b[j], threshold)) >= threshold:
                 found.append((min(x[i], y[j]), max(x[i], y[j]), similarity))
+                joined[max(one, other)] = min(one, other)
         return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
     return both.groupBy("group", "group2").applyInPandas(compare, "a long, b long, similarity double")
