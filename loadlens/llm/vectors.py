@@ -7,8 +7,11 @@ robust pruning; adjacency lists of a node are united over its shards.  Every nod
 the medoid, and expands from all nodes within a slack of the range until nothing new is found.  What is found is verified
 in double precision.
 
-Recall is audited against brute force for a bounded set of nodes (those with the smallest hashes) compared with all
-vectors in blocks; below ``goal`` another graph on shards of another seed adds its links.
+Recall is audited against brute force: blocks of nodes, in the order of a hash, are compared with all vectors until
+``enough`` of them have a neighbour, or none is left.  Below ``goal`` another graph on shards of another seed adds its
+links; if ``tries`` graphs do not reach it, the blocks go on through all nodes, and the result is exact.  So it is where
+near pairs are too rare to tell: no pair seen proves nothing before all nodes are asked.  This costs time with the square
+of the nodes, but lists no pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing.  Vectors of different lengths
 do not link.  Rows with equal ids are separate vectors.  A null id counts as larger than every id.  An empty table gives an
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from loadlens.llm.common import components, cut, table
 
 LAST = (1 << 63) - 1
-SAMPLE, AUDITED = 4096, 256
+SAMPLE = 4096
+#: Nodes of the first block of the audit, of the largest, and bytes of vectors that a block may have.
+AUDITED, LARGEST, ASKED_BYTES = 256, 16_384, 32 << 20
 #: Up to this many centroid rows are broadcast; beyond it they are joined by shard.
 BROADCAST_SHARDS = 2048
 
@@ -261,55 +266,173 @@ def graph_links(shards: DataFrame, limit: float, degree: int = 16, candidates: i
     return ready.groupBy("shard").applyInPandas(find, "a long, b long, cosine double")
 
 
-def audit(nodes: DataFrame, links: DataFrame, limit: float) -> float:
-    """Share of the brute-force neighbours of ``AUDITED`` nodes that are among the links; one pass over all vectors."""
-    asked = nodes.orderBy("node").limit(AUDITED).select("node", "unit").collect()
-    by_size: dict[int, tuple] = {}
-    for size in {len(r["unit"]) for r in asked}:
-        mine = [r for r in asked if len(r["unit"]) == size]
-        by_size[size] = np.array([r["node"] for r in mine]), np.array([r["unit"] for r in mine])
+class Recall(float):
+    """Audited recall, with the number of nodes compared with all others, those of them that have a neighbour, and their pairs.
+
+    1.0 of no pair says something only if all nodes were asked.
+    """
+
+    asked: int
+    linked: int
+    pairs: int
+
+
+def stars(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what ``near`` (a x b) joins, at most one for each node."""
+    i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near = near[np.ix_(i, j)]
+    label = np.arange(len(i))
+    while True:
+        over = np.where(near, label[:, None], len(i)).min(axis=0)
+        new = np.where(near, over[None, :], len(i)).min(axis=1)
+        if np.array_equal(new, label):
+            return np.r_[a[i], b[j]], a[i][np.r_[label, over]]
+        label = new
+
+
+def compared(nodes: DataFrame, asked: DataFrame, limit: float) -> DataFrame:
+    """``asked`` nodes against all, exactly: per task rows (node, pairs, rows) and rows (node, other).
+
+    The first count the neighbours of an asked node and their rows, the second join what is near.  Neither lists the
+    pairs themselves, which grow with the square of a group.
+    """
+    mine = asked.select("node", "unit").toArrow()
+    ids, units = (mine.column(c).combine_chunks() for c in (0, 1))
+    size = np.diff(units.offsets.to_numpy())
+    by_size = {int(s): (ids.take(pa.array(at)).to_numpy(), matrix(units.take(pa.array(at))))
+               for s in np.unique(size) for at in [np.flatnonzero(size == s)]}
     sent = nodes.sparkSession.sparkContext.broadcast(by_size)
 
     def compare(batches):
+        counts = {s: np.zeros((2, len(ids)), np.int64) for s, (ids, _) in sent.value.items()}
+        short = {s: x.astype(np.float32) for s, (_, x) in sent.value.items()}
+        joined: dict[int, int] = {}
+        links: list[tuple[int, int]] = []
+
+        def top(c):
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
         for batch in batches:
-            node, unit = batch.column(0).to_numpy(), batch.column(1)
-            size = np.diff(unit.offsets.to_numpy())
+            node, unit, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            sizes = np.diff(unit.offsets.to_numpy())
             for s, (ids, x) in sent.value.items():
-                at = np.flatnonzero(size == s)
-                if not len(at):
-                    continue
-                i, j = np.nonzero(x @ matrix(unit.take(pa.array(at))).T >= limit)
-                other = node[at[j]]
-                good = ids[i] != other
-                a, b = ids[i][good], other[good]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    truth = nodes.select("node", "unit").mapInArrow(compare, "a long, b long").distinct()
-    hit = truth.join(links.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left")
-    total, hits = hit.agg(F.count(F.lit(1)), F.count("hit")).first()
-    return hits / total if total else 1.0
+                at = np.flatnonzero(sizes == s)
+                # What single precision leaves open is computed again.
+                open_ = max(1e-4, s * 2.4e-7)
+                for low in range(0, len(at), 1024):
+                    part = at[low:low + 1024]
+                    y = matrix(unit.take(pa.array(part)))
+                    y_short, other = y.astype(np.float32), node[part]
+                    for q in range(0, len(ids), 2048):
+                        sims = short[s][q:q + 2048] @ y_short.T
+                        near = sims >= limit + open_
+                        i, j = np.nonzero(np.abs(sims - limit) <= open_)
+                        for k in range(0, len(i), 1 << 16):
+                            i_, j_ = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
+                            near[i_, j_] = np.einsum("nd,nd->n", x[q + i_], y[j_]) >= limit
+                        near &= ids[q:q + 2048, None] != other[None, :]
+                        if not near.any():
+                            continue
+                        counts[s][0, q:q + 2048] += near.sum(axis=1)
+                        counts[s][1, q:q + 2048] += (near @ n[part].astype(np.float64)).astype(np.int64)
+                        for one, two in zip(*(e.tolist() for e in stars(near, ids[q:q + 2048], other))):
+                            if (c := top(one)) != (d := top(two)):
+                                joined[max(c, d)] = min(c, d)
+                                links.append((one, two))
+        found = [(i, None, p, r) for s, (ids, _) in sent.value.items() for i, p, r in zip(ids.tolist(), *counts[s].tolist()) if p]
+        for low in range(0, len(rows := found + [(a, b, None, None) for a, b in links]), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in zip(*rows[low:low + (1 << 16)])], names=["node", "other", "pairs", "rows"])
+
+    return nodes.select("node", "unit", "n").mapInArrow(compare, "node long, other long, pairs long, rows long")
+
+
+class Audit:
+    """Brute force for a growing share of the nodes, in the order of a hash: each block is compared with all nodes."""
+
+    def __init__(self, nodes: DataFrame, limit: float):
+        self.nodes, self.limit = nodes, limit
+        self.total, wide = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("unit")), F.lit(1))).first()
+        self.block = max(256, min(LARGEST, ASKED_BYTES // (8 * wide)))
+        self.next, self.done, self.asked, self.seen = AUDITED, 0.0, 0, None
+
+    def all_asked(self) -> bool:
+        return self.done >= 1 or not self.total
+
+    def ask(self) -> None:
+        """One more block."""
+        upto = min(1.0, self.done + self.next / max(self.total, 1))
+        place = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
+        block = self.nodes.where((place >= self.done) & (place < upto))
+        more = cut(compared(self.nodes, block, self.limit), "vector-truth")
+        self.asked += block.count()
+        self.seen = more if self.seen is None else self.seen.unionByName(more)
+        self.done, self.next = upto, min(self.block, 4 * self.next)
+
+    def counts(self) -> DataFrame:
+        return self.seen.where("other is null").groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
+
+    def recall(self, links: DataFrame, enough: int) -> Recall:
+        """Recall of ``links`` once ``enough`` asked nodes have neighbours, or all nodes are asked.
+
+        The smaller of two: the share of all pairs, and the mean share of a node's pairs, which a large group of near
+        vectors does not settle alone.
+        """
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        known = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "vector-degrees")
+        linked, pairs, value = 0, 0, 1.0
+        while True:
+            if self.seen is not None:
+                both = cut(self.counts(), "vector-asked").join(known, "node", "left").select(
+                    "pairs", F.coalesce("found", F.lit(0)).alias("found"))
+                linked, pairs, found, mean = both.agg(
+                    F.count(F.lit(1)), F.sum("pairs"), F.sum("found"), F.avg(F.col("found") / F.col("pairs"))).first()
+                value = min(found / pairs, mean) if linked else 1.0
+            if self.seen is not None or self.all_asked():
+                break
+            self.ask()
+        out = Recall(value)
+        out.asked, out.linked, out.pairs = self.asked, linked, pairs or 0
+        return out
 
 
 def near_vectors(
     vectors: DataFrame, id_: str = "vec_id", embedding: str = "embedding", limit: float = 0.9, shard_size: int = 2000,
-    goal: float = 0.97, tries: int = 3,
-) -> tuple[DataFrame, float]:
-    """(one row per vector: id, n_links, component_id, kept; audited recall)."""
+    goal: float = 0.97, tries: int = 3, enough: int = 100,
+) -> tuple[DataFrame, Recall]:
+    """(one row per vector: id, n_links, component_id, kept; audited recall).
+
+    The recall is that of what is returned; below ``goal``, or with too few pairs to tell, the rows are exact.
+    """
     rows, nodes = nodes_of(vectors, id_, embedding)
-    links, recall = None, 0.0
+    audit, links, recall = Audit(nodes, limit), None, Recall(0.0)
     for seed in range(tries):
         shards = cut(shards_of(nodes, shard_size, seed), "vector-shards")
         more = cut(graph_links(shards, limit).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "vector-links")
         links = more if links is None else cut(
             links.unionByName(more).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "vector-links")
-        recall = audit(nodes, links, limit)
-        if recall >= goal:
+        recall = audit.recall(links, enough)
+        if recall >= goal or audit.all_asked():
             break
-    groups = components(links.select("a", "b"), "vector")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = nodes.select(F.col("node").alias("b"), "n")
-    linked = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    if recall < goal:
+        while not audit.all_asked():
+            audit.ask()
+    if audit.all_asked() and audit.seen is not None:
+        # Every node has met every other: counts and joins are exact, and the graph is not needed.
+        counts = cut(audit.counts(), "vector-asked")
+        linked = counts.select("node", F.col("rows").alias("others"))
+        groups = components(
+            audit.seen.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector")
+        n_linked, n_pairs = counts.agg(F.count(F.lit(1)), F.sum("pairs")).first()
+        recall = Recall(1.0)
+        recall.asked, recall.linked, recall.pairs = audit.asked, n_linked, n_pairs or 0
+    else:
+        groups = components(links.select("a", "b"), "vector")
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        sizes = nodes.select(F.col("node").alias("b"), "n")
+        linked = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     known = nodes.select("node", "n").join(linked, "node", "left").join(groups, "node", "left").select(
         "node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component", "node").alias("component"))

@@ -295,6 +295,26 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(df.limit(0))[0].count() == 0
 
 
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_a_group_of_near_vectors_larger_than_a_shard_is_whole(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=16) + draw.normal(size=(700, 16)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    out, recall = vectors.near_vectors(vector_table(spark, x), shard_size=60)
+    got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    assert np.mean([got[i] for i in range(700)]) >= 0.9 * want.mean() and recall >= 0.97
+    # Of one graph of small shards alone, the audit falls short.
+    _, nodes = vectors.nodes_of(vector_table(spark, x), "vec_id", "embedding")
+    links = vectors.graph_links(vectors.shards_of(nodes, 60, 0), 0.9).select("a", "b").distinct()
+    assert vectors.Audit(nodes, 0.9).recall(links, 100) < 0.9
+    exact = vectors.near_vectors(vector_table(spark, x), shard_size=60, goal=1.1)[0].collect()
+    assert [r["n_links"] for r in sorted(exact, key=lambda r: r["vec_id"])] == want.tolist()
+
+
 def test_written_tables_keep_schema(spark):
     df = spark.createDataFrame([(1, None)], "a long, b string")
     assert cut(df, "t").schema == df.schema and cut(df.limit(0), "t").count() == 0
