@@ -390,7 +390,7 @@ class Audit:
                 linked, pairs, found, mean = both.agg(
                     F.count(F.lit(1)), F.sum("pairs"), F.sum("found"), F.avg(F.col("found") / F.col("pairs"))).first()
                 value = min(found / pairs, mean) if linked else 1.0
-            if self.seen is not None or self.all_asked():
+            if linked >= enough or self.all_asked():
                 break
             self.ask()
         out = Recall(value)
