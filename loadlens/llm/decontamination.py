@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Names, numbers and units become typed placeholders; case and punctuation go.  Template windows of benchmark items (every
-position) meet those of documents (every ``stride``-th position) in a hash join, so that any shared run of at least
-``window + stride - 1`` tokens is found.  A candidate is verified on whole token sequences: its longest run of equal
-template tokens must reach ``min_run`` (or the whole item), and within the run each slot value of the item must stand for
-one value of the document and back, which catches re-parameterised questions and rejects chance agreement.
+Names (capitalised words that are no function words), numbers and units become typed placeholders, wherever they stand;
+case, punctuation and the kind of white space go.  Windows of benchmark items (every position), with and without names,
+meet those of documents (every ``stride``-th position) in a hash join, so that any shared run of at least
+``window + stride - 1`` tokens is found.  A candidate is verified on whole token sequences, where tokens match if they are
+equal or typed alike: its longest run must reach ``min_run`` (or the whole item), and within the run each slot value of
+the item must stand for one value of the document and back, which catches re-parameterised questions and rejects chance
+agreement; so does the rule that a third of the run must be equal words.
 
 Null and empty texts match nothing.  Items of fewer than ``min_item`` tokens are too short to be evidence and match
 nothing; items shorter than ``window + stride - 1`` tokens are searched as one window of their own length at every
@@ -24,36 +26,56 @@ NAME, NUMBER, UNIT = "ǂa", "ǂn", "ǂu"
 UNITS = ("mm|cm|m|km|in|inch|inches|ft|feet|foot|mi|mile|miles|mg|g|kg|t|lb|lbs|oz|ml|l|litre|litres|liter|liters|gal"
          "|s|sec|second|seconds|min|minute|minutes|h|hour|hours|day|days|week|weeks|month|months|year|years"
          "|percent|dollar|dollars|euro|euros|cent|cents|mph|kmh|degrees")
+#: Capitalised words that are no names.
+FUNCTION_WORDS = (
+    "a|an|the|this|that|these|those|some|any|each|every|all|both|no|i|you|he|she|it|we|they|his|her|its|my|your|our|their"
+    "|and|or|but|if|then|so|because|while|when|where|who|whom|whose|which|what|why|how|as|than|of|in|on|at|to|from|by|with"
+    "|for|about|after|before|between|into|over|under|is|are|was|were|be|been|has|have|had|do|does|did|can|could|will|would"
+    "|should|may|might|must|not|there|here|now|one|two|three|four|five|six|seven|eight|nine|ten|find|given|let|suppose"
+    "|el|la|los|las|un|una|y|en|de|que|le|les|des|du|et|der|die|das|ein|eine|und|mit|von|zu|ist")
 #: A broadcast is used up to this many benchmark windows (24 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 2_000_000
 
 
-def strip(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]++", ""), F.lit("\x20\t\n\x0b\x0c\r"))
+def squeezed(text: Column) -> Column:
+    """Text without punctuation, one space between tokens."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]++", "")
+    return F.trim(F.regexp_replace(bare, SPACE + "++", " "))
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of stripped text; none for an empty one."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SPACE + "+"))
+    """Tokens of squeezed text; none for an empty one."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def numbered(text: Column) -> Column:
+    """Squeezed text in lower case with numbers and units as placeholders."""
+    out = F.regexp_replace(F.lower(text), r"[0-9]++", NUMBER)
+    return F.regexp_replace(out, rf"(?<={NUMBER}\x20)(?:{UNITS})(?!\S)", UNIT)
 
 
 def template(text: Column) -> Column:
-    """Template tokens; as many as plain() has for the same text."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:]\x20)\p{Lu}[\p{L}'-]*+", NAME)
-    numbered = F.regexp_replace(F.lower(named), r"[0-9]++(?:[.,][0-9]++)*+", NUMBER)
-    return tokens(strip(F.regexp_replace(numbered, rf"(?<={NUMBER}\x20)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)))
+    """Template tokens; as many as plain() has for the same text.  A capitalised word is a name wherever it stands."""
+    return tokens(numbered(F.regexp_replace(squeezed(text), rf"(?<!\S)(?!(?i:{FUNCTION_WORDS})(?!\S))\p{{Lu}}\p{{L}}*+(?!\S)", NAME)))
+
+
+def nameless(text: Column) -> Column:
+    """Template tokens without names, which are the same in any case of letters."""
+    return tokens(numbered(squeezed(text)))
 
 
 def plain(text: Column) -> Column:
-    return tokens(strip(F.lower(F.coalesce(text, F.lit("")))))
+    return tokens(F.lower(squeezed(text)))
 
 
-def windows(rows: DataFrame, size: int, stride: int, *keep: str) -> DataFrame:
-    """(keep, __at, __h): hashes of ``size`` consecutive tokens of ``__t``."""
-    n = F.size("__t")
+def windows(rows: DataFrame, size: int, stride: int, forms: list[str], *keep: str) -> DataFrame:
+    """(keep, __at, __h): hashes of ``size`` consecutive tokens of each of ``forms``."""
+    n = F.size(forms[0])
     starts = F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice("__t", i + 1, F.lit(size))))
-    return rows.select(*keep, F.posexplode(hashed).alias("__at", "__h")).withColumn("__at", F.col("__at") * stride)
+    hashed = F.transform(starts, lambda i: F.array_distinct(
+        F.array(*[F.xxhash64(F.slice(form, i + 1, F.lit(size))) for form in forms])))
+    each = rows.select(*keep, F.posexplode(hashed).alias("__at", "__hs"))
+    return each.select(*keep, (F.col("__at") * stride).alias("__at"), F.explode("__hs").alias("__h"))
 
 
 def find_leaks(
@@ -65,24 +87,23 @@ def find_leaks(
     Columns: __k1, __k2 (document key), id, item, n_matched (template tokens in a row), n_item, same_values (no slot
     was changed).
     """
-    # A second template without names meets documents in lower case.
-    named, lower = (benchmark.select(
-        F.col(item).alias("__item"), template(t).alias("__t"), plain(F.col(item_text)).alias("__plain"))
-        for t in (F.col(item_text), F.lower(item_text)))
+    forms = lambda c: [template(c).alias("__t"), nameless(c).alias("__l"), plain(c).alias("__plain")]
     items = cut(
-        named.unionByName(lower)
+        benchmark.select(F.col(item).alias("__item"), *forms(F.col(item_text)))
         .withColumn("__n", F.size("__t")).where(F.col("__n") >= min_item)
         .dropDuplicates(["__item", "__plain", "__t"]), "leak-items")
-    rows = docs.select(*row_key(id_, text), template(F.col(text)).alias("__t"))
+    rows = docs.select(*row_key(id_, text), *forms(F.col(text)))
     whole = window + stride - 1
     lengths = sorted(r[0] for r in items.where(F.col("__n") < whole).select("__n").distinct().collect())
     hits = None
     for size, step, part in [(window, stride, items.where(F.col("__n") >= whole))] + [
             (n, 1, items.where(F.col("__n") == n)) for n in lengths]:
-        wanted = cut(windows(part, size, 1, "__item", "__n").withColumnRenamed("__at", "__from"), "leak-windows")
+        # A unit that only one side has a number before costs a long run one token, but a whole short item its window.
+        used = ["__t", "__l"] if step > 1 else ["__t", "__l", "__plain"]
+        wanted = cut(windows(part, size, 1, used, "__item", "__n").withColumnRenamed("__at", "__from"), "leak-windows")
         if wanted.count() <= BROADCAST_WINDOWS:
             wanted = F.broadcast(wanted)
-        found = windows(rows, size, step, "__k1", "__k2").join(wanted, "__h").select(
+        found = windows(rows, size, step, used, "__k1", "__k2").join(wanted, "__h").select(
             "__k1", "__k2", "__item", "__n", (F.col("__at") - F.col("__from")).alias("__shift")).distinct()
         hits = found if hits is None else hits.unionByName(found)
     hits = cut(hits, "leak-hits")
@@ -100,7 +121,8 @@ def find_leaks(
 
     def step(acc, i):
         at = i + F.col("__shift")
-        equal = F.coalesce(F.get("__dt", at) == F.get("__t", i), F.lit(False))
+        typed, verbatim = F.get("__dt", at) == F.get("__t", i), F.get("__dp", at) == F.get("__plain", i)
+        equal = F.coalesce(typed | verbatim, F.lit(False))
         run = F.when(equal, acc["run"] + 1).otherwise(0)
         better = run > acc["best"]
         return F.struct(
@@ -112,7 +134,7 @@ def find_leaks(
     pairs = pairs.where(F.col("__run.best") >= F.least(F.lit(min_run), F.col("__n")))
     inside = F.sequence(F.col("__run.end") - F.col("__run.best"), F.col("__run.end") - 1)
     slots = F.transform(
-        F.filter(inside, lambda i: F.get("__t", i).startswith("ǂ")),
+        F.filter(inside, lambda i: F.get("__t", i).contains("ǂ") & (F.get("__dt", i + F.col("__shift")) == F.get("__t", i))),
         lambda i: F.struct(F.get("__t", i).alias("kind"), F.get("__plain", i).alias("mine"),
                            F.get("__dp", i + F.col("__shift")).alias("theirs")))
     pairs = pairs.withColumn("__slots", F.array_distinct(slots))
@@ -121,6 +143,9 @@ def find_leaks(
     consistent = (F.size("__slots") == side("mine")) & (F.size("__slots") == side("theirs"))
     pairs = pairs.where(consistent)
     same = ~F.exists("__slots", lambda s: s["mine"] != s["theirs"])
+    # Titles and tables are all names or numbers; without a third of equal words only equal texts are evidence.
+    literal = F.size(F.filter(inside, lambda i: F.get("__plain", i) == F.get("__dp", i + F.col("__shift"))))
+    pairs = pairs.where(literal * 3 >= F.col("__run.best"))
     return pairs.groupBy("__k1", "__k2", "__item").agg(
         F.first("__id").alias(id_), F.max(F.struct(
             F.col("__run.best").alias("n_matched"), F.col("__n").alias("n_item"), same.alias("same_values"))).alias("__best"),

@@ -198,6 +198,19 @@ def test_leaks_and_new_parameters(spark):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == 9
 
 
+def test_names_are_names_wherever_they_stand(spark):
+    bench = spark.createDataFrame([
+        (1, "What is the capital of France?"),
+        (2, "Anna has 3 apples. Bob gives her 4 more and takes 2 of them back. How many apples are left with Anna?")],
+        "item_id long, text string")
+    texts = ["Question: What is the capital of France? Answer: Paris", "so,  WHAT is the\n\ncapital of france and why",
+             "Here: Clara has 7 apples. Tom gives her 5 more and takes 6 of them back. How many apples are left with Clara?",
+             "Clara has 7 apples. Tom gives her 5 more and takes 6 of them back. How many apples are left with Tom?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1): True, (1, 1): True, (2, 2): False}
+
+
 def test_leak_windows_against_brute_force(spark):
     draw = random.Random(4)
     vocabulary = ["alpha", "beta", "gamma", "delta", "12", "of", "the"]
