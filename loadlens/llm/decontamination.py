@@ -4,9 +4,9 @@ Names (capitalised words that are no function words), numbers and units become t
 case, punctuation and the kind of white space go.  Windows of benchmark items (every position), with and without names,
 meet those of documents (every ``stride``-th position) in a hash join, so that any shared run of at least
 ``window + stride - 1`` tokens is found.  A candidate is verified on whole token sequences, where tokens match if they are
-equal or typed alike: its longest run must reach ``min_run`` (or the whole item), and within the run each slot value of
-the item must stand for one value of the document and back, which catches re-parameterised questions and rejects chance
-agreement; so does the rule that a third of the run must be equal words.
+equal or typed alike: a run must reach ``min_run`` (or the whole item).  A run of equal tokens is a leak.  In any other
+run each slot value of the item must stand for one value of the document and back, which catches re-parameterised
+questions and rejects chance agreement; so does the rule that a third of the run must be equal words.
 
 Null and empty texts match nothing.  Items of fewer than ``min_item`` tokens are too short to be evidence and match
 nothing; items shorter than ``window + stride - 1`` tokens are searched as one window of their own length at every
@@ -119,36 +119,55 @@ def find_leaks(
     pairs = hits.join(texts, ["__k1", "__k2"]).join(
         near, F.col("__item").eqNullSafe(F.col("__i")) & (F.col("__n") == F.col("__m"))).drop("__i", "__m")
 
+    need = F.least(F.lit(min_run), F.col("__n"))
+    ended = lambda acc, i: F.when(
+        acc["run"] >= need, F.array_append(acc["runs"], F.struct((i - acc["run"]).alias("from"), acc["run"].alias("size")))
+    ).otherwise(acc["runs"])
+
     def step(acc, i):
         at = i + F.col("__shift")
         typed, verbatim = F.get("__dt", at) == F.get("__t", i), F.get("__dp", at) == F.get("__plain", i)
         equal = F.coalesce(typed | verbatim, F.lit(False))
-        run = F.when(equal, acc["run"] + 1).otherwise(0)
-        better = run > acc["best"]
+        same = F.when(F.coalesce(verbatim, F.lit(False)), acc["same"] + 1).otherwise(0)
         return F.struct(
-            run.alias("run"), F.when(better, run).otherwise(acc["best"]).alias("best"),
-            F.when(better, i + 1).otherwise(acc["end"]).alias("end"))
-
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("end"))
-    pairs = pairs.withColumn("__run", F.aggregate(F.sequence(F.lit(0), F.col("__n") - 1), zero, step))
-    pairs = pairs.where(F.col("__run.best") >= F.least(F.lit(min_run), F.col("__n")))
-    inside = F.sequence(F.col("__run.end") - F.col("__run.best"), F.col("__run.end") - 1)
-    slots = F.transform(
-        F.filter(inside, lambda i: F.get("__t", i).contains("ǂ") & (F.get("__dt", i + F.col("__shift")) == F.get("__t", i))),
-        lambda i: F.struct(F.get("__t", i).alias("kind"), F.get("__plain", i).alias("mine"),
-                           F.get("__dp", i + F.col("__shift")).alias("theirs")))
-    pairs = pairs.withColumn("__slots", F.array_distinct(slots))
-    side = lambda name: F.size(F.array_distinct(F.transform(
-        "__slots", lambda s: F.struct(s["kind"], s[name]))))
-    consistent = (F.size("__slots") == side("mine")) & (F.size("__slots") == side("theirs"))
-    pairs = pairs.where(consistent)
-    same = ~F.exists("__slots", lambda s: s["mine"] != s["theirs"])
-    # Titles and tables are all names or numbers; without a third of equal words only equal texts are evidence.
-    literal = F.size(F.filter(inside, lambda i: F.get("__plain", i) == F.get("__dp", i + F.col("__shift"))))
-    pairs = pairs.where(literal * 3 >= F.col("__run.best"))
+            F.when(equal, acc["run"] + 1).otherwise(0).alias("run"),
+            F.when(equal, acc["runs"]).otherwise(ended(acc, i)).alias("runs"),
+            same.alias("same"), F.greatest(acc["best_same"], same).alias("best_same"))
+
+    zero = F.struct(
+        F.lit(0).alias("run"), F.array().cast("array<struct<from:int,size:int>>").alias("runs"),
+        F.lit(0).alias("same"), F.lit(0).alias("best_same"))
+    done = lambda acc: F.struct(ended(acc, F.col("__n")).alias("runs"), acc["best_same"].alias("best_same"))
+    pairs = pairs.withColumn("__run", F.aggregate(F.sequence(F.lit(0), F.col("__n") - 1), zero, step, done))
+    pairs = pairs.where(F.size("__run.runs") > 0)
+
+    def judged(run):
+        inside = F.sequence(run["from"], run["from"] + run["size"] - 1)
+        there = lambda name, i: F.get(name, i + F.col("__shift"))
+        slots = F.transform(
+            F.filter(inside, lambda i: F.get("__t", i).contains("ǂ") & (there("__dt", i) == F.get("__t", i))),
+            lambda i: F.struct(F.get("__t", i).alias("kind"), F.get("__plain", i).alias("mine"),
+                               there("__dp", i).alias("theirs")))
+        literal = F.size(F.filter(inside, lambda i: F.get("__plain", i) == there("__dp", i)))
+        return F.struct(run["size"].alias("size"), F.array_distinct(slots).alias("slots"), literal.alias("literal"))
+
+    def holds(run):
+        side = lambda name: F.size(F.array_distinct(F.transform(
+            run["slots"], lambda s: F.struct(s["kind"], s[name]))))
+        # Titles and tables are all names or numbers; without a third of equal words only equal texts are evidence.
+        return (F.size(run["slots"]) == side("mine")) & (F.size(run["slots"]) == side("theirs")) & (
+            run["literal"] * 3 >= run["size"])
+
+    found = lambda size, same: F.struct(
+        size.alias("n_matched"), F.col("__n").alias("n_item"), same.alias("same_values"))
+    pairs = pairs.withColumn("__judged", F.transform("__run.runs", judged))
+    runs = F.transform(F.filter("__judged", holds), lambda r: found(
+        r["size"], ~F.exists(r["slots"], lambda s: s["mine"] != s["theirs"])))
+    # A long enough run of equal tokens is a leak, whatever was changed beside it.
+    equal_run = F.when(F.col("__run.best_same") >= need, found(F.col("__run.best_same"), F.lit(True)))
+    pairs = pairs.withColumn("__best", F.array_max(F.array_append(runs, equal_run))).where(F.col("__best").isNotNull())
     return pairs.groupBy("__k1", "__k2", "__item").agg(
-        F.first("__id").alias(id_), F.max(F.struct(
-            F.col("__run.best").alias("n_matched"), F.col("__n").alias("n_item"), same.alias("same_values"))).alias("__best"),
+        F.first("__id").alias(id_), F.max("__best").alias("__best"),
     ).select("__k1", "__k2", id_, F.col("__item").alias(item), "__best.*")
 
 

@@ -211,6 +211,13 @@ def test_names_are_names_wherever_they_stand(spark):
     assert got == {(0, 1): True, (1, 1): True, (2, 2): False}
 
 
+def test_a_verbatim_run_is_a_leak_whatever_changed_behind_it(spark):
+    item = "we put 2 red and some green balls in a box and then draw from it without looking until we have 2 of them"
+    docs = spark.createDataFrame([(0, item.replace("2 of", "3 of")), (1, item.replace("2 red", "3 red"))], "doc_id long, text string")
+    got = decontamination.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_matched"], r["same_values"]) for r in got} == {0: (21, True), 1: (21, True)}
+
+
 def test_leak_windows_against_brute_force(spark):
     draw = random.Random(4)
     vocabulary = ["alpha", "beta", "gamma", "delta", "12", "of", "the"]
