@@ -1,12 +1,13 @@
 """Cross-site boilerplate removal by the spread of a line over distinct sites.
 
-Every line (trimmed, at least ``min_words`` words) gets a HyperLogLog sketch of its sites; sketches merge by
-aggregation.  Lines whose estimate is clearly at or above ``min_sites`` are boilerplate, lines clearly below are not,
-and lines near the threshold get an exact distinct count.  The occurrence with the smallest (id, position) stays; all
+Every line (trimmed, not blank) gets a HyperLogLog sketch of its sites; sketches merge by aggregation.  Lines whose
+estimate is clearly at or above their threshold are boilerplate, lines clearly below are not, and lines near it get an
+exact distinct count.  The threshold is ``min_sites``; for lines of fewer than ``min_words`` words, which sites also share
+by chance, it is ``short_sites`` (None: short lines stay).  The occurrence with the smallest (id, position) stays; all
 others are removed.
 
 A null text stays null and has no lines.  A null site is one site of its own.  Rows equal in id and text share their
-first occurrence.  Shorter and blank lines are never touched.  An empty table gives an empty result.
+first occurrence.  Blank lines are never touched.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,48 +23,50 @@ BAND = 6 * 1.04 / 2 ** (SKETCH_BITS / 2)
 TRIM = "\x20\t\n\x0b\x0c\r"
 
 
-def line_table(docs: DataFrame, id_: str, text: str, site: str, min_words: int) -> DataFrame:
-    """One row per line that counts: document key, id, site, position, 128-bit line hash."""
+def line_table(docs: DataFrame, id_: str, text: str, site: str, min_words: int, short: bool) -> DataFrame:
+    """One row per line that counts: document key, id, site, position, whether it is short, 128-bit line hash."""
     key = row_key(id_, text)
     enough = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (min_words - 1)
     lines = docs.where(F.col(text).isNotNull()).select(
         *key, F.col(id_).alias("__id"), F.col(site).alias("__site"),
         F.posexplode(F.split(text, "\n")).alias("__pos", "__line"))
     line = F.trim(F.col("__line"), F.lit(TRIM))
-    return lines.where(F.col("__line").rlike(enough)).select(
-        "__k1", "__k2", "__id", "__site", "__pos",
+    few = ~F.col("__line").rlike(enough)
+    return lines.where(line != "" if short else ~few).select(
+        "__k1", "__k2", "__id", "__site", "__pos", (few if short else F.lit(False)).alias("__short"),
         F.xxhash64(line).alias("__h1"), F.xxhash64(F.lit("line"), line).alias("__h2"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes of lines seen on at least ``min_sites`` distinct sites, with the first occurrence of each."""
+def boilerplate(lines: DataFrame, min_sites: int, short_sites: int | None = None) -> DataFrame:
+    """Hashes of lines seen on at least as many distinct sites as their threshold, with the first occurrence of each."""
+    least = F.when(F.col("__short"), F.lit(short_sites)).otherwise(F.lit(min_sites))
     spread = cut(
         lines.groupBy("__h1", "__h2").agg(
             F.hll_sketch_estimate(F.hll_sketch_agg(
                 F.xxhash64(F.col("__site").isNull(), F.col("__site")), SKETCH_BITS)).alias("__est"),
-            F.min(F.struct("__id", "__pos")).alias("__first"))
-        .where(F.col("__est") >= (1 - BAND) * min_sites - 1), "line-spread")
-    near = spread.where(F.abs(F.col("__est") - min_sites) <= BAND * min_sites + 1)
-    sure = spread.where(F.col("__est") > (1 + BAND) * min_sites + 1)
+            F.min(F.struct("__id", "__pos")).alias("__first"), F.first("__short").alias("__short"))
+        .withColumn("__least", least).where(F.col("__est") >= (1 - BAND) * F.col("__least") - 1), "line-spread")
+    near = spread.where(F.abs(F.col("__est") - F.col("__least")) <= BAND * F.col("__least") + 1)
+    sure = spread.where(F.col("__est") > (1 + BAND) * F.col("__least") + 1)
     sites = lines.groupBy("__h1", "__h2", "__site").agg(F.lit(1).alias("__one"))
     exact = (
-        sites.join(near.select("__h1", "__h2", "__first"), ["__h1", "__h2"])
-        .groupBy("__h1", "__h2").agg(F.sum("__one").alias("__sites"), F.first("__first").alias("__first"))
-        .where(F.col("__sites") >= min_sites)
+        sites.join(near.select("__h1", "__h2", "__first", "__least"), ["__h1", "__h2"])
+        .groupBy("__h1", "__h2", "__least").agg(F.sum("__one").alias("__sites"), F.first("__first").alias("__first"))
+        .where(F.col("__sites") >= F.col("__least"))
     )
     return sure.select("__h1", "__h2", "__first").unionByName(exact.select("__h1", "__h2", "__first"))
 
 
 def drop_boilerplate(
     docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8,
-    min_words: int = 5, report: bool = False,
+    min_words: int = 5, report: bool = False, short_sites: int | None = 16,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text``; all rows and columns stay.
 
     ``report`` adds n_lines and n_removed.
     """
-    lines = cut(line_table(docs, id_, text, site, min_words), "lines")
-    bad = cut(boilerplate(lines, min_sites), "line-bad")
+    lines = cut(line_table(docs, id_, text, site, min_words, short_sites is not None), "lines")
+    bad = cut(boilerplate(lines, min_sites, short_sites), "line-bad")
     removed = (
         lines.join(bad, ["__h1", "__h2"]).where(~F.struct("__id", "__pos").eqNullSafe(F.col("__first")))
         .groupBy("__k1", "__k2").agg(F.collect_set("__pos").alias("__removed"))
@@ -83,8 +86,8 @@ def drop_boilerplate(
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, removed lines and the SHA-256 of what stays."""
-    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), report=True)
+    """Per document: lines, removed lines and the SHA-256 of what stays.  As in its SQL, short lines stay."""
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), report=True, short_sites=None)
     return cleaned.select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

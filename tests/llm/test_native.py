@@ -128,6 +128,15 @@ def test_lines_against_brute_force(spark):
     assert lines.drop_boilerplate(odd.empty(spark)).count() == 0
 
 
+def test_short_lines_on_many_sites_go(spark):
+    rows = [(i, f"All rights reserved.\n\n{'On twelve sites.' if i < 12 else 'x'}\nown {i} words", f"s{i}") for i in range(18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, short_sites=16).collect()}
+    assert got == {i: text if not i else text.removeprefix("All rights reserved.\n") for i, text, _ in rows}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, short_sites=None).collect()}
+    assert got == {i: text for i, text, _ in rows}
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     df = odd.docs(spark)
     out, pieces = mixing.mix(df, block_tokens=16)
