@@ -5,7 +5,8 @@ writes to will do: a gzip member ends with the high byte of its length, which is
 the line separator used; after a larger record an empty member follows, which ends in zero as well.
 
 The reader checks each member (CRC and length by gzip, block length and payload digest by WARC).  After a failed check it
-searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap.
+searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap.  A member
+may hold many records: what inflates of a damaged or cut one is kept, and searched in the same way.
 
 A null html is an empty payload; a null url gives no target header; a null page_id gives a record id made from the
 content, and reads back as null.  Of equal payloads of at least ``min_bytes``, rows with the smallest page_id are
@@ -93,52 +94,100 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at ``at``; None if it is damaged or cut off."""
+def inflate(data: memoryview, at: int) -> tuple[bytes, int | None, str]:
+    """(content, end, "") of the gzip member at ``at``; of a damaged or cut one what inflates, None and the reason."""
     unpack, parts, size = zlib.decompressobj(31), [], 1 << 16
-    try:
-        while not unpack.eof and at < len(data):
-            parts.append(unpack.decompress(data[at:at + size]))
-            at += min(size, len(data) - at) - len(unpack.unused_data)
-    except zlib.error:
-        return None
-    return (b"".join(parts), at) if unpack.eof else None
+    while not unpack.eof and at < len(data):
+        piece = data[at:at + size]
+        before = unpack.copy() if parts else zlib.decompressobj(31)
+        try:
+            parts.append(unpack.decompress(piece))
+        except zlib.error:
+            # The failed call keeps its output to itself; single bytes give all that comes before the fault.
+            for i in range(len(piece)):
+                try:
+                    parts.append(before.decompress(piece[i:i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), None, "damaged member"
+        at += len(piece) - len(unpack.unused_data)
+    return b"".join(parts), at if unpack.eof else None, "" if unpack.eof else "cut member"
+
+
+def inside(content: bytes, whole: bool) -> Iterator[tuple[int, int, dict | str]]:
+    """Like salvage(), for the content of a member, with offsets in it.
+
+    Where the member is not ``whole``, what inflates may be wrong: records without a digest that could be checked are gaps.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        one = parse_record(content, at)
+        if not isinstance(one, str) and not whole:
+            head = content[at:content.find(b"\r\n\r\n", at)].lower()
+            held = rb"\nwarc-block-digest:\s*sha256:" if one[0]["payload"] is None else rb"\nwarc-(block|payload)-digest:\s*sha256:"
+            one = one if re.search(held, head) else "unverified record"
+        if isinstance(one, str):
+            if gap is None:
+                gap, reason = at, one
+            at = place if (place := content.find(b"WARC/1.", at + 1)) >= 0 else len(content)
+            continue
+        if gap is not None:
+            yield gap, at, reason
+            gap = None
+        yield at, one[1], one[0]
+        at = one[1]
+    if gap is not None:
+        yield gap, len(content), reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(start, end, fields) of each good record and (start, end, reason) of each gap, in file order."""
+    """(start, end, fields) of each good record and (start, end, reason) of each gap, in file order.
+
+    Gaps within a member that has good records have the member's place, and their own in its content in the reason.
+    """
     view, at, gap, reason = memoryview(data), 0, None, ""
 
     def read(at):
-        """(records, end) at this place, or the reason why there is none."""
+        """(records and gaps, end) at this place, or the reason why there is no record; no end if it is not known."""
         if data.startswith(b"\x1f\x8b", at):
-            if (member := inflate(view, at)) is None:
-                return "damaged member"
-            content, end = member
-            got, pos = [], 0
-            while pos < len(content):
-                if isinstance(one := parse_record(content, pos), str):
-                    return one
-                got.append(one[0])
-                pos = one[1]
+            content, end, why = inflate(view, at)
+            found = list(inside(content, why != "damaged member"))
+            if why == "cut member" and found and found[-1][1] == len(content):
+                # The record that the cut goes through: its member's end is missing, even if all its bytes are there.
+                found[-1] = *found[-1][:2], found[-1][2] if isinstance(found[-1][2], str) else "cut record"
+            good = [f for *_, f in found if isinstance(f, dict)]
+            if not good and (why or found):
+                return why or found[0][2]
+            got = [f if isinstance(f, dict) else f"{f} at {a}-{b} of the member" for a, b, f in found]
+            if why:
+                got.append(f"{why} after {len(content)} bytes of content")
             return got, end
         one = parse_record(data, at)
         return one if isinstance(one, str) else ([one[0]], one[1])
 
+    def next_place(at):
+        places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
+        return min(places, default=len(data))
+
     while at < len(data):
         found = read(at)
         if isinstance(found, str):
             if gap is None:
                 gap, reason = at, found
-            places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+            at = next_place(at)
             continue
         if gap is not None:
             yield gap, at, reason
             gap = None
+        end = found[1]
+        if end is None:
+            # The end of a bad member is where something readable starts.
+            end = next_place(at)
+            while end < len(data) and isinstance(read(end), str):
+                end = next_place(end)
         for fields in found[0]:
-            yield at, found[1], fields
-        at = found[1]
+            yield at, end, fields
+        at = end
     if gap is not None:
         yield gap, len(data), reason
 

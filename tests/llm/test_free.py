@@ -60,6 +60,39 @@ def test_salvage_recovers_later_records_and_logs_gaps(compress):
     assert list(warc.salvage(b"")) == []
 
 
+def ids_and_gaps(data):
+    found = list(warc.salvage(data))
+    return [f["page_id"] for *_, f in found if isinstance(f, dict)], [g for g in found if isinstance(g[2], str)]
+
+
+def test_salvage_goes_on_inside_a_member_of_several_records():
+    parts = [member(i, False) for i in range(6)]
+    # One bad record, in a sound member.
+    bad = bytearray(b"".join(parts))
+    bad[sum(map(len, parts[:3])) - 100] ^= 0xFF
+    whole = warc.gzip_member(bytes(bad), 6)
+    after = member(9)
+    got, gaps = ids_and_gaps(whole + after)
+    low, high = len(parts[0] + parts[1]), len(parts[0] + parts[1] + parts[2])
+    assert got == [0, 1, 3, 4, 5, 9]
+    assert gaps == [(0, len(whole), f"wrong block digest at {low}-{high} of the member")]
+    # A wrong checksum, and a member cut at its tail.
+    wrong = bytearray(warc.gzip_member(b"".join(parts), 6))
+    wrong[-6] ^= 0xFF
+    got, gaps = ids_and_gaps(bytes(wrong) + after)
+    assert got == [0, 1, 2, 3, 4, 5, 9] and [g[:2] for g in gaps] == [(0, len(wrong))]
+    noise = [warc.warc_record(i, "u", b, hashlib.sha256(b).hexdigest(), None, "d") for i in range(5)
+             for b in [np.random.default_rng(i).bytes(50_000)]]
+    cut_off = warc.gzip_member(b"".join(noise), 6)[:-20_000]
+    got, gaps = ids_and_gaps(cut_off)
+    assert got == [0, 1, 2, 3] and gaps[-1][2].startswith("cut member") and all(g[:2] == (0, len(cut_off)) for g in gaps)
+    # Damage in the middle: what comes before it stays.
+    hit = bytearray(warc.gzip_member(b"".join(noise), 6))
+    hit[130_000:130_200] = b"\xff" * 200
+    got, gaps = ids_and_gaps(bytes(hit) + after)
+    assert got[:2] == [0, 1] and got[-1] == 9 and gaps
+
+
 # --- quality ---------------------------------------------------------------------------------------------------
 
 def test_classifier_on_held_out_rows_and_odd_ones(spark):
