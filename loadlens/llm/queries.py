@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import decontamination, lines, mixing, neardups, privacy, quality, secret_scan, substrings, vectors, warc
+from loadlens.llm import (
+    ctw, decontamination, lines, mixing, neardups, prefix_trie, privacy, quality, repair, secret_scan, substrings, vectors, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_vector_graph": vectors.op10_vector_graph,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_conversation_repair": repair.op12_conversation_repair,
+        "op13_context_tree": ctw.op13_context_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op9_line_dedup": lines.SQL}
+    return {"op2_warc": warc.SQL, "op9_line_dedup": lines.SQL, "op11_prefix_trie": prefix_trie.SQL,
+            "op12_conversation_repair": repair.SQL}
