@@ -31,9 +31,9 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 from loadlens.llm.common import cut, table
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text whose grams are counted together, and grams that one numpy call works on.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
 PIECE = 4 << 20
 DOCS, GRAMS, WORDS = range(3)
 
@@ -125,11 +125,14 @@ def chunker(schema: pa.Schema, depth: int):
         train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         texts, data, ends = lower(batch.column(2))
         yield rows(chunk, DOCS, len(batch), id=batch.column(0), held=batch.column(1), text=pc.fill_null(batch.column(2), ""))
+        grams, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for keys, owner, _, lengths in gram_pieces(data, ends, depth):
             found = pc.dictionary_encode(pa.array(keys))
             index = found.indices.to_numpy()[np.repeat(train[owner], lengths)]
-            counts = np.bincount(index, minlength=len(found.dictionary)).astype(np.int64)
-            yield rows(chunk, GRAMS, len(counts), gram=found.dictionary, n=pa.array(counts))
+            counts = np.bincount(index, minlength=len(found.dictionary))
+            grams, place = np.unique(np.concatenate([grams, found.dictionary.to_numpy()]), return_inverse=True)
+            times = np.bincount(place, np.concatenate([times, counts]), len(grams)).astype(np.int64)
+        yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
         words, owner = split_words(texts)
         if len(words):
             found = pc.dictionary_encode(words)
