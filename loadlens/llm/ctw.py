@@ -26,9 +26,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType)
 
-from loadlens.llm.common import cut, table
+from loadlens.llm.common import cut, discard, table
 
 #: Bytes of context.
 DEPTH = 5
@@ -114,6 +116,7 @@ def _cuts(sizes: np.ndarray, most: int):
 
 
 def chunker(schema: pa.Schema, depth: int):
+    """Per chunk: one row of its texts, and rows of its distinct grams and words with their counts in training texts."""
     def chunks(batches):
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
@@ -124,7 +127,9 @@ def chunker(schema: pa.Schema, depth: int):
         chunk = uuid.uuid4().int >> 65
         train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         texts, data, ends = lower(batch.column(2))
-        yield rows(chunk, DOCS, len(batch), id=batch.column(0), held=batch.column(1), text=pc.fill_null(batch.column(2), ""))
+        fields = {"ids": batch.column(0), "held": batch.column(1), "sizes": pa.array(np.diff(ends))}
+        yield rows(chunk, DOCS, 1, data=pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)]), **{
+            k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in fields.items()})
         grams, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for keys, owner, _, lengths in gram_pieces(data, ends, depth):
             found = pc.dictionary_encode(pa.array(keys))
@@ -133,11 +138,8 @@ def chunker(schema: pa.Schema, depth: int):
             grams, place = np.unique(np.concatenate([grams, found.dictionary.to_numpy()]), return_inverse=True)
             times = np.bincount(place, np.concatenate([times, counts]), len(grams)).astype(np.int64)
         yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
-        words, owner = split_words(texts)
-        if len(words):
-            found = pc.dictionary_encode(words)
-            counts = np.bincount(found.indices.to_numpy()[train[owner]], minlength=len(found.dictionary)).astype(np.int64)
-            yield rows(chunk, WORDS, len(counts), word=found.dictionary, n=pa.array(counts))
+        words, counts, _, _ = counted_words(texts, train)
+        yield rows(chunk, WORDS, len(words), word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
 
     def rows(chunk, kind, size, **columns):
         values = {"chunk": pa.array(np.full(size, chunk, np.int64)), "kind": pa.array(np.full(size, kind, np.int64))} | columns
@@ -147,37 +149,48 @@ def chunker(schema: pa.Schema, depth: int):
     return chunks
 
 
-def scorer(depth: int, tokens: int, kinds: int, texts: int, schema: pa.Schema):
+def counted_words(texts: pa.Array, train: np.ndarray):
+    """Distinct words in the order of their first place, their counts in training texts, each word's index and its text."""
+    words, owner = split_words(texts)
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    found = pc.dictionary_encode(words)
+    index = found.indices.to_numpy(zero_copy_only=False)
+    counts = np.bincount(index[train[owner]], minlength=len(found.dictionary)).astype(np.int64)
+    return found.dictionary, counts, index, owner
+
+
+def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema):
     """Scores of the texts of one chunk from the values of its grams and the counts of its words."""
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        text = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
-        made, data, ends = lower(text)
-        is_gram = pc.is_valid(values.column("gram"))
-        grams = values.filter(is_gram)
+        parts = [one(row, values) for row in docs.to_pylist()]
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    def one(row, values):
+        size = np.array(row["sizes"], np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(pa.decompress(row["data"], int(ends[-1]), "zstd", asbytes=True), np.uint8)
+        texts = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(data))
+        held, n = np.array(row["held"], bool), len(size)
+        of_word = pc.is_valid(values.column("at"))
+        grams, words = values.filter(pc.invert(of_word)), values.filter(of_word)
         known, price = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
         order = np.argsort(known)
         known, price = known[order], price[order]
-        total = np.zeros(docs.num_rows)
+        total = np.zeros(n)
         for keys, owner, starts, _ in gram_pieces(data, ends, depth):
             found = pc.dictionary_encode(pa.array(keys))
             each = price[np.searchsorted(known, found.dictionary.to_numpy())][found.indices.to_numpy()]
             np.add.at(total, owner, np.add.reduceat(each, starts))
-        words, owner = split_words(made)
-        counts = np.bincount(owner, minlength=docs.num_rows)
-        base = np.full(docs.num_rows, math.log10((texts + 1) / (tokens + kinds + 1)))
-        seen = np.full(docs.num_rows, int(texts > 0))
-        if len(words):
-            found = pc.dictionary_encode(words)
-            listed = values.filter(pc.invert(is_gram))
-            place = pc.index_in(found.dictionary, value_set=listed.column("word").combine_chunks().cast(found.dictionary.type))
-            times = listed.column("n").to_numpy()[place.to_numpy()][found.indices.to_numpy()]
-            base += np.bincount(owner, np.log10((times + 1) / (tokens + kinds + 1)), docs.num_rows)
-            seen = seen + np.bincount(owner, times > 0, docs.num_rows).astype(np.int64)
-        size = np.diff(ends)
+        _, times, index, owner = counted_words(texts, ~held)
+        times[words.column("at").to_numpy()] = words.column("value").to_numpy().astype(np.int64)
+        base = np.full(n, math.log10((trained + 1) / (tokens + kinds + 1)))
+        base += np.bincount(owner, np.log10((times + 1) / (tokens + kinds + 1))[index], n)
+        known_words = np.bincount(owner, (times > 0)[index], n).astype(np.int64)
         return pa.table([
-            docs.column("id"), docs.column("held"), pa.array(counts + 1), pa.array(seen), pa.array(np.full(docs.num_rows, tokens)),
-            pa.array(base), pa.array(total), pa.array(size), pa.array(-total * math.log2(10) / (size + 1))], names=schema.names).cast(schema)
+            pa.array(row["ids"], schema.field("id").type), pa.array(held), pa.array(np.bincount(owner, minlength=n) + 1),
+            pa.array(known_words + (trained > 0)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(total), pa.array(size),
+            pa.array(-total * math.log2(10) / (size + 1))], names=schema.names).cast(schema)
 
     return score
 
@@ -235,8 +248,10 @@ def gram_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         above = here.join(above, ["up", "node"]).select(
             "context", "node", (F.col("mix") + F.col("rest") * F.col("share") * F.col("one")).alias("mix"),
             (F.col("rest") * (1 - F.col("share"))).alias("rest"))
+    chances = cut(above, "ctw-chances")
+    discard(*levels)
     chance = F.when(F.col("bit") == 1, F.col("mix")).otherwise(1 - F.col("mix"))
-    return decisions(grams.select("gram")).join(above, ["context", "node"]).groupBy("gram").agg(F.sum(F.log10(chance)).alias("value"))
+    return decisions(grams.select("gram")).join(chances, ["context", "node"]).groupBy("gram").agg(F.sum(F.log10(chance)).alias("value"))
 
 
 def score_texts(docs: DataFrame, id_: str = "doc_id", text: str = "text", held: Column | None = None, depth: int = DEPTH) -> DataFrame:
@@ -249,29 +264,31 @@ def score_texts(docs: DataFrame, id_: str = "doc_id", text: str = "text", held:
     held = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
     id_type = docs.schema[id_].dataType
     fields = StructType([
-        StructField("chunk", LongType()), StructField("kind", LongType()), StructField("id", id_type),
-        StructField("held", BooleanType()), StructField("text", StringType()), StructField("gram", LongType()),
-        StructField("word", StringType()), StructField("n", LongType())])
+        StructField("chunk", LongType()), StructField("kind", LongType()), StructField("ids", ArrayType(id_type)),
+        StructField("held", ArrayType(BooleanType())), StructField("sizes", ArrayType(LongType())), StructField("data", BinaryType()),
+        StructField("gram", LongType()), StructField("word", StringType()), StructField("at", LongType()), StructField("n", LongType())])
     rows = docs.select(F.col(id_).alias("id"), held.alias("held"), F.col(text).alias("text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     parts = cut(rows.mapInArrow(chunker(to_arrow_schema(fields), depth), fields), "ctw-parts")
-    texts = parts.where(F.col("kind") == DOCS).select("chunk", "id", "held", "text")
-    chunk_grams = parts.where(F.col("kind") == GRAMS).select("chunk", "gram", "n")
-    chunk_words = parts.where(F.col("kind") == WORDS).select("chunk", "word", "n")
+    texts = parts.where(F.col("kind") == DOCS).select("chunk", "ids", "held", "sizes", "data")
+    chunk_grams = parts.where(F.col("kind") == GRAMS).select(F.col("chunk").alias("part"), "gram", "n")
+    chunk_words = parts.where(F.col("kind") == WORDS).select(F.col("chunk").alias("part"), "word", "at", "n")
     words = cut(chunk_words.groupBy("word").agg(F.sum("n").alias("n")), "ctw-words")
-    trained = texts.where(~F.col("held")).count()
+    trained = texts.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n")).first()[0] or 0
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    values = cut(gram_values(cut(chunk_grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams"), depth), "ctw-values")
-    asked = chunk_grams.select("chunk", "gram").join(values, "gram").select(
-        F.col("chunk").alias("part"), "gram", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"), "value").unionByName(
-        chunk_words.select("chunk", "word").join(words, "word").select(
-            F.col("chunk").alias("part"), F.lit(None).cast("long").alias("gram"), "word", "n", F.lit(None).cast("double").alias("value")))
+    grams = cut(chunk_grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
+    values = cut(gram_values(grams, depth), "ctw-values")
+    # a word whose count is that of its chunk alone needs no answer
+    counts = cut(chunk_words.join(words.withColumnRenamed("n", "value"), "word").where("n <> value").select(
+        "part", "at", F.lit(None).cast("long").alias("gram"), F.col("value").cast("double").alias("value")), "ctw-asked")
+    prices = cut(chunk_grams.select("part", "gram").join(values, "gram").select(
+        "part", F.lit(None).cast("long").alias("at"), "gram", "value"), "ctw-asked")
+    discard(words, grams, values)
+    asked = prices.unionByName(counts)
     out = StructType([
         StructField("id", id_type), StructField("held", BooleanType()), *[StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
         StructField("base_score", DoubleType()), StructField("score", DoubleType()), StructField("n_bytes", LongType()),
         StructField("bits_per_byte", DoubleType())])
-    fit = scorer(depth, int(sums[0]) + trained, int(sums[1]) + (trained > 0), trained, to_arrow_schema(out))
+    fit = scorer(depth, int(sums[0]) + int(trained), int(sums[1]) + (trained > 0), int(trained), to_arrow_schema(out))
     return texts.groupBy("chunk").cogroup(asked.groupBy("part")).applyInArrow(fit, out)
 
 
