@@ -36,7 +36,7 @@ from loadlens.llm.common import cut, discard, table
 DEPTH = 5
 #: Bytes of text whose grams are counted together, and grams that one numpy call works on.
 CHUNK_BYTES = 32 << 20
-PIECE = 4 << 20
+PIECE = 2 << 20
 DOCS, GRAMS, WORDS = range(3)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -130,16 +130,17 @@ def chunker(schema: pa.Schema, depth: int):
         fields = {"ids": batch.column(0), "held": batch.column(1), "sizes": pa.array(np.diff(ends))}
         yield rows(chunk, DOCS, 1, data=pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)]), **{
             k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in fields.items()})
-        grams, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = []
         for keys, owner, _, lengths in gram_pieces(data, ends, depth):
-            found = pc.dictionary_encode(pa.array(keys))
-            index = found.indices.to_numpy()[np.repeat(train[owner], lengths)]
-            counts = np.bincount(index, minlength=len(found.dictionary))
-            grams, place = np.unique(np.concatenate([grams, found.dictionary.to_numpy()]), return_inverse=True)
-            times = np.bincount(place, np.concatenate([times, counts]), len(grams)).astype(np.int64)
+            piece = pc.dictionary_encode(pa.array(keys))
+            index = piece.indices.to_numpy()[np.repeat(train[owner], lengths)]
+            found.append((piece.dictionary.to_numpy(), np.bincount(index, minlength=len(piece.dictionary))))
+        grams, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
         yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
-        words, counts, _, _ = counted_words(texts, train)
+        words, counts, _ = counted_words(texts, train)
         yield rows(chunk, WORDS, len(words), word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
+        pa.default_memory_pool().release_unused()
 
     def rows(chunk, kind, size, **columns):
         values = {"chunk": pa.array(np.full(size, chunk, np.int64)), "kind": pa.array(np.full(size, kind, np.int64))} | columns
@@ -150,14 +151,22 @@ def chunker(schema: pa.Schema, depth: int):
 
 
 def counted_words(texts: pa.Array, train: np.ndarray):
-    """Distinct words in the order of their first place, their counts in training texts, each word's index and its text."""
-    words, owner = split_words(texts)
-    if isinstance(words, pa.ChunkedArray):
-        words = words.combine_chunks()
-    found = pc.dictionary_encode(words)
-    index = found.indices.to_numpy(zero_copy_only=False)
-    counts = np.bincount(index[train[owner]], minlength=len(found.dictionary)).astype(np.int64)
-    return found.dictionary, counts, index, owner
+    """Distinct words in the order of their first place, their counts in training texts, and pieces of (index, text)."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    listed, pieces = [], []
+    for begin, end in _cuts(sizes, PIECE):
+        words, owner = split_words(texts.slice(begin, end - begin))
+        found = pc.dictionary_encode(words)
+        listed.append(found.dictionary)
+        pieces.append((found.indices.to_numpy(zero_copy_only=False), (owner + begin).astype(np.int32)))
+    found = pc.dictionary_encode(pa.concat_arrays(listed))
+    place, at = found.indices.to_numpy(zero_copy_only=False), 0
+    counts = np.zeros(len(found.dictionary), np.int64)
+    for i, (index, owner) in enumerate(pieces):
+        pieces[i] = place[at:at + len(listed[i])][index], owner
+        at += len(listed[i])
+        counts += np.bincount(pieces[i][0][train[owner]], minlength=len(counts))
+    return found.dictionary, counts, pieces
 
 
 def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema):
@@ -182,13 +191,17 @@ def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema)
             found = pc.dictionary_encode(pa.array(keys))
             each = price[np.searchsorted(known, found.dictionary.to_numpy())][found.indices.to_numpy()]
             np.add.at(total, owner, np.add.reduceat(each, starts))
-        _, times, index, owner = counted_words(texts, ~held)
+        _, times, pieces = counted_words(texts, ~held)
         times[words.column("at").to_numpy()] = words.column("value").to_numpy().astype(np.int64)
+        price, tokens_, known_words = np.log10((times + 1) / (tokens + kinds + 1)), np.zeros(n, np.int64), np.zeros(n, np.int64)
         base = np.full(n, math.log10((trained + 1) / (tokens + kinds + 1)))
-        base += np.bincount(owner, np.log10((times + 1) / (tokens + kinds + 1))[index], n)
-        known_words = np.bincount(owner, (times > 0)[index], n).astype(np.int64)
+        for index, owner in pieces:
+            tokens_ += np.bincount(owner, minlength=n)
+            known_words += np.bincount(owner[times[index] > 0], minlength=n)
+            base += np.bincount(owner, price[index], n)
+        pa.default_memory_pool().release_unused()
         return pa.table([
-            pa.array(row["ids"], schema.field("id").type), pa.array(held), pa.array(np.bincount(owner, minlength=n) + 1),
+            pa.array(row["ids"], schema.field("id").type), pa.array(held), pa.array(tokens_ + 1),
             pa.array(known_words + (trained > 0)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(total), pa.array(size),
             pa.array(-total * math.log2(10) / (size + 1))], names=schema.names).cast(schema)
 
