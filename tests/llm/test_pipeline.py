@@ -30,5 +30,5 @@ def test_stages_keep_columns_and_empty_tables(spark, folder):
 
 def test_every_operator_has_one_query():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
