@@ -10,7 +10,7 @@ questions and rejects chance agreement; so does the rule that a third of the run
 
 Null and empty texts match nothing.  Items of fewer than ``min_item`` tokens are too short to be evidence and match
 nothing; items shorter than ``window + stride - 1`` tokens are searched as one window of their own length at every
-position.  Repeated rows are judged alike.  Empty tables give an empty result.
+position, in the same pass over the documents.  Repeated rows are judged alike.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -48,34 +48,45 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def numbered(text: Column) -> Column:
-    """Squeezed text in lower case with numbers and units as placeholders."""
-    out = F.regexp_replace(F.lower(text), r"[0-9]++", NUMBER)
-    return F.regexp_replace(out, rf"(?<={NUMBER}\x20)(?:{UNITS})(?!\S)", UNIT)
+def marked(text: Column) -> Column:
+    """Squeezed text with numbers, and units behind them, as placeholders."""
+    out = F.regexp_replace(text, r"[0-9]++", NUMBER)
+    return F.regexp_replace(out, rf"(?<={NUMBER}\x20)(?i:{UNITS})(?!\S)", UNIT)
 
 
-def template(text: Column) -> Column:
-    """Template tokens; as many as plain() has for the same text.  A capitalised word is a name wherever it stands."""
-    return tokens(numbered(F.regexp_replace(squeezed(text), rf"(?<!\S)(?!(?i:{FUNCTION_WORDS})(?!\S))\p{{Lu}}\p{{L}}*+(?!\S)", NAME)))
+def unnamed(text: Column) -> Column:
+    """Marked text with names as placeholders.  A capitalised word is a name wherever it stands."""
+    return F.regexp_replace(text, rf"(?<!\S)(?!(?i:{FUNCTION_WORDS})(?!\S))\p{{Lu}}[\p{{L}}&&[^ǂ]]*+(?!\S)", NAME)
 
 
-def nameless(text: Column) -> Column:
-    """Template tokens without names, which are the same in any case of letters."""
-    return tokens(numbered(squeezed(text)))
+def with_forms(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep, __t, __l, __plain): tokens of the template, of the template without names, and as they are, all as many.
 
+    Each step is a column of its own, so that no expression of a text is evaluated twice.
+    """
+    df = df.withColumn("__s", squeezed(text)).select(*keep, "__s")
+    df = df.select(*keep, F.lower("__s").alias("__plain"), marked(F.col("__s")).alias("__m"))
+    df = df.select(*keep, "__plain", F.lower("__m").alias("__l"), F.lower(unnamed(F.col("__m"))).alias("__t"))
+    return df.select(*keep, *[tokens(F.col(c)).alias(c) for c in ("__t", "__l", "__plain")])
 
-def plain(text: Column) -> Column:
-    return tokens(F.lower(squeezed(text)))
 
+def windows(rows: DataFrame, sizes: list[tuple[int, int, list[str]]], *keep: str) -> DataFrame:
+    """(keep, __at, __h): hashes of consecutive tokens, for each (size, stride, forms); a size is part of its hash.
 
-def windows(rows: DataFrame, size: int, stride: int, forms: list[str], *keep: str) -> DataFrame:
-    """(keep, __at, __h): hashes of ``size`` consecutive tokens of each of ``forms``."""
+    Tokens are hashed once; a window hashes their hashes.
+    """
+    forms = list(dict.fromkeys(f for _, _, fs in sizes for f in fs))
+    rows = rows.select(*keep, *[F.transform(f, lambda x: F.xxhash64(x)).alias(f) for f in forms])
     n = F.size(forms[0])
-    starts = F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.array_distinct(
-        F.array(*[F.xxhash64(F.slice(form, i + 1, F.lit(size))) for form in forms])))
-    each = rows.select(*keep, F.posexplode(hashed).alias("__at", "__hs"))
-    return each.select(*keep, (F.col("__at") * stride).alias("__at"), F.explode("__hs").alias("__h"))
+
+    def hashed(size, stride, used):
+        starts = F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_distinct(F.array(*[
+            F.xxhash64(F.lit(size), F.slice(f, i + 1, F.lit(size))) for f in used])).alias("hs")))
+
+    found = F.concat(*[hashed(*s) for s in sizes])
+    each = rows.select(*keep, F.explode(found).alias("__w"))
+    return each.select(*keep, F.col("__w.at").alias("__at"), F.explode("__w.hs").alias("__h"))
 
 
 def find_leaks(
@@ -87,33 +98,35 @@ def find_leaks(
     Columns: __k1, __k2 (document key), id, item, n_matched (template tokens in a row), n_item, same_values (no slot
     was changed).
     """
-    forms = lambda c: [template(c).alias("__t"), nameless(c).alias("__l"), plain(c).alias("__plain")]
+    items = benchmark.select(F.col(item).alias("__item"), F.col(item_text).alias("__text"))
     items = cut(
-        benchmark.select(F.col(item).alias("__item"), *forms(F.col(item_text)))
-        .withColumn("__n", F.size("__t")).where(F.col("__n") >= min_item)
+        with_forms(items, F.col("__text"), "__item").withColumn("__n", F.size("__t")).where(F.col("__n") >= min_item)
         .dropDuplicates(["__item", "__plain", "__t"]), "leak-items")
-    rows = docs.select(*row_key(id_, text), *forms(F.col(text)))
+    keyed = docs.select(*row_key(id_, text), F.col(text).alias("__text"))
+    rows = with_forms(keyed, F.col("__text"), "__k1", "__k2")
     whole = window + stride - 1
-    lengths = sorted(r[0] for r in items.where(F.col("__n") < whole).select("__n").distinct().collect())
-    hits = None
-    for size, step, part in [(window, stride, items.where(F.col("__n") >= whole))] + [
-            (n, 1, items.where(F.col("__n") == n)) for n in lengths]:
-        # A unit that only one side has a number before costs a long run one token, but a whole short item its window.
-        used = ["__t", "__l"] if step > 1 else ["__t", "__l", "__plain"]
-        wanted = cut(windows(part, size, 1, used, "__item", "__n").withColumnRenamed("__at", "__from"), "leak-windows")
-        if wanted.count() <= BROADCAST_WINDOWS:
-            wanted = F.broadcast(wanted)
-        found = windows(rows, size, step, used, "__k1", "__k2").join(wanted, "__h").select(
-            "__k1", "__k2", "__item", "__n", (F.col("__at") - F.col("__from")).alias("__shift")).distinct()
-        hits = found if hits is None else hits.unionByName(found)
+    # A unit that only one side has a number before costs a long run one token, but a whole short item its window.
+    sizes = [(window, stride, ["__t", "__l"])] + [
+        (r[0], 1, ["__t", "__l", "__plain"]) for r in items.where(F.col("__n") < whole).select("__n").distinct().collect()]
+    wanted = None
+    for size, stride_, used in sizes:
+        part = items.where(F.col("__n") >= whole if stride_ == stride else F.col("__n") == size)
+        part = windows(part, [(size, 1, used)], "__item", "__n")
+        wanted = part if wanted is None else wanted.unionByName(part)
+    wanted = cut(wanted.withColumnRenamed("__at", "__from"), "leak-windows")
+    if wanted.count() <= BROADCAST_WINDOWS:
+        wanted = F.broadcast(wanted)
+    hits = windows(rows, sizes, "__k1", "__k2").join(wanted, "__h").select(
+        "__k1", "__k2", "__item", "__n", (F.col("__at") - F.col("__from")).alias("__shift")).distinct()
     hits = cut(hits, "leak-hits")
     # Texts of candidate documents only; repeated rows share a key, and one of them is enough.
     texts = (
         docs.select(*row_key(id_, text), F.col(id_).alias("__id"), F.col(text).alias("__text"))
         .join(hits.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi")
         .dropDuplicates(["__k1", "__k2"])
-        .select("__k1", "__k2", "__id", template(F.col("__text")).alias("__dt"), plain(F.col("__text")).alias("__dp"))
     )
+    texts = with_forms(texts, F.col("__text"), "__k1", "__k2", "__id").select(
+        "__k1", "__k2", "__id", F.col("__t").alias("__dt"), F.col("__plain").alias("__dp"))
     texts = cut(texts, "leak-texts")
     near = items.select(F.col("__item").alias("__i"), F.col("__n").alias("__m"), F.col("__t"), F.col("__plain"))
     pairs = hits.join(texts, ["__k1", "__k2"]).join(
