@@ -36,7 +36,7 @@ from loadlens.llm.common import cut, discard, table
 DEPTH = 5
 #: Bytes of text whose grams are counted together, and grams that one numpy call works on.
 CHUNK_BYTES = 32 << 20
-PIECE = 2 << 20
+PIECE = 1 << 20
 DOCS, GRAMS, WORDS = range(3)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -118,6 +118,7 @@ def _cuts(sizes: np.ndarray, most: int):
 def chunker(schema: pa.Schema, depth: int):
     """Per chunk: one row of its texts, and rows of its distinct grams and words with their counts in training texts."""
     def chunks(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # freed memory goes back, not to a pool
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             for begin, end in _cuts(sizes, CHUNK_BYTES):
@@ -135,12 +136,14 @@ def chunker(schema: pa.Schema, depth: int):
             piece = pc.dictionary_encode(pa.array(keys))
             index = piece.indices.to_numpy()[np.repeat(train[owner], lengths)]
             found.append((piece.dictionary.to_numpy(), np.bincount(index, minlength=len(piece.dictionary))))
-        grams, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        times = np.bincount(place, np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
+        merged = pc.dictionary_encode(pa.array(np.concatenate([f[0] for f in found])))
+        grams = merged.dictionary.to_numpy()
+        times = np.bincount(merged.indices.to_numpy(), np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
+        order = np.argsort(grams)
+        grams, times = grams[order], times[order]
         yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
         words, counts, _ = counted_words(texts, train)
         yield rows(chunk, WORDS, len(words), word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
-        pa.default_memory_pool().release_unused()
 
     def rows(chunk, kind, size, **columns):
         values = {"chunk": pa.array(np.full(size, chunk, np.int64)), "kind": pa.array(np.full(size, kind, np.int64))} | columns
@@ -151,27 +154,29 @@ def chunker(schema: pa.Schema, depth: int):
 
 
 def counted_words(texts: pa.Array, train: np.ndarray):
-    """Distinct words in the order of their first place, their counts in training texts, and pieces of (index, text)."""
+    """Distinct words in the order of their first place, their counts in training texts, and pieces: indices, first text, words by text."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     listed, pieces = [], []
     for begin, end in _cuts(sizes, PIECE):
         words, owner = split_words(texts.slice(begin, end - begin))
         found = pc.dictionary_encode(words)
         listed.append(found.dictionary)
-        pieces.append((found.indices.to_numpy(zero_copy_only=False), (owner + begin).astype(np.int32)))
+        pieces.append((found.indices.to_numpy(zero_copy_only=False), begin, np.bincount(owner, minlength=end - begin)))
     found = pc.dictionary_encode(pa.concat_arrays(listed))
     place, at = found.indices.to_numpy(zero_copy_only=False), 0
     counts = np.zeros(len(found.dictionary), np.int64)
-    for i, (index, owner) in enumerate(pieces):
-        pieces[i] = place[at:at + len(listed[i])][index], owner
+    for i, (index, begin, each) in enumerate(pieces):
+        pieces[i] = place[at:at + len(listed[i])][index], begin, each
         at += len(listed[i])
-        counts += np.bincount(pieces[i][0][train[owner]], minlength=len(counts))
+        used = np.repeat(train[begin:begin + len(each)], each)
+        counts += np.bincount(pieces[i][0][used], minlength=len(counts))
     return found.dictionary, counts, pieces
 
 
 def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema):
     """Scores of the texts of one chunk from the values of its grams and the counts of its words."""
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         parts = [one(row, values) for row in docs.to_pylist()]
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
@@ -186,6 +191,7 @@ def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema)
         known, price = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
         order = np.argsort(known)
         known, price = known[order], price[order]
+        del grams, order
         total = np.zeros(n)
         for keys, owner, starts, _ in gram_pieces(data, ends, depth):
             found = pc.dictionary_encode(pa.array(keys))
@@ -195,11 +201,11 @@ def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema)
         times[words.column("at").to_numpy()] = words.column("value").to_numpy().astype(np.int64)
         price, tokens_, known_words = np.log10((times + 1) / (tokens + kinds + 1)), np.zeros(n, np.int64), np.zeros(n, np.int64)
         base = np.full(n, math.log10((trained + 1) / (tokens + kinds + 1)))
-        for index, owner in pieces:
+        for index, begin, each in pieces:
+            owner = np.repeat(np.arange(begin, begin + len(each)), each)
             tokens_ += np.bincount(owner, minlength=n)
             known_words += np.bincount(owner[times[index] > 0], minlength=n)
             base += np.bincount(owner, price[index], n)
-        pa.default_memory_pool().release_unused()
         return pa.table([
             pa.array(row["ids"], schema.field("id").type), pa.array(held), pa.array(tokens_ + 1),
             pa.array(known_words + (trained > 0)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(total), pa.array(size),
