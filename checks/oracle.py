@@ -162,6 +162,24 @@ def record_panels() -> dict[str, str]:
 _WHO = '"timestamp", request_path, identity_client_host, msearch_sub_query_index'
 
 
+def ranges() -> dict[str, str]:
+    out = {}
+    for name, dim, n in (("request_volume", None, 5), ("rate_by_operation", OP, 8), ("rate_by_application", APP, 8),
+                         ("rate_by_target", TARGET, 8), ("rate_by_template", TEMPLATE, 8)):
+        since = "(SELECT * FROM records WHERE \"timestamp\" >= TIMESTAMP '2024-01-05')"
+        series = "CAST(NULL AS VARCHAR) AS series" if dim is None else "series"
+        out[f"routed_{name}"] = f"SELECT t, {series}, value FROM ({trend(dim, 'count', None, n, source=since)})"
+    # Bin widths to choose from, in seconds.
+    steps = "1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400"
+    for name, where in (("all", "true"), ("day", "\"timestamp\" >= TIMESTAMP '2024-01-09' AND \"timestamp\" < TIMESTAMP '2024-01-10'")):
+        rows = f"(SELECT * FROM records WHERE {where})"
+        width = (f"(SELECT min(s) FROM (SELECT unnest([{steps}]) AS s), (SELECT (epoch_us(max(\"timestamp\")) - epoch_us(min(\"timestamp\"))) // 1000000 AS w "
+                 f"FROM {rows}) WHERE greatest(w, 1) / s <= 1000)")
+        out[f"auto_bins_{name}"] = trend(OP, n=3, source=rows).replace(
+            f"SELECT {HOUR} AS t", f"SELECT make_timestamp(epoch_us(\"timestamp\") // 1000000 // {width} * {width} * 1000000) AS t")
+    return out
+
+
 def record_views() -> dict[str, str]:
     clauses = ", ".join(f"clause_counts_{n}" for n in (
         "bool bool_must bool_should bool_filter bool_must_not terms_values knn fuzzy geo_bbox geo_distance geo_shape agg "
@@ -430,7 +448,7 @@ STORED = {
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: with_records(sql) for name, sql in {**record_panels(), **record_views(), **filtered(), **summaries(), **baselines()}.items()}
+    out = {name: with_records(sql) for name, sql in {**record_panels(), **record_views(), **filtered(), **ranges(), **summaries(), **baselines()}.items()}
     # What went through files, streams or tables must come back as the same records.
     out |= {name: out[same] for name, same in STORED.items()}
     return {**out, **health(), **latency(), **bodies()}

@@ -23,9 +23,12 @@ DIGITS = 7
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Floats rounded: the last digits of a distributed sum depend on task order."""
+    """Floats rounded: the last digits of a distributed sum depend on task order.
+
+    Rounding to more digits first clears that noise where the sum lies on a tie.
+    """
     return df.select(*[
-        F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        F.round(F.round(f.name, digits + 4), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
 
@@ -147,6 +150,18 @@ def _sketch_error(r: DataFrame) -> DataFrame:
     )
 
 
+# -- ranges beyond raw retention, and bins from the range --------------------------------------
+
+_NOW = datetime(2024, 1, 20, 10, 30)
+_RANGES = {"all": Filters(), "day": Filters(datetime(2024, 1, 9), datetime(2024, 1, 10))}
+
+
+def _routed(r: DataFrame, name: str) -> DataFrame:
+    """Raw rows older than three days have expired, and the summary has all hours; the panel shows both sides of the border."""
+    kept = r.where(F.col("timestamp") >= F.lit(_NOW).cast("timestamp_ntz") - F.expr("INTERVAL 3 DAYS"))
+    return C.run_panel(name, kept, Filters(start=datetime(2024, 1, 5)), _partial_states(r), _NOW)
+
+
 # -- baselines ------------------------------------------------------------------------------
 
 _AT = datetime(2024, 1, 10, 12, 0)
@@ -214,6 +229,9 @@ def queries() -> dict[str, Query]:
     })
     out["status_by_operation_wide"] = _over_records(
         lambda r: P.wide(C.RECORD_PANELS["status_by_operation"](r), ["_search/200", "_bulk/201", "_msearch/200"]))
+    out.update({f"routed_{name}": _over_records(lambda r, n=name: _routed(r, n)) for name in C.DUAL_PANELS})
+    out.update({f"auto_bins_{name}": _over_records(lambda r, f=filters: C.run_panel("trend_operation", r, f, every=None, n=3))
+                for name, filters in _RANGES.items()})
     out["baseline_trailing"] = _over_records(lambda r: B.trailing_baselines(r, _AT))
     out["baseline_asof"] = _over_records(lambda r: B.asof_baselines(r))
     out["scored_asof"] = _scored_asof

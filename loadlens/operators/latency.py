@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadlens.operators.ranks import aggregate
+
 # Acceptance limits.
 MAX_P50_OVERHEAD = 15.0
 MAX_P95_OVERHEAD = 25.0
@@ -14,37 +16,33 @@ PERCENTILES = (50, 95, 99)
 SNIPPET = 512
 
 
-def percentile(column: str, share: int) -> Column:
-    """Percentile with linear interpolation; 0 for no values."""
-    return F.coalesce(F.percentile(F.col(column), share / 100), F.lit(0.0))
-
-
 def failed() -> Column:
     return (F.col("status") == 0) | (F.col("status") >= 400)
 
 
-def _numbers() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("count"),
-        F.count_if(failed()).alias("errors"),
-        *[percentile("latency_ms", p).alias(f"p{p}") for p in PERCENTILES],
-        F.coalesce(F.max("latency_ms"), F.lit(0.0)).alias("max"),
-    ]
+_PERCENTILES = {f"p{p}": (f"percentile_{p}", "latency_ms") for p in PERCENTILES}
+
+
+def _or_zero(*names: str) -> list[Column]:
+    return [F.coalesce(name, F.lit(0.0)).alias(name) for name in names]
 
 
 def latency_report(samples: DataFrame) -> DataFrame:
-    """Per operation and in total: count, errors, percentiles, maximum and rate over the elapsed time.
+    """Per operation and in total: count, errors, percentiles, maximum and rate over the elapsed time; 0 for no values.
 
-    Operations and the total are grouping sets of one pass.
+    A sample counts for its operation and for the total, in one pass.
     """
-    span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6
-    report = samples.groupingSets([["op"], []], "op").agg(
-        F.grouping("op").alias("__total"), *_numbers(), (F.count(F.lit(1)) / F.greatest(span, F.lit(0.01))).alias("rate")
-    )
+    each = F.explode(F.array(F.struct(F.col("op").alias("op"), F.lit(False).alias("total")),
+                             F.struct(F.lit(None).cast("string").alias("op"), F.lit(True).alias("total"))))
+    rows = samples.select(each.alias("g"), failed().cast("int").alias("failed"), "latency_ms", "ts").select("g.*", "failed", "latency_ms", "ts")
+    report = aggregate(rows, ["op", "total"], {
+        "count": ("count",), "errors": ("sum", "failed"), **_PERCENTILES, "max": ("max", "latency_ms"),
+        "first": ("min", "ts"), "last": ("max", "ts")})
+    span = F.timestamp_diff("MICROSECOND", F.col("first"), F.col("last")) / 1e6
     return report.select(
-        F.when(F.col("__total") == 1, F.lit("TOTAL")).otherwise(F.col("op")).alias("op"),
-        "count", "errors", *[f"p{p}" for p in PERCENTILES], "max", "rate",
-    )
+        F.when(F.col("total"), F.lit("TOTAL")).otherwise(F.col("op")).alias("op"), "count",
+        F.coalesce("errors", F.lit(0)).alias("errors"), *_or_zero(*_PERCENTILES, "max"),
+        (F.col("count") / F.greatest(span, F.lit(0.01))).alias("rate"))
 
 
 def error_samples(samples: DataFrame, n: int = 10, snippet: int = SNIPPET) -> DataFrame:
@@ -57,9 +55,7 @@ def error_samples(samples: DataFrame, n: int = 10, snippet: int = SNIPPET) -> Da
 
 def _percentiles_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Percentiles of successful requests."""
-    return samples.where(~failed()).groupBy(*keys).agg(
-        *[percentile("latency_ms", p).alias(f"p{p}") for p in PERCENTILES]
-    )
+    return aggregate(samples.where(~failed()), keys, _PERCENTILES).select(*keys, *_or_zero(*_PERCENTILES))
 
 
 def _overhead(slow: Column, base: Column) -> Column:

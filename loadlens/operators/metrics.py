@@ -103,10 +103,11 @@ def combine(a: DataFrame, b: DataFrame, how: str, on: Sequence[str] = ("t",)) ->
     return joined.select(*on, value.alias("value"))
 
 
-def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
-    """Quantile from cumulative bucket rates with label ``le``, linear inside the bucket that holds it.
+def histogram_quantiles(buckets: DataFrame, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(t, by, line, value): all named quantiles from cumulative bucket rates with label ``le``, in one pass.
 
-    Beyond the last finite bound the answer is that bound; an empty histogram has none.
+    Linear inside the bucket that holds the rank.  Beyond the last finite bound the answer is that bound; an empty
+    histogram has none.
     """
     bound = F.when(label("le") == "+Inf", F.lit(float("inf"))).otherwise(label("le").try_cast("double"))
     summed = buckets.groupBy("t", *[label(name).alias(name) for name in by], bound.alias("bound")).agg(
@@ -120,20 +121,31 @@ def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = ()) ->
         F.coalesce(F.lag("cum").over(order), F.lit(0.0)).alias("before"),
         F.max("cum").over(Window.partitionBy(*keys)).alias("total"),
     )
-    rank = F.col("total") * q
-    holding = placed.where((F.col("total") > 0) & (F.col("cum") >= rank))
-    first = holding.groupBy(*keys).agg(
-        F.min_by(F.struct("bound", "below", "before", "cum", "total"), "bound").alias("b")
-    )
-    b = F.col("b")
-    start = F.coalesce(b["below"], F.lit(0.0))
-    inside = start + (b["bound"] - start) * F.try_divide(b["total"] * q - b["before"], b["cum"] - b["before"])
-    value = (
-        F.when(b["bound"] == float("inf"), b["below"])
-        .when(b["below"].isNull() & (b["bound"] <= 0), b["bound"])
-        .otherwise(F.coalesce(inside, b["bound"]))
-    )
-    return first.select(*keys, value.alias("value"))
+    bucket = F.struct("bound", "below", "before", "cum", "total")
+    holding = placed.where(F.col("total") > 0).groupBy(*keys).agg(*[
+        F.min_by(bucket, F.when(F.col("cum") >= F.col("total") * q, F.col("bound"))).alias(f"__{name}")
+        for name, q in shares.items()
+    ])
+
+    def value(b: Column, q: float) -> Column:
+        start = F.coalesce(b["below"], F.lit(0.0))
+        inside = start + (b["bound"] - start) * F.try_divide(b["total"] * q - b["before"], b["cum"] - b["before"])
+        return (
+            F.when(b["bound"] == float("inf"), b["below"])
+            .when(b["below"].isNull() & (b["bound"] <= 0), b["bound"])
+            .otherwise(F.coalesce(inside, b["bound"]))
+        )
+
+    lines = F.array(*[
+        F.struct(F.lit(name).alias("line"), F.col(f"__{name}").isNotNull().alias("held"), value(F.col(f"__{name}"), q).alias("value"))
+        for name, q in shares.items()
+    ])
+    return holding.select(*keys, F.inline(lines)).where("held").drop("held")
+
+
+def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
+    """One quantile, without its name."""
+    return histogram_quantiles(buckets, {"q": q}, by).drop("line")
 
 
 def topk_per_step(series: DataFrame, k: int, within: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadlens.operators.series import descending, summary_parts, top_series
 from loadlens.schema import AVG_STATES, PCT_STATES, SUM_STATES, SUMMARY, SUMMARY_DIMS
 
 # Percentiles a sketch is read at.
@@ -95,11 +96,10 @@ def summary_trend(
     value, t = finalised(op, column), F.col("time_bucket").alias("t")
     if dim is None:
         return summary.groupBy(t).agg(value.alias("value")).orderBy("t")
+    if not op.startswith("percentile_"):
+        return top_series(summary_parts(summary, dim, op, column), op, n, "metric")
     rows = summary.withColumn("series", F.col(dim))
-    top = (
-        rows.groupBy("series").agg(value.alias("__rank"))
-        .orderBy(F.round(F.col("__rank").cast("double"), 6).desc(), "series").limit(n)
-    )
+    top = rows.groupBy("series").agg(value.alias("__rank")).orderBy(descending("__rank"), "series").limit(n)
     return (
         rows.join(F.broadcast(top), "series", "left_semi").groupBy(t, "series").agg(value.alias("value"))
         .orderBy("t", "series")

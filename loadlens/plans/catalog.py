@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
+from loadlens.operators.series import record_parts, routed, summary_parts
 from loadlens.operators.summary import can_answer, summary_trend
 from loadlens.plans import panels as P
 from loadlens.plans.filters import DIMENSIONS, Filters
@@ -56,64 +59,81 @@ def _heaviest(df: DataFrame) -> DataFrame:
     return P.heaviest(df, {**_HEAVIEST, "doc_id": P.document_id()}, 50)
 
 
-Panel = Callable[[DataFrame], DataFrame]
+Panel = Callable[..., DataFrame]
+
+
+def _panel(family: Callable[..., DataFrame], *args, **kwargs) -> Panel:
+    """A family with its arguments; a call may change the family's own ``n``, ``every`` and ``chars``."""
+    bound = inspect.signature(family).bind_partial(None, *args, **kwargs).arguments
+    frame = next(iter(bound))
+
+    def panel(df: DataFrame, **options) -> DataFrame:
+        unknown = set(options) - (set(inspect.signature(family).parameters) & set(OPTIONS))
+        if unknown:
+            raise ValueError(f"{family.__name__} has no such option: {sorted(unknown)}")
+        return family(**{**bound, **options, frame: df})
+
+    return panel
+
+
+OPTIONS = ("n", "every", "chars")
 
 # Panels over records.
 RECORD_PANELS: dict[str, Panel] = {
-    "total_stress": lambda r: P.stat(r, "sum", "stress_score"),
-    "pie_application": lambda r: P.pie(r, APPLICATION, 8),
-    "pie_target": lambda r: P.pie(r, TARGET, 8),
-    "pie_operation": lambda r: P.pie(r, OPERATION, 8),
-    "pie_cost_indicator": lambda r: P.pie(r, INDICATOR, 10),
-    "pie_template": lambda r: P.pie(r, TEMPLATE, 10),
-    "top_templates": lambda r: P.table(r, TEMPLATE, _TOP_TEMPLATES, 10),
+    "total_stress": _panel(P.stat, "sum", "stress_score"),
+    "pie_application": _panel(P.pie, APPLICATION, 8),
+    "pie_target": _panel(P.pie, TARGET, 8),
+    "pie_operation": _panel(P.pie, OPERATION, 8),
+    "pie_cost_indicator": _panel(P.pie, INDICATOR, 10),
+    "pie_template": _panel(P.pie, TEMPLATE, 10),
+    "top_templates": _panel(P.table, TEMPLATE, _TOP_TEMPLATES, 10),
     "heaviest_operations": _heaviest,
-    "top_cost_indicators": lambda r: P.table(r, INDICATOR, _TOP_INDICATORS, 10),
-    "trend_application": lambda r: P.trend(r, APPLICATION, n=5),
-    "trend_target": lambda r: P.trend(r, TARGET, n=5),
-    "trend_operation": lambda r: P.trend(r, OPERATION, n=5),
-    "trend_cost_indicator": lambda r: P.trend(r, INDICATOR, n=5),
-    "trend_template": lambda r: P.trend(r, TEMPLATE, n=10),
-    "docs_matched_sum": lambda r: P.trend(r, None, "sum", "response_hits"),
-    "docs_matched_avg": lambda r: P.trend(r, None, "avg", "response_hits"),
-    "bulk_write_sum": lambda r: P.trend(r, None, "sum", "request_bulk_doc_count"),
-    "bulk_write_avg": lambda r: P.trend(r, None, "avg", "request_bulk_doc_count"),
-    "request_size_sum": lambda r: P.trend(r, None, "sum", "request_size_bytes"),
-    "request_size_avg": lambda r: P.trend(r, None, "avg", "request_size_bytes"),
-    "es_latency": lambda r: P.trend_multi(r, LATENCY),
-    "status_by_operation": lambda r: P.trend_pairs(r, OPERATION, "response_status", n=10),
-    "flagged_requests": lambda r: P.stat(r, "count", None, "stress_cost_indicator_count >= 1"),
-    "avg_indicator_count": lambda r: P.stat(r, "avg", "stress_cost_indicator_count"),
-    "avg_multiplier": lambda r: P.stat(r, "avg", "stress_multiplier"),
-    "max_multiplier": lambda r: P.stat(r, "max", "stress_multiplier"),
-    "score_composition": lambda r: P.stacked(r, TEMPLATE, _COMPONENTS, 10),
-    "base_vs_final": lambda r: P.table(r, TEMPLATE, _BASE_VS_FINAL, 10),
-    "templates_by_indicator_count": lambda r: P.table(r, TEMPLATE, _BY_INDICATORS, 10),
-    "score_breakdown": lambda r: P.table(r, TEMPLATE, _BREAKDOWN, 10),
-    "score_components_trend": lambda r: P.trend_multi(r, _averages("stress_components_", ("took", "shards", "hits", "bonus"))),
-    "base_trend_template": lambda r: P.trend(r, TEMPLATE, "avg", "stress_base", n=10),
-    "multiplier_trend_template": lambda r: P.trend(r, TEMPLATE, "avg", "stress_multiplier", n=10),
-    "indicators_trend_application": lambda r: P.trend(r, APPLICATION, "avg", "stress_cost_indicator_count", n=8),
-    "flagged_vs_total": lambda r: P.trend_multi(
-        r, {"flagged": ("count", None, "stress_cost_indicator_count >= 1"), "total": ("count", None)}),
-    "indicator_frequency": lambda r: P.bar(r, INDICATOR, "count", "count"),
-    "multiplier_by_application": lambda r: P.bar(r, APPLICATION, "avg_multiplier", "avg", "stress_multiplier", 8),
-    "indicators_by_target": lambda r: P.bar(r, TARGET, "avg_indicators", "avg", "stress_cost_indicator_count", 8),
-    "multiplier_by_target": lambda r: P.bar(r, TARGET, "avg_multiplier", "avg", "stress_multiplier", 8),
-    "clause_trends": lambda r: P.trend_multi(r, _averages("clause_counts_", ("terms_values", "agg", "script", "wildcard"))),
-    "bool_breakdown_trend": lambda r: P.trend_multi(
-        r, _averages("clause_counts_", ("bool_must", "bool_should", "bool_filter", "bool_must_not"))),
-    "total_rate": lambda r: P.trend_multi(r, {"requests": ("count", None)}),
-    "error_rate": lambda r: P.trend_multi(r, {"errors": ("count", None, "response_status >= 400"), "total": ("count", None)}),
-    "by_status": lambda r: P.table(r, "response_status", {"requests": ("count",)}, 10),
-    "by_application": lambda r: P.table(r, APPLICATION, {"requests": ("count",), **_P50_P99}, 10),
-    "read_volume_by_op": lambda r: P.trend(r, OPERATION, "sum", "response_hits", n=8),
-    "bulk_volume_by_op": lambda r: P.trend(r, OPERATION, "sum", "request_bulk_doc_count", n=8),
-    "payload_sizes": lambda r: P.trend_multi(
-        r, {"avg_request": ("avg", "request_size_bytes"), "avg_response": ("avg", "response_size_bytes")}),
-    "top_applications": lambda r: P.bar(r, APPLICATION, "requests", "count"),
-    "top_indices": lambda r: P.bar(r, TARGET, "requests", "count"),
-    "top_users": lambda r: P.bar(r, "identity_username", "requests", "count"),
+    "top_cost_indicators": _panel(P.table, INDICATOR, _TOP_INDICATORS, 10),
+    "trend_application": _panel(P.trend, APPLICATION, n=5),
+    "trend_target": _panel(P.trend, TARGET, n=5),
+    "trend_operation": _panel(P.trend, OPERATION, n=5),
+    "trend_cost_indicator": _panel(P.trend, INDICATOR, n=5),
+    "trend_template": _panel(P.trend, TEMPLATE, n=10),
+    "docs_matched_sum": _panel(P.trend, None, "sum", "response_hits"),
+    "docs_matched_avg": _panel(P.trend, None, "avg", "response_hits"),
+    "bulk_write_sum": _panel(P.trend, None, "sum", "request_bulk_doc_count"),
+    "bulk_write_avg": _panel(P.trend, None, "avg", "request_bulk_doc_count"),
+    "request_size_sum": _panel(P.trend, None, "sum", "request_size_bytes"),
+    "request_size_avg": _panel(P.trend, None, "avg", "request_size_bytes"),
+    "es_latency": _panel(P.trend_multi, LATENCY),
+    "status_by_operation": _panel(P.trend_pairs, OPERATION, "response_status", n=10),
+    "flagged_requests": _panel(P.stat, "count", None, "stress_cost_indicator_count >= 1"),
+    "avg_indicator_count": _panel(P.stat, "avg", "stress_cost_indicator_count"),
+    "avg_multiplier": _panel(P.stat, "avg", "stress_multiplier"),
+    "max_multiplier": _panel(P.stat, "max", "stress_multiplier"),
+    "score_composition": _panel(P.stacked, TEMPLATE, _COMPONENTS, 10),
+    "base_vs_final": _panel(P.table, TEMPLATE, _BASE_VS_FINAL, 10),
+    "templates_by_indicator_count": _panel(P.table, TEMPLATE, _BY_INDICATORS, 10),
+    "score_breakdown": _panel(P.table, TEMPLATE, _BREAKDOWN, 10),
+    "score_components_trend": _panel(P.trend_multi, _averages("stress_components_", ("took", "shards", "hits", "bonus"))),
+    "base_trend_template": _panel(P.trend, TEMPLATE, "avg", "stress_base", n=10),
+    "multiplier_trend_template": _panel(P.trend, TEMPLATE, "avg", "stress_multiplier", n=10),
+    "indicators_trend_application": _panel(P.trend, APPLICATION, "avg", "stress_cost_indicator_count", n=8),
+    "flagged_vs_total": _panel(
+        P.trend_multi, {"flagged": ("count", None, "stress_cost_indicator_count >= 1"), "total": ("count", None)}),
+    "indicator_frequency": _panel(P.bar, INDICATOR, "count", "count"),
+    "multiplier_by_application": _panel(P.bar, APPLICATION, "avg_multiplier", "avg", "stress_multiplier", 8),
+    "indicators_by_target": _panel(P.bar, TARGET, "avg_indicators", "avg", "stress_cost_indicator_count", 8),
+    "multiplier_by_target": _panel(P.bar, TARGET, "avg_multiplier", "avg", "stress_multiplier", 8),
+    "clause_trends": _panel(P.trend_multi, _averages("clause_counts_", ("terms_values", "agg", "script", "wildcard"))),
+    "bool_breakdown_trend": _panel(
+        P.trend_multi, _averages("clause_counts_", ("bool_must", "bool_should", "bool_filter", "bool_must_not"))),
+    "total_rate": _panel(P.trend_multi, {"requests": ("count", None)}),
+    "error_rate": _panel(P.trend_multi, {"errors": ("count", None, "response_status >= 400"), "total": ("count", None)}),
+    "by_status": _panel(P.table, "response_status", {"requests": ("count",)}, 10),
+    "by_application": _panel(P.table, APPLICATION, {"requests": ("count",), **_P50_P99}, 10),
+    "read_volume_by_op": _panel(P.trend, OPERATION, "sum", "response_hits", n=8),
+    "bulk_volume_by_op": _panel(P.trend, OPERATION, "sum", "request_bulk_doc_count", n=8),
+    "payload_sizes": _panel(
+        P.trend_multi, {"avg_request": ("avg", "request_size_bytes"), "avg_response": ("avg", "response_size_bytes")}),
+    "top_applications": _panel(P.bar, APPLICATION, "requests", "count"),
+    "top_indices": _panel(P.bar, TARGET, "requests", "count"),
+    "top_users": _panel(P.bar, "identity_username", "requests", "count"),
     "operation_kind": lambda r: P.table(
         r.withColumn("kind", P.operation_kind()), "kind", {"sum_stress": ("sum", "stress_score"), "requests": ("count",)}),
     "query_type": lambda r: P.table(
@@ -177,5 +197,52 @@ def pick_source(filters: Filters, dims: list[str], op: str, column: str | None,
     return "summary" if reaches_back and answers else "raw"
 
 
-def run_panel(name: str, records: DataFrame, filters: Filters | None = None) -> DataFrame:
-    return RECORD_PANELS[name](filters.apply(records) if filters else records)
+def raw_since(now: datetime, raw_days: int = 3) -> datetime:
+    """The first whole hour that raw rows still hold in full."""
+    border = now - timedelta(days=raw_days)
+    hour = border.replace(minute=0, second=0, microsecond=0)
+    return hour if hour == border else hour + timedelta(hours=1)
+
+
+def routed_trend(
+    records: DataFrame, summary: DataFrame, dim: str | None, op: str = "count", column: str | None = None,
+    filters: Filters = Filters(), now: datetime | None = None, n: int | None = 5, raw_days: int = 3,
+) -> DataFrame:
+    """Hourly (t, series, value) over any range: raw rows from ``raw_since`` on, the summary before, no hour from both.
+
+    The summary answers whole hours, so a range that starts within one of its hours gets that hour whole.  Series are
+    ranked over both halves together.  What the summary cannot answer comes from raw rows alone.
+    """
+    now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    source = pick_source(filters, [] if dim is None else [dim], op, column, now, raw_days)
+    if op not in ("count", "sum", "avg"):
+        source = "raw"
+    border = raw_since(now, raw_days)
+    rows = P.with_time(filters.apply(records), "1 hour")
+    rows = P.with_bucket(rows, dim, "series") if dim else rows.withColumn("series", F.lit(None).cast("string"))
+    if source == "raw":
+        out = P.trend(filters.apply(records), dim, op, column, "1 hour", n)
+        return out if dim else out.select("t", F.lit(None).cast("string").alias("series"), "value")
+    early = replace(
+        filters, start=filters.start and filters.start.replace(minute=0, second=0, microsecond=0),
+        end=min(filters.end, border) if filters.end else border)
+    recent = record_parts(rows.where(F.col("timestamp") >= F.lit(border).cast("timestamp_ntz")), op, column)
+    return routed(recent, summary_parts(early.apply(summary, "time_bucket"), dim, op, column), op, n)
+
+
+def run_panel(
+    name: str, records: DataFrame, filters: Filters | None = None, summary: DataFrame | None = None,
+    now: datetime | None = None, **options,
+) -> DataFrame:
+    """A panel by name.  Panels that continue beyond raw retention read ``summary`` for what lies before it.
+
+    ``options``: ``n`` (series or rows), ``every`` (bin width, None: from the data's range) and ``chars`` (length of
+    template labels, None: whole), for panels whose family has them.
+    """
+    filters = filters or Filters()
+    if name in DUAL_PANELS:
+        dim, n = DUAL_PANELS[name]
+        if summary is not None:
+            return routed_trend(records, summary, dim, "count", None, filters, now, options.get("n", n))
+        return P.trend(filters.apply(records), dim, "count", None, options.get("every", "1 hour"), options.get("n", n))
+    return RECORD_PANELS[name](filters.apply(records), **options)

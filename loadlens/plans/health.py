@@ -140,11 +140,7 @@ def _analyzer_errors(samples: DataFrame) -> DataFrame:
 
 def _latency(samples: DataFrame) -> DataFrame:
     rates = M.counter_rate(M.select_series(samples, [DURATION_BUCKET]), EVERY)
-    out = None
-    for q in (0.50, 0.95, 0.99):
-        part = M.histogram_quantile(rates, q, ("cluster",)).withColumn("line", F.lit(f"p{round(q * 100)}"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return M.histogram_quantiles(rates, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, ("cluster",))
 
 
 def _busiest(samples: DataFrame, metric: str) -> DataFrame:

@@ -12,25 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-INDICATOR_NAMES = "stress_cost_indicator_names"
-_RANK_DIGITS = 6
-
+from loadlens.operators.ranks import aggregate, metric
+from loadlens.operators.series import descending, record_parts, top_series
 
-def metric(op: str, column: str | None = None, approx: bool = False) -> Column:
-    """count, sum, avg, max, min or percentile_N of a column.
-
-    Percentiles are exact with linear interpolation; ``approx`` bounds their memory where a group has
-    very many distinct values.
-    """
-    if op == "count":
-        return F.count(F.lit(1))
-    if op.startswith("percentile_"):
-        share = int(op.split("_", 1)[1]) / 100
-        value = F.col(column).cast("double")
-        return F.percentile_approx(value, share, 10_000) if approx else F.percentile(value, share)
-    if op not in ("sum", "avg", "max", "min"):
-        raise ValueError(f"no such metric: {op}")
-    return getattr(F, op)(column)
+INDICATOR_NAMES = "stress_cost_indicator_names"
 
 
 def with_bucket(df: DataFrame, dim: str, name: str = "bucket") -> DataFrame:
@@ -52,10 +37,6 @@ def label_of(dim: str, bucket: str = "bucket", chars: int | None = 60) -> Column
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("(unknown)"))
 
 
-def _descending(name: str) -> Column:
-    return F.round(F.col(name).cast("double"), _RANK_DIGITS).desc()
-
-
 def time_bin(ts: str = "timestamp", every: str = "1 hour") -> Column:
     return F.window(ts, every)["start"]
 
@@ -73,18 +54,35 @@ def auto_interval(seconds: float, points: int = 1000) -> str:
     return f"{int(days) * 86400} seconds"
 
 
+def with_time(df: DataFrame, every: str | None, ts: str = "timestamp", points: int = 1000) -> DataFrame:
+    """``df`` with its time bin ``t``.  Without a width, it is the smallest step that shows the data's range in ``points`` bins.
+
+    The range is a one-row aggregate inside the plan.
+    """
+    if every is not None:
+        return df.withColumn("t", time_bin(ts, every))
+    seconds = F.greatest(F.timestamp_diff("SECOND", F.min(ts), F.max(ts)), F.lit(1))
+    days = F.ceil(F.col("__seconds") / (points * 86400)) * 86400
+    fits = F.filter(F.array(*[F.lit(x) for x in _STEPS]), lambda x: F.col("__seconds") / x <= points)
+    span = df.agg(seconds.alias("__seconds")).select(F.coalesce(F.try_element_at(fits, F.lit(1)), days).cast("long").alias("__step"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    place = F.floor(F.timestamp_diff("SECOND", epoch, F.col(ts)) / F.col("__step")) * F.col("__step")
+    # One row by construction: an aggregate without grouping keys.
+    return df.crossJoin(F.broadcast(span)).withColumn("t", F.timestamp_add("SECOND", place, epoch)).drop("__step")
+
+
 # -- single numbers and rankings ------------------------------------------------------------
 
 def stat(df: DataFrame, op: str, column: str | None = None, where: str = "") -> DataFrame:
     """One number over everything that passes."""
-    return (df.where(where) if where else df).agg(metric(op, column).alias("value"))
+    return aggregate(df.where(where) if where else df, [], {"value": (op, column)})
 
 
 def pie(df: DataFrame, dim: str, n: int = 8, chars: int | None = 60) -> DataFrame:
     """Share of total stress by label."""
     return (
         with_bucket(df, dim).groupBy(label_of(dim, chars=chars).alias("label")).agg(F.sum("stress_score").alias("stress"))
-        .orderBy(_descending("stress"), "label").limit(n)
+        .orderBy(descending("stress"), "label").limit(n)
     )
 
 
@@ -92,8 +90,7 @@ def table(df: DataFrame, dim: str, metrics: dict[str, tuple], n: int = 10, rank_
     """Several metrics by bucket, the top N by the first one (or ``rank_by``)."""
     rank_by = rank_by or next(iter(metrics))
     return (
-        with_bucket(df, dim).groupBy("bucket").agg(*[metric(*spec).alias(name) for name, spec in metrics.items()])
-        .orderBy(_descending(rank_by), "bucket").limit(n)
+        aggregate(with_bucket(df, dim), ["bucket"], metrics).orderBy(descending(rank_by), "bucket").limit(n)
     )
 
 
@@ -104,8 +101,7 @@ def bar(df: DataFrame, dim: str, name: str, op: str, column: str | None = None,
 def stacked(df: DataFrame, dim: str, metrics: dict[str, tuple], n: int = 10) -> DataFrame:
     """Several metrics for the first N buckets by name."""
     return (
-        with_bucket(df, dim).groupBy("bucket").agg(*[metric(*spec).alias(name) for name, spec in metrics.items()])
-        .orderBy("bucket").limit(n)
+        aggregate(with_bucket(df, dim), ["bucket"], metrics).orderBy("bucket").limit(n)
     )
 
 
@@ -139,42 +135,39 @@ def trend(
     dim: str | None,
     op: str = "avg",
     column: str | None = "stress_score",
-    every: str = "1 hour",
-    n: int = 5,
+    every: str | None = "1 hour",
+    n: int | None = 5,
     rank_by: str = "count",
 ) -> DataFrame:
-    """(t, series, value) for the N series with the most rows, or the highest metric.
+    """(t, series, value) for the N series with the most rows, or the highest metric, in one pass over ``df``.
 
-    The ranking is a first pass over two columns; its at most N rows are broadcast into a semi join.
+    Percentiles cannot be merged from bins; they take a second pass over the series that were chosen.
     """
+    rows = with_time(df, every)
     if dim is None:
-        return df.groupBy(time_bin(every=every).alias("t")).agg(metric(op, column).alias("value")).orderBy("t")
-    rows = with_bucket(df, dim, "series")
-    rank = metric("count") if rank_by == "count" else metric(op, column)
-    top = rows.groupBy("series").agg(rank.alias("__rank")).orderBy(_descending("__rank"), "series").limit(n)
-    return (
-        rows.join(F.broadcast(top), "series", "left_semi")
-        .groupBy(time_bin(every=every).alias("t"), "series").agg(metric(op, column).alias("value"))
-        .orderBy("t", "series")
-    )
+        return aggregate(rows, ["t"], {"value": (op, column)}).orderBy("t")
+    rows = with_bucket(rows, dim, "series")
+    if not op.startswith("percentile_"):
+        return top_series(record_parts(rows, op, column), op, n, rank_by)
+    if n is not None:
+        top = rows.groupBy("series").agg(F.count(F.lit(1)).alias("__rank")).orderBy(descending("__rank"), "series").limit(n)
+        rows = rows.join(F.broadcast(top.select(F.col("series").alias("__s"))), F.col("series").eqNullSafe(F.col("__s")), "left_semi")
+    return aggregate(rows, ["t", "series"], {"value": (op, column)}).orderBy("t", "series")
 
 
-def trend_multi(df: DataFrame, metrics: dict[str, tuple], every: str = "1 hour") -> DataFrame:
+def trend_multi(df: DataFrame, metrics: dict[str, tuple], every: str | None = "1 hour") -> DataFrame:
     """Wide (t, metric...).  A metric is (op, column) or (op, column, predicate); a predicate limits its metric only."""
-    out = []
+    out = {}
     for name, (op, column, *predicate) in metrics.items():
-        if not predicate:
-            out.append(metric(op, column).alias(name))
-        elif op == "count":
-            out.append(F.count_if(F.expr(predicate[0])).alias(name))
-        else:
-            held = f"__{name}"
-            df = df.withColumn(held, F.when(F.expr(predicate[0]), F.col(column)))
-            out.append(metric(op, held).alias(name))
-    return df.groupBy(time_bin(every=every).alias("t")).agg(*out).orderBy("t")
+        if predicate:
+            held, passes = f"__{name}", F.expr(predicate[0])
+            one = F.when(passes, 1).otherwise(0) if op == "count" else F.when(passes, F.col(column))
+            df, op, column = df.withColumn(held, one), "sum" if op == "count" else op, held
+        out[name] = (op, column)
+    return aggregate(with_time(df, every), ["t"], out).orderBy("t")
 
 
-def trend_pairs(df: DataFrame, first: str, second: str, every: str = "1 hour", n: int = 10) -> DataFrame:
+def trend_pairs(df: DataFrame, first: str, second: str, every: str | None = "1 hour", n: int | None = 10) -> DataFrame:
     """Request count of the N most frequent 'first/second' combinations."""
     pair = F.concat_ws("/", F.col(first), F.col(second).cast("string"))
     return trend(df.withColumn("__pair", pair), "__pair", "count", None, every, n)

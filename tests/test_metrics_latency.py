@@ -1,10 +1,13 @@
+import random
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from loadlens.operators import latency as L, metrics as M
-from loadlens.plans import panels as P
+from loadlens.operators.ranks import aggregate, weighted_percentiles
+from loadlens.plans import catalog as C, panels as P
 from loadlens.plans.health import canonical_names
 
 START = datetime(2024, 6, 1)
@@ -76,8 +79,11 @@ def test_prefixed_gateway_counters_are_recognised(spark):
 
 def test_percentiles_interpolate(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
-    assert df.agg(*[L.percentile("v", p) for p in (0, 50, 95, 100)]).first()[:] == (0.0, 50.0, 95.0, 100.0)
-    assert df.where("v < 0").agg(L.percentile("v", 50)).first()[0] == 0.0
+    shares = {f"p{p}": (f"percentile_{p}", "v") for p in (0, 50, 95, 100)}
+    assert aggregate(df, [], shares).first()[:] == (0.0, 50.0, 95.0, 100.0)
+    assert L.latency_report(latency(spark, [])).collect() == []
+    nothing = L._percentiles_by(latency(spark, [("gateway", 1, "s", None, 200)]), ["op"]).first()
+    assert nothing[:] == ("s", 0.0, 0.0, 0.0)
 
 
 def latency(spark, rows):
@@ -120,3 +126,98 @@ def test_filtered_metrics_do_not_limit_each_other(spark):
     df = spark.createDataFrame([(START, 200, 1.0), (START, 500, 3.0)], "timestamp timestamp_ntz, response_status int, took double")
     out = P.trend_multi(df, {"errors": ("count", None, "response_status >= 400"), "total": ("count", None), "slow": ("avg", "took", "response_status >= 400")})
     assert out.first()[1:] == (1, 2, 3.0)
+
+
+@pytest.mark.parametrize("op", ["avg", "sum", "count", "max", "percentile_95"])
+def test_top_series_against_a_plain_ranking(spark, op):
+    draw = random.Random(5)
+    rows = [(START + timedelta(minutes=draw.randint(0, 600)), f"s{min(draw.randint(0, 9), draw.randint(0, 9))}", float(draw.randint(0, 99))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, name string, took double")
+    got = {(r.t, r.series): r.value for r in P.trend(df, "name", op, "took", n=3).collect()}
+    counts = Counter(name for _, name, _ in rows)
+    top = sorted(counts, key=lambda s: (-counts[s], s))[:3]
+    cells = defaultdict(list)
+    for t, name, v in rows:
+        if name in top:
+            cells[t.replace(minute=0, second=0), name].append(v)
+    fold = {"avg": lambda v: sum(v) / len(v), "sum": sum, "count": len, "max": max, }
+    assert set(got) == set(cells)
+    if op != "percentile_95":
+        assert all(got[k] == pytest.approx(fold[op](v)) for k, v in cells.items())
+    else:
+        exact = df.groupBy(P.time_bin().alias("t"), F.col("name").alias("series")).agg(F.percentile("took", 0.95).alias("v")).collect()
+        assert all(got[r.t, r.series] == pytest.approx(r.v) for r in exact if r.series in top)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def stored(spark, folder, df):
+    df.write.parquet(folder + "/rows")
+    return spark.read.parquet(folder + "/rows")
+
+
+def test_trends_and_percentiles_read_their_input_once(spark, folder):
+    rows = [(START + timedelta(minutes=i), f"s{i % 7}", float(i % 50), i) for i in range(2000)]
+    df = stored(spark, folder, spark.createDataFrame(rows, "timestamp timestamp_ntz, name string, took double, status int"))
+    for plan in (P.trend(df, "name", "avg", "took"), P.trend_pairs(df, "name", "took"),
+                 P.table(df, "name", {"n": ("count",), "p50": ("percentile_50", "took"), "p99": ("percentile_99", "took")}),
+                 P.trend_multi(df, {"p95": ("percentile_95", "took"), "late": ("count", None, "status > 100")})):
+        text = final_plan(plan)
+        assert text.count("FileScan") == 1 and "percentile" not in text
+
+
+def test_percentiles_of_a_hot_group_of_distinct_values(spark):
+    """A third of all rows in one group, all values distinct; the others tie, are negative, tiny, huge or not numbers."""
+    hot = spark.range(40_000).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 40_000 / 7 + 1000).alias("v"))
+    odd = [0.0, -0.0, -1.5, 1e-12, -1e-12, 1e300, -1e300, float("nan"), float("inf"), float("-inf"), None, 5.0]
+    rest = spark.range(80_000).select(
+        F.concat(F.lit("k"), (F.col("id") % 40).cast("string")).alias("k"),
+        F.element_at(F.array(*[F.lit(x).cast("double") for x in odd]), (F.col("id") / 40 % 12 + 1).cast("int")).alias("v"))
+    none = spark.createDataFrame([(None, 3.0), (None, 4.0), ("empty", None)], "k string, v double")
+    df = hot.unionByName(rest).unionByName(none)
+    shares = {f"p{p}": p / 100 for p in (0, 5, 50, 95, 99, 100)}
+    got = {r.k: r for r in aggregate(df, ["k"], {n: (f"percentile_{round(q * 100)}", "v") for n, q in shares.items()} | {"n": ("count",)}).collect()}
+    want = df.groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in shares.items()], F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == len(want) == 43
+    for r in want:
+        for name in (*shares, "n"):
+            assert str(got[r.k][name]) == str(r[name]) or got[r.k][name] == pytest.approx(r[name], rel=1e-12)
+
+
+def test_weighted_percentiles(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", None, 9), ("b", None, 2), ("a", 1.0, 2)], "k string, v double, n long")
+    got = {r.k: r.m for r in weighted_percentiles(df, ["k"], "v", "n", {"m": 0.9}).collect()}
+    assert got == {"a": pytest.approx(1.5), "b": None}
+
+
+def test_all_quantiles_in_one_pass(spark):
+    rows = [(START, {"le": le, "cluster": c}, v) for c, scale in (("a", 1.0), ("b", 2.0), ("empty", 0.0))
+            for le, v in (("1", 2.0 * scale), ("2", 6.0 * scale), ("+Inf", 8.0 * scale))]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, labels map<string,string>, value double")
+    shares = {"p25": .25, "p50": .5, "p99": .99}
+    got = {(r.cluster, r.line): r.value for r in M.histogram_quantiles(df, shares, ("cluster",)).collect()}
+    one = {(r.cluster, name): r.value for name, q in shares.items() for r in M.histogram_quantile(df, q, ("cluster",)).collect()}
+    assert got == one and len(got) == 6 and got["a", "p50"] == pytest.approx(1.5) and got["b", "p99"] == 2.0
+
+
+def test_bins_follow_the_range(spark):
+    df = spark.createDataFrame([(START,), (START + timedelta(days=30),)], "timestamp timestamp_ntz")
+    day = spark.createDataFrame([(START + timedelta(seconds=200 * i),) for i in range(400)], "timestamp timestamp_ntz")
+    assert [r.t for r in P.trend(df, None, "count", None, every=None).collect()] == [START, START + timedelta(days=30)]
+    bins = [r.t for r in P.trend(day, None, "count", None, every=None).collect()]
+    assert all((t - datetime(1970, 1, 1)).total_seconds() % 120 == 0 for t in bins) and len(bins) == 400
+    assert P.trend(day.limit(0), None, "count", None, every=None).collect() == []
+    single = spark.createDataFrame([(START,)] * 3, "timestamp timestamp_ntz")
+    assert [r.value for r in P.trend(single, None, "count", None, every=None).collect()] == [3]
+
+
+def test_panels_take_their_own_options(spark):
+    df = spark.createDataFrame([(START, f"{'t' * 70}{i}", 1.0) for i in range(4)], "timestamp timestamp_ntz, request_template string, stress_score double")
+    assert len(C.run_panel("pie_template", df).collect()) == 1
+    assert len(C.run_panel("pie_template", df, chars=None, n=3).collect()) == 3
+    assert len(C.run_panel("trend_template", df, n=None, every="1 day").collect()) == 4
+    with pytest.raises(ValueError):
+        C.run_panel("pie_template", df, every="1 day")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadlens.operators.records import build_records
 from loadlens.operators.summary import finalize_states
-from loadlens.plans.catalog import pick_source
+from loadlens.plans.catalog import pick_source, raw_since, routed_trend
 from loadlens.plans.filters import Filters
 from loadlens.schema import RECORD
 from loadlens.sources import tables
@@ -205,3 +205,29 @@ def test_source_router():
     assert pick_source(old, ["identity_username"], "avg", "stress_score", now) == "raw"
     assert pick_source(old, by_app, "max", "stress_score", now) == "raw"
     assert pick_source(old.drill("username", "u"), by_app, "avg", "stress_score", now) == "raw"
+
+
+def test_a_range_across_the_border_counts_every_hour_once(spark):
+    """Raw rows expire within an hour; the summary has that hour whole, and both know the hours after it."""
+    now = datetime(2024, 3, 10, 10, 30)
+    moments = [now - timedelta(minutes=37 * i) for i in range(400)]
+    rows = [(m, f"op{i % 3}", 1.0 + i) for i, m in enumerate(moments)]
+    raw = spark.createDataFrame(rows, "timestamp timestamp_ntz, request_operation string, stress_score double")
+    hour = F.window("timestamp", "1 hour")["start"]
+    summary = raw.groupBy(hour.alias("time_bucket"), "request_operation").agg(
+        F.count(F.lit(1)).alias("count_state"), F.sum("stress_score").alias("sum_score_state"),
+        F.struct(F.sum("stress_score").alias("sum"), F.count("stress_score").alias("n")).alias("avg_score_state"))
+    left = raw.where(F.col("timestamp") >= F.lit(now - timedelta(days=3)))
+    assert left.count() < raw.count()
+    for start in (None, datetime(2024, 3, 5, 7), datetime(2024, 3, 9, 7, 15)):
+        for op, column in (("count", None), ("sum", "stress_score"), ("avg", "stress_score")):
+            for dim in (None, "request_operation"):
+                got = {(r.t, r.series): r.value for r in routed_trend(left, summary, dim, op, column, Filters(start=start), now, 2).collect()}
+                cells = {}
+                for m, name, v in rows:
+                    if start is None or m >= start:
+                        cells.setdefault((m.replace(minute=0, second=0), name if dim else None), []).append(v)
+                ranked = sorted({s for _, s in cells}, key=lambda s: (-sum(len(v) for (_, x), v in cells.items() if x == s), s or ""))[:2]
+                fold = {"count": len, "sum": sum, "avg": lambda v: sum(v) / len(v)}[op]
+                assert got == {k: pytest.approx(fold(v)) for k, v in cells.items() if k[1] in ranked}
+    assert raw_since(datetime(2024, 3, 10, 10, 0)) == datetime(2024, 3, 7, 10) and raw_since(now) == datetime(2024, 3, 7, 11)
