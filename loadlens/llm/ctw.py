@@ -18,6 +18,7 @@ on.  Repeated rows count and are scored each.  An empty table gives an empty res
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -45,6 +46,14 @@ LOWER[65:91] += 32
 
 # ---- in tasks: texts to grams and words ------------------------------------------------------------------------------
 
+def give_back() -> None:
+    """Freed memory goes back to the system, not to a pool: two workers share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lower(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Texts with A-Z in lower case, their bytes, and where each begins and ends."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -118,7 +127,6 @@ def _cuts(sizes: np.ndarray, most: int):
 def chunker(schema: pa.Schema, depth: int):
     """Per chunk: one row of its texts, and rows of its distinct grams and words with their counts in training texts."""
     def chunks(batches):
-        pa.set_memory_pool(pa.system_memory_pool())  # freed memory goes back, not to a pool
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             for begin, end in _cuts(sizes, CHUNK_BYTES):
@@ -129,7 +137,7 @@ def chunker(schema: pa.Schema, depth: int):
         train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         texts, data, ends = lower(batch.column(2))
         fields = {"ids": batch.column(0), "held": batch.column(1), "sizes": pa.array(np.diff(ends))}
-        yield rows(chunk, DOCS, 1, data=pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)]), **{
+        yield rows(chunk, DOCS, 1, data=pa.array([pa.compress(pa.py_buffer(data), "zstd", asbytes=True)]), **{
             k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in fields.items()})
         found = []
         for keys, owner, _, lengths in gram_pieces(data, ends, depth):
@@ -141,9 +149,13 @@ def chunker(schema: pa.Schema, depth: int):
         times = np.bincount(merged.indices.to_numpy(), np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
         order = np.argsort(grams)
         grams, times = grams[order], times[order]
+        del found, merged, order
+        give_back()
         yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
         words, counts, _ = counted_words(texts, train)
         yield rows(chunk, WORDS, len(words), word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
+        del words, counts, texts, data
+        give_back()
 
     def rows(chunk, kind, size, **columns):
         values = {"chunk": pa.array(np.full(size, chunk, np.int64)), "kind": pa.array(np.full(size, kind, np.int64))} | columns
@@ -176,11 +188,11 @@ def counted_words(texts: pa.Array, train: np.ndarray):
 def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema):
     """Scores of the texts of one chunk from the values of its grams and the counts of its words."""
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
         parts = [one(row, values) for row in docs.to_pylist()]
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     def one(row, values):
+        give_back()
         size = np.array(row["sizes"], np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(pa.decompress(row["data"], int(ends[-1]), "zstd", asbytes=True), np.uint8)
@@ -197,6 +209,8 @@ def scorer(depth: int, tokens: int, kinds: int, trained: int, schema: pa.Schema)
             found = pc.dictionary_encode(pa.array(keys))
             each = price[np.searchsorted(known, found.dictionary.to_numpy())][found.indices.to_numpy()]
             np.add.at(total, owner, np.add.reduceat(each, starts))
+        del known, price
+        give_back()
         _, times, pieces = counted_words(texts, ~held)
         times[words.column("at").to_numpy()] = words.column("value").to_numpy().astype(np.int64)
         price, tokens_, known_words = np.log10((times + 1) / (tokens + kinds + 1)), np.zeros(n, np.int64), np.zeros(n, np.int64)
