@@ -7,7 +7,8 @@ bias is fitted by dual coordinate descent on the hinge loss; a logistic curve fi
 model has not seen turns margins into scores.
 
 Null and empty texts have the bias as their margin and get a score like any other.  Labels that are null or contradict
-each other are not learned from; a document labelled twice alike counts once.  Without labels of both classes every
+each other are not learned from; a document labelled twice alike counts once, and of several rows of one id the one
+with the smallest hash of its text is learned from.  Ids may be of any type.  Without labels of both classes every
 score is the share of label 1, or 0.5 without labels.  Repeated rows get the same score.  An empty table gives an empty
 result.
 """
@@ -119,6 +120,15 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Per feature: log of its share in the rows of class 1 over its share in the others, each count raised by one."""
+    counts = np.ones((2, 1 << BITS))
+    for row, label in zip(rows, y):
+        counts[int(label > 0), row] += 1
+    counts /= counts.sum(axis=1, keepdims=True)
+    return np.log(counts[1] / counts[0])
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float, float, float]:
     """Model (weights, bias, a, b) of indicator rows and 0/1 labels."""
     none = np.zeros(1 << BITS)
@@ -129,11 +139,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, rounds: int
     y = np.where(labels > 0, 1.0, -1.0)
 
     def train(part):
-        counts = np.ones((2, 1 << BITS))
-        for i in part:
-            counts[int(y[i] > 0), rows[i]] += 1
-        counts /= counts.sum(axis=1, keepdims=True)
-        return descend([rows[i] for i in part], y[part], np.log(counts[1] / counts[0]), c, rounds)
+        chosen = [rows[i] for i in part]
+        return descend(chosen, y[part], log_ratios(chosen, y[part]), c, rounds)
 
     aside = np.arange(len(rows)) % 4 == 0
     seen, unseen = np.flatnonzero(~aside), np.flatnonzero(aside)
@@ -153,11 +160,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_: str, text: str, lab
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_).isNotNull() & (fold(F.col(id_)) != 2))
         .groupBy(F.col(id_).alias("__id")).agg(F.min(label).alias("__y"), F.max(label).alias("__z")).where("__y = __z")
-        .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+        .select("__id", F.xxhash64("__id").alias("__order"), F.col("__y").cast("int").alias("__y"))
+        .orderBy("__order", "__id").limit(max_rows)
     )
-    known = cut(known.select("__id", "__y"), "quality-sample")
-    return docs.select(F.col(id_).alias("__id"), F.col(text).alias("__text")).join(
-        F.broadcast(known), "__id").select("__id", "__text", F.col("__y").cast("int").alias("__y"))
+    known = cut(known, "quality-sample")
+    rows = docs.select(F.col(id_).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    # One row of each id, chosen before anything meets in one task.
+    return rows.groupBy("__id", "__order", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("__row")).select(
+        "__order", F.col("__id").cast("string").alias("__id"), F.col("__row.t").alias("__text"), "__y")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_="doc_id", text="text", label="quality", max_rows=MAX_LABELLED):
@@ -166,23 +176,19 @@ def train_model(docs: DataFrame, labels: DataFrame, id_="doc_id", text="text", l
 
     def featurise(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["__id"], "y": batch["__y"], "x": [hashed_ngrams(t) for t in batch["__text"]]})
+            yield pd.DataFrame({"key": batch["__order"], "id": batch["__id"], "y": batch["__y"],
+                                "x": [hashed_ngrams(t).astype(np.int32) for t in batch["__text"]]})
 
     def fit_all(batches):
         parts = list(batches)
         if not parts:
             return
-        rows = pd.concat(parts, ignore_index=True)
-        if len(rows):
-            rows["hash"] = pd.util.hash_array(rows["id"].to_numpy())
-            # Repeated rows of one id would weigh more; one of each is learned from.
-            rows["n"] = [tuple(x) for x in rows["x"]]
-            rows = rows.sort_values(["hash", "id", "n"]).drop_duplicates("id")
-        weights, bias, a, b = fit([np.asarray(x, dtype=np.int64) for x in rows["x"]], rows["y"].to_numpy(dtype=int))
+        rows = pd.concat(parts, ignore_index=True).sort_values(["key", "id"])
+        weights, bias, a, b = fit(rows["x"].tolist(), rows["y"].to_numpy(dtype=int))
         yield pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias], "a": [a], "b": [b]})
 
     made = (
-        sample.mapInPandas(featurise, "id long, y int, x array<long>").repartition(1)
+        sample.mapInPandas(featurise, "key long, id string, y int, x array<int>").repartition(1)
         .mapInPandas(fit_all, "weights array<float>, bias double, a double, b double")
     )
     made = made.collect()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -112,6 +113,31 @@ def test_classifier_on_held_out_rows_and_odd_ones(spark):
     assert quality.drop_rejected(odd.empty(spark), labels.limit(0)).count() == 0
 
 
+def test_the_sample_is_bounded_in_rows_and_takes_any_id(spark):
+    rows = [(0, f"copy {i}") for i in range(3000)] + [(i, f"text {i}") for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for ids in ("long", "string"):
+        as_ids = [df.withColumn("doc_id", F.col("doc_id").cast(ids)) for df in (docs, labels)]
+        for most in (5, 1000):
+            got = quality.labelled_sample(*as_ids, "doc_id", "text", "quality", most).collect()
+            assert len(got) == len({r["__id"] for r in got}) == min(most, sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40)))
+        score = quality.scorer(quality.train_model(*as_ids))
+        assert as_ids[0].where(score("text").isNull()).count() == 0
+
+
+def test_ratios_against_counting_by_hand():
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 60, 9)) for _ in range(80)]
+    y = np.where(draw.random(80) < 0.4, 1.0, -1.0)
+    size = 1 << quality.BITS
+    got = quality.log_ratios(rows, y)
+    good, bad = ([r for r, label in zip(rows, y) if (label > 0) == side] for side in (True, False))
+    for feature in range(70):
+        shares = [(1 + sum(feature in r for r in part)) / (size + sum(map(len, part))) for part in (good, bad)]
+        assert abs(got[feature] - np.log(shares[0] / shares[1])) < 1e-9
+
+
 def test_one_class_or_no_labels():
     assert quality.fit([], np.empty(0))[3] == 0.0
     assert quality.fit([np.array([1])] * 4, np.array([1] * 4))[3] > 5

@@ -123,20 +123,42 @@ def test_lines_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for sites in (2, 6):
         got = lines.drop_boilerplate(df, min_sites=sites, report=True).select("doc_id", "text", "n_lines", "n_removed").collect()
+        assert Counter(map(tuple, got)) == Counter(brute_lines(rows, sites, 1))
+        got = lines.drop_boilerplate(df, min_sites=sites, min_words=5, report=True).select("doc_id", "text", "n_lines", "n_removed").collect()
         assert Counter(map(tuple, got)) == Counter(brute_lines(rows, sites, 5))
     assert lines.drop_boilerplate(odd.docs(spark)).columns == odd.docs(spark).columns
     assert lines.drop_boilerplate(odd.empty(spark)).count() == 0
 
 
-def test_short_lines_on_many_sites_go(spark):
-    rows = [(i, f"All rights reserved.\n\n{'On twelve sites.' if i < 12 else 'x'}\nown {i} words", f"s{i}") for i in range(18)]
+def test_short_lines_follow_the_same_rule(spark):
+    rows = [(i, f"All rights reserved.\n\n{'On six sites.' if i < 6 else 'x' + str(i)}\nown {i} words", f"s{i}") for i in range(18)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, short_sites=16).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df).collect()}
     assert got == {i: text if not i else text.removeprefix("All rights reserved.\n") for i, text, _ in rows}
-    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, short_sites=None).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, min_words=4).collect()}
     assert got == {i: text for i, text, _ in rows}
 
 
+def test_a_text_of_very_many_lines(spark):
+    """Removal takes time in proportion to the lines; with a search per line this text would take hours."""
+    n = 400_000
+    common = spark.range(1, 9).select(F.col("id").alias("doc_id"), F.lit("\n".join(f"common {i}" for i in range(50))).alias("text"))
+    long = spark.range(9, 10).select(F.col("id").alias("doc_id"), F.expr(
+        f"array_join(transform(sequence(1, {n}), i -> IF(i % 2 = 0, 'own ' || i, 'common ' || i % 50)), '\n')").alias("text"))
+    df = common.unionByName(long).withColumn("source", F.concat(F.lit("s"), F.col("doc_id")))
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(df, report=True).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("d")).collect()}
+    left = "\n".join(f"own {i}" for i in range(2, n + 1, 2))
+    assert (got[9]["n_lines"], got[9]["n_removed"], got[9]["d"]) == (n, n // 2, hashlib.sha256(left.encode()).hexdigest())
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 50
+
+
+def test_only_lines_near_the_threshold_are_counted_by_site(spark):
+    made = lines.line_table(odd.docs(spark), "doc_id", "text", "source", 1)
+    plan = lines.boilerplate(made, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("__site"):] and plan.index("Aggregate [__h1") < plan.rindex("LeftSemi")
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     df = odd.docs(spark)
     out, pieces = mixing.mix(df, block_tokens=16)
