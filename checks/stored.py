@@ -47,26 +47,24 @@ def streamed(table: str, view: View):
 
 
 def tabled(table: str, view: View):
-    """Records or dead letters after a plain write, two writes of one batch, and compaction of every day."""
+    """Records or dead letters after a plain write, two batches of which one is repeated, and compaction of all batches."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _folder(spark)
         made = dict(zip(("records", "dead_letters"), split_dead_letters(
             analyze(request_log(configure(spark), sf_dir), decompress=False))))[table]
-        half = F.xxhash64("timestamp", "request_path") % 2 == 0
-        tables.write_table(made.where(half), table, path)
-        for _ in range(2):
-            tables.write_table(made.where(~half), table, path, batch=1)
-        # Days of a table are few: one row each.
-        for row in tables.read_table(spark, table, path).select("day").distinct().collect():
-            tables.compact(spark, table, path, row["day"])
+        thirds = F.pmod(F.xxhash64("timestamp", "request_path"), F.lit(3))
+        tables.write_table(made.where(thirds == 2), table, path)
+        for number in (0, 1, 1):
+            tables.write_table(made.where(thirds == number), table, path, batch=number)
+        tables.compact(spark, table, path, 2)
         return view(tables.read_table(spark, table, path))
 
     return query
 
 
 def compacted_summary(view: View):
-    """Summary states of two batches, the second repeated, merged month by month."""
+    """Summary states of two batches, the second repeated, merged by compaction."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _folder(spark)
@@ -75,8 +73,7 @@ def compacted_summary(view: View):
         tables.write_table(S.summary_states(records.where(~late)), "summary", path, batch=0)
         for _ in range(2):
             tables.write_table(S.summary_states(records.where(late)), "summary", path, batch=1)
-        for row in tables.read_table(spark, "summary", path).select("month").distinct().collect():
-            tables.compact_summary(spark, path, row["month"])
+        tables.compact_summary(spark, path, 2)
         return view(tables.read_table(spark, "summary", path))
 
     return query

@@ -1,9 +1,10 @@
 """Tables: records and dead letters by day, summary states by month.
 
-Every write goes to a folder of its own, ``run=<id>/<partition>``, and becomes visible when the next version of a small
-manifest names it.  A version is created only if it does not exist, so that of two writers one starts over from the other's
-state.  A repeated batch takes the place of what that batch wrote before, wherever its rows lie; compaction takes the
-place of exactly the folders it read.  Replaced folders are listed until ``vacuum`` deletes them.
+A batch is a folder, ``batch=<number>/<partition>``, written by Spark's plain overwrite: a repeated batch takes its own
+place, whatever day its rows lie on.  While it does, readers may miss that batch.  Writes without a number get a folder of
+their own.  Compaction joins batches that are closed - below the number that the stream has committed, so never written
+again - into ``batch=<first>-<last>``.  That name says what it stands for: once the folder is complete, readers pass over
+the batches it covers, so nothing counts twice whether or not those are deleted yet, and writing a covered batch is an error.
 
 Writes are laid out for the panels: a rebalance by day, cluster and operation gives even files (AQE
 splits a combination that holds a third of all rows), and rows are sorted inside each file so that
@@ -12,12 +13,10 @@ row-group statistics skip what a filter does not touch.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from loadlens.operators.summary import merge_states
@@ -69,117 +68,84 @@ def align_schema(df: DataFrame, schema: T.StructType, defaults: Mapping | None =
     return df.select(*[column(field) for field in schema.fields])
 
 
-# -- manifest -------------------------------------------------------------------------------
+# -- batches --------------------------------------------------------------------------------
 
 def _files(spark: SparkSession, path: str):
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
-    """(version, content) of the newest manifest; version 0 where there is none."""
+def _names(spark: SparkSession, path: str) -> list[str]:
     fs, at = _files(spark, path)
-    folder = at(f"{path}/_manifest")
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    version = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()), default=0)
-    if not version:
-        return 0, {"live": [], "gone": []}
-    stream = fs.open(at(f"{path}/_manifest/{version:012d}.json"))
-    try:
-        return version, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _commit(spark: SparkSession, path: str, change: Callable[[dict], dict]) -> dict:
-    """Write the next version; starts over when another writer was first."""
-    fs, at = _files(spark, path)
-    while True:
-        version, content = _manifest(spark, path)
-        content = change(content)
-        name = f"{version + 1:012d}.json"
-        aside = at(f"{path}/_manifest/.{name}.{uuid.uuid4().hex}")
-        stream = fs.create(aside)
-        stream.write(bytearray(json.dumps(content).encode()))
-        stream.close()
-        target = at(f"{path}/_manifest/{name}")
-        try:
-            # A rename onto an existing name fails, so a version is whole or absent.
-            done = not fs.exists(target) and fs.rename(aside, target)
-        except Py4JJavaError:
-            done = False
-        if done:
-            if version > 8:
-                fs.delete(at(f"{path}/_manifest/{version - 8:012d}.json"), False)
-            return content
-        fs.delete(aside, False)
-
-
-def stage_table(df: DataFrame, table: str, path: str, options: Mapping[str, str] | None = None, spread: bool = True) -> str:
-    """Write rows into a new run folder that nobody reads yet; returns its id."""
-    schema, _, column, order = LAYOUT[table]
-    rows = with_partition(align_schema(df, schema), table)
-    if spread:
-        rows = rows.hint("rebalance", column, *_SPREAD_BY[table]).sortWithinPartitions(column, *order)
-    run = uuid.uuid4().hex
-    rows.write.options(**{"compression": "zstd", **(options or {})}).partitionBy(column).parquet(f"{path}/run={run}")
-    return run
+    return [s.getPath().getName() for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
 
 
-def publish(spark: SparkSession, path: str, run: str, batch: int | None = None, replaces: Sequence[str] = ()) -> None:
-    """Make a staged run visible, in place of the same batch's earlier rows and of the folders ``replaces``."""
+def _batches(spark: SparkSession, path: str) -> tuple[dict[str, tuple[int, int]], set[str]]:
+    """(numbered batches in force with the numbers they hold, batches that are covered or unfinished)."""
     fs, at = _files(spark, path)
-    folder = at(f"{path}/run={run}")
-    parts = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
-    added = [{"folder": f"run={run}/{part}", "batch": batch} for part in parts]
+    spans, hidden = {}, set()
+    for name in _names(spark, path):
+        kind, _, value = name.partition("=")
+        first, dash, last = value.partition("-")
+        if kind != "batch" or not first.isdigit():
+            continue
+        if dash and not fs.exists(at(f"{path}/{name}/_SUCCESS")):
+            hidden.add(value)
+        else:
+            spans[value] = (int(first), int(last or first))
+    joined = [(lo, hi, v) for v, (lo, hi) in spans.items() if "-" in v]
+    hidden |= {v for v, (lo, hi) in spans.items() if any(a <= lo and hi <= b and v != w for a, b, w in joined)}
+    return {v: span for v, span in spans.items() if v not in hidden}, hidden
 
-    def change(content: dict) -> dict:
-        out = {e["folder"] for e in content["live"] if e["folder"] in replaces or batch is not None and e["batch"] == batch}
-        return {"live": [e for e in content["live"] if e["folder"] not in out] + added,
-                "gone": sorted({*content["gone"], *out})}
 
-    _commit(spark, path, change)
+def closed_batches(spark: SparkSession, checkpoint: str) -> int:
+    """Number below which a stream writes no batch again: one above its last commit, 0 before the first."""
+    return max((int(n) + 1 for n in _names(spark, f"{checkpoint}/commits") if n.isdigit()), default=0)
 
 
-def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete folders that a later write replaced; run it when no reader is older than the last version."""
-    fs, at = _files(spark, path)
-    gone = _manifest(spark, path)[1]["gone"]
-    for folder in gone:
-        fs.delete(at(f"{path}/{folder}"), True)
-    _commit(spark, path, lambda c: {"live": c["live"], "gone": [g for g in c["gone"] if g not in gone]})
-    return gone
+def write_table(
+    df: DataFrame, table: str, path: str, batch: int | None = None, options: Mapping[str, str] | None = None, spread: bool = True,
+) -> None:
+    """Append rows; with a ``batch`` number, writing the same batch again replaces what it wrote before.
+
+    ``spread=False`` writes rows as they come; compaction lays them out.
+    """
+    if batch is not None:
+        lo_hi = [span for value, span in _batches(df.sparkSession, path)[0].items() if "-" in value]
+        if any(lo <= batch <= hi for lo, hi in lo_hi):
+            raise ValueError(f"batch {batch} of {path} is closed and compacted")
+    _write(df, table, f"{path}/batch={uuid.uuid4().hex + 'w' if batch is None else batch}", options, spread)
 
 
-def write_table(df: DataFrame, table: str, path: str, batch: int | None = None, options: Mapping[str, str] | None = None) -> None:
-    """Append rows; with a ``batch`` number, writing the same batch again replaces what it wrote before."""
-    publish(df.sparkSession, path, stage_table(df, table, path, options), batch)
+def _write(df: DataFrame, table: str, folder: str, options: Mapping[str, str] | None = None, spread: bool = True) -> None:
+    schema, _, column, order = LAYOUT[table]
+    rows = with_partition(align_schema(df, schema), table)
+    if spread:
+        rows = rows.hint("rebalance", column, *_SPREAD_BY[table]).sortWithinPartitions(column, *order)
+    rows.write.mode("overwrite").options(**{"compression": "zstd", **(options or {})}).partitionBy(column).parquet(folder)
 
 
-def _read(spark: SparkSession, table: str, path: str, folders: Sequence[str] | None) -> DataFrame:
+def _read(spark: SparkSession, table: str, path: str) -> DataFrame:
     schema, _, column, _ = LAYOUT[table]
     stored = T.StructType([*schema.fields, T.StructField(column, T.DateType())])
-    reader = spark.read.schema(stored)
-    if folders is None:
-        df = reader.parquet(path)
-    elif folders:
-        df = reader.option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
-    else:
-        df = spark.createDataFrame([], stored)
-    df = df.select(*stored.names)
+    nested = any(n.startswith("batch=") for n in _names(spark, path))
+    found = spark.read.schema(T.StructType([*stored.fields, T.StructField("batch", T.StringType())]) if nested else stored).parquet(path)
     if table != "records":
-        return df
+        return found
     late = {name: F.coalesce(F.col(name), F.lit(value).cast(schema[name].dataType)) for name, value in LATE_RECORD_COLUMNS.items()}
-    return df.withColumns(late)
+    return found.withColumns(late)
 
 
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Rows of the newest version with their partition column; columns that older files lack read as their default.
+    """Rows in force with their partition column; columns that older files lack read as their default.
 
-    A folder without a manifest is read as it lies.
+    A folder without batches is read as it lies.
     """
-    version, content = _manifest(spark, path)
-    return _read(spark, table, path, [e["folder"] for e in content["live"]] if version else None)
+    _, hidden = _batches(spark, path)
+    rows = _read(spark, table, path)
+    if hidden:
+        rows = rows.where(~F.col("batch").isin(*sorted(hidden)))
+    return rows.select(*LAYOUT[table][0].names, LAYOUT[table][2])
 
 
 # -- retention ------------------------------------------------------------------------------
@@ -198,50 +164,49 @@ def _end(start: date, column: str) -> date:
 def drop_expired(spark: SparkSession, table: str, path: str, now: datetime, days: int | None = None) -> list[date]:
     """Delete partitions whose every row is older than the retention; returns what was deleted.
 
-    Whole partitions go, by metadata alone; rows of a partly expired one stay until it is complete,
+    Whole partitions go, by the names of their folders alone; rows of a partly expired one stay until it is complete,
     ``apply_retention`` hides them on read.
     """
     column = LAYOUT[table][2]
     limit = now - timedelta(days=days if days is not None else SUMMARY_DAYS if table == "summary" else RAW_DAYS)
-    expired: dict[str, date] = {}
-
-    def change(content: dict) -> dict:
-        expired.clear()
-        for entry in content["live"]:
-            value = entry["folder"].rpartition(f"{column}=")[2]
-            if "__HIVE" in value:
-                continue
-            start = date.fromisoformat(value)
-            if datetime.combine(_end(start, column), datetime.min.time()) <= limit:
-                expired[entry["folder"]] = start
-        return {**content, "live": [e for e in content["live"] if e["folder"] not in expired]}
-
-    if not _manifest(spark, path)[0]:
-        return []
-    _commit(spark, path, change)
     fs, at = _files(spark, path)
-    for folder in expired:
-        fs.delete(at(f"{path}/{folder}"), True)
-    return sorted(set(expired.values()))
+    gone = set()
+    for status in fs.globStatus(at(f"{path}/batch=*/{column}=*")) or []:
+        value = status.getPath().getName().partition("=")[2]
+        if "__HIVE" in value:
+            continue
+        start = date.fromisoformat(value)
+        if datetime.combine(_end(start, column), datetime.min.time()) <= limit:
+            fs.delete(status.getPath(), True)
+            gone.add(start)
+    return sorted(gone)
 
 
-def compact(spark: SparkSession, table: str, path: str, start: date) -> None:
-    """One run in place of all runs of a day (or month): summary states merged per key, other rows laid out anew.
+def compact(spark: SparkSession, table: str, path: str, closed: int, again: bool = False) -> str | None:
+    """Join the closed batches that no compaction has joined yet into one; returns its name, None if there is nothing to do.
 
-    Exactly the folders of the version that was read are replaced; what lands meanwhile stays.
+    ``closed`` is the number below which no batch is written again (``closed_batches``); later ones are left alone, as is
+    what lands meanwhile.  Summary states merge per key, other rows are laid out anew.  ``again`` takes earlier
+    compactions in as well.  Covered batches are deleted at the end; what a lost run leaves of them is hidden from
+    readers and deleted by the next.  Run one compaction of a table at a time.
     """
-    column = LAYOUT[table][2]
-    folders = [e["folder"] for e in _manifest(spark, path)[1]["live"] if e["folder"].endswith(f"{column}={start.isoformat()}")]
-    if not folders:
-        return
-    rows = _read(spark, table, path, folders)
-    merged = merge_states(rows) if table == "summary" else rows
-    publish(spark, path, stage_table(merged, table, path), replaces=folders)
+    live, hidden = _batches(spark, path)
+    taken = {v: span for v, span in live.items() if span[1] < closed and (again or "-" not in v)}
+    made = None
+    if len(taken) > 1:
+        made = f"{min(lo for lo, _ in taken.values())}-{max(hi for _, hi in taken.values())}"
+        rows = _read(spark, table, path).where(F.col("batch").isin(*sorted(taken))).drop("batch")
+        _write(merge_states(rows) if table == "summary" else rows, table, f"{path}/batch={made}")
+        hidden |= set(taken)
+    fs, at = _files(spark, path)
+    for value in hidden - {made}:
+        fs.delete(at(f"{path}/batch={value}"), True)
+    return made
 
 
-def compact_summary(spark: SparkSession, path: str, month: date) -> None:
-    """Merge the partial states of one month into one row per key."""
-    compact(spark, "summary", path, month)
+def compact_summary(spark: SparkSession, path: str, closed: int) -> str | None:
+    """Merge the partial states of all closed batches into one row per key."""
+    return compact(spark, "summary", path, closed, again=True)
 
 
 # -- catalog tables -------------------------------------------------------------------------

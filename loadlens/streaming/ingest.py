@@ -1,8 +1,8 @@
 """Continuous ingest: payload files in, records, dead letters and summary states out.
 
-One micro-batch is analysed once and feeds three tables.  All three are written before any is published.  Each write is
-keyed by the batch number and replaces itself when the batch is repeated, so a restart neither loses nor doubles rows.  Late rows
-need no watermark: they add one more partial state, which reading merges.
+One micro-batch is analysed once and feeds three tables, one after the other: a reader in between sees records whose
+summary follows.  Each write is keyed by the batch number and replaces itself when the batch is repeated, so a restart
+neither loses nor doubles rows.  Late rows need no watermark: they add one more partial state, which reading merges.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from loadlens.operators.baselines import trailing_baselines
 from loadlens.operators.records import analyze, split_dead_letters
 from loadlens.operators.scoring import ScoringModel
 from loadlens.operators.summary import summary_states
-from loadlens.sources.tables import publish, read_table, stage_table
+from loadlens.sources.tables import read_table, write_table
 
 
 def utc_now() -> datetime:
@@ -72,9 +72,8 @@ def process_batch(
         records, dead = split_dead_letters(analyzed)
         made = {"records": records, "dead_letters": dead, "summary": summary_states(records)}
         # Written as they come: a few seconds of rows are not worth a shuffle, compaction lays them out.
-        runs = {table: stage_table(rows, table, f"{root}/{table}", spread=False) for table, rows in made.items()}
-        for table, run in runs.items():
-            publish(batch.sparkSession, f"{root}/{table}", run, number)
+        for table, rows in made.items():
+            write_table(rows, table, f"{root}/{table}", number, spread=False)
     finally:
         analyzed.unpersist()
 
@@ -87,9 +86,15 @@ def start_ingest(
     baselines: BaselineCache | None = None,
     every: str = "5 seconds",
     once: bool = False,
+    repeats_within: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Run ``process_batch`` over a stream; ``once`` drains what is there and stops; ``options`` go to ``analyze``."""
+    """Run ``process_batch`` over a stream; ``once`` drains what is there and stops; ``options`` go to ``analyze``.
+
+    ``repeats_within`` drops what a sender delivers again within that delay; the hashes it needs live in the checkpoint.
+    """
+    if repeats_within:
+        payloads = drop_repeats(payloads, repeats_within)
 
     def handle(batch: DataFrame, number: int) -> None:
         current = baselines.current(batch.sparkSession) if baselines else None
