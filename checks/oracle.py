@@ -443,7 +443,7 @@ STORED = {
     "scanned_requests": "record_request", "scanned_plain_responses": "record_response",
     "streamed_responses": "record_response", "streamed_dead_letters": "dlq_count",
     "streamed_summary": "summary_finalized", "tabled_requests": "record_request", "tabled_dead_letters": "dlq_count",
-    "compacted_summary": "summary_finalized",
+    "compacted_summary": "summary_finalized", "delivered_twice": "record_request",
 }
 
 

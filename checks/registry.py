@@ -250,6 +250,7 @@ def queries() -> dict[str, Query]:
     out["streamed_responses"] = stored.streamed("records", lambda r: rounded(view["record_response"](r)))
     out["streamed_dead_letters"] = stored.streamed("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
     out["streamed_summary"] = stored.streamed("summary", lambda s: rounded(_no_sketches(S.finalize_states(s))))
+    out["delivered_twice"] = stored.delivered_twice("records", lambda r: rounded(view["record_request"](r)))
     out["tabled_requests"] = stored.tabled("records", lambda r: rounded(view["record_request"](r)))
     out["tabled_dead_letters"] = stored.tabled("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
     out["compacted_summary"] = stored.compacted_summary(lambda s: rounded(_no_sketches(S.finalize_states(s))))

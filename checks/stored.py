@@ -46,6 +46,20 @@ def streamed(table: str, view: View):
     return query
 
 
+def delivered_twice(table: str, view: View):
+    """A table filled by ingest that removes repeats, from a log whose every request was sent and sent again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, root = _folder(spark), _folder(spark)
+        log = request_log(configure(spark), sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+        for _ in range(2):
+            log.write.mode("append").text(source)
+        start_ingest(stream_payloads(spark, source), root, f"{root}/progress", once=True, repeats_within="1 hour").awaitTermination()
+        return view(tables.read_table(spark, table, f"{root}/{table}"))
+
+    return query
+
+
 def tabled(table: str, view: View):
     """Records or dead letters after a plain write, two batches of which one is repeated, and compaction of all batches."""
 
