@@ -38,6 +38,8 @@ DEPTH = 5
 #: Bytes of text whose grams are counted together, and grams that one numpy call works on.
 CHUNK_BYTES = 32 << 20
 PIECE = 1 << 20
+#: Rows of grams and words that are handed to Spark at a time.
+ROWS = 1 << 16
 DOCS, GRAMS, WORDS = range(3)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -139,24 +141,39 @@ def chunker(schema: pa.Schema, depth: int):
         fields = {"ids": batch.column(0), "held": batch.column(1), "sizes": pa.array(np.diff(ends))}
         yield rows(chunk, DOCS, 1, data=pa.array([pa.compress(pa.py_buffer(data), "zstd", asbytes=True)]), **{
             k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in fields.items()})
-        found = []
+        found, size, most = [], 0, 2 * PIECE
         for keys, owner, _, lengths in gram_pieces(data, ends, depth):
             piece = pc.dictionary_encode(pa.array(keys))
             index = piece.indices.to_numpy()[np.repeat(train[owner], lengths)]
             found.append((piece.dictionary.to_numpy(), np.bincount(index, minlength=len(piece.dictionary))))
-        merged = pc.dictionary_encode(pa.array(np.concatenate([f[0] for f in found])))
-        grams = merged.dictionary.to_numpy()
-        times = np.bincount(merged.indices.to_numpy(), np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
+            size += len(found[-1][0])
+            if size > most:
+                found = [merged(found)]
+                size = len(found[0][0])
+                most = size + 2 * PIECE
+        grams, times = merged(found)
         order = np.argsort(grams)
         grams, times = grams[order], times[order]
-        del found, merged, order
+        del found, order
         give_back()
-        yield rows(chunk, GRAMS, len(grams), gram=pa.array(grams), n=pa.array(times))
+        yield from batches_of(chunk, GRAMS, gram=pa.array(grams), n=pa.array(times))
+        del grams, times
         words, counts, _ = counted_words(texts, train)
-        yield rows(chunk, WORDS, len(words), word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
+        yield from batches_of(chunk, WORDS, word=words, at=pa.array(np.arange(len(words))), n=pa.array(counts))
         del words, counts, texts, data
         give_back()
 
+    def merged(found):
+        once = pc.dictionary_encode(pa.array(np.concatenate([f[0] for f in found])))
+        times = np.bincount(once.indices.to_numpy(), np.concatenate([f[1] for f in found]), len(once.dictionary))
+        return once.dictionary.to_numpy(), times.astype(np.int64)
+
+    def batches_of(chunk, kind, **columns):
+        # Millions of rows in one batch would lie in the worker and, once more, in the executor's own memory.
+        for begin in range(0, len(columns["n"]), ROWS):
+            part = {name: column.slice(begin, ROWS) for name, column in columns.items()}
+            yield rows(chunk, kind, len(part["n"]), **part)
+
     def rows(chunk, kind, size, **columns):
         values = {"chunk": pa.array(np.full(size, chunk, np.int64)), "kind": pa.array(np.full(size, kind, np.int64))} | columns
         return pa.RecordBatch.from_arrays(
