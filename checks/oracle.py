@@ -201,6 +201,9 @@ def record_views() -> dict[str, str]:
                          f"stress_cost_indicator_count, array_to_string({NAMES}, ',') AS names, bonus_keys FROM records",
         "record_msearch": f"SELECT {_WHO}, msearch_batch_size, request_target, request_template, response_hits FROM records "
                           "WHERE request_operation = '_msearch'",
+        "record_msearch_ids": "SELECT g.\"timestamp\", g.path AS request_path, g.client_host AS identity_client_host, "
+                              "CAST(p.sub AS INT) AS msearch_sub_query_index, left(sha256(concat_ws(chr(1), CAST(g.event_time AS VARCHAR), "
+                              "g.client_host, g.path, g.request_body)), 12) AS msearch_request_id FROM good g JOIN pairs p USING (event_id)",
         "msearch_parents": "SELECT request_operation, CAST(sum(request_size_bytes) AS BIGINT) AS request_bytes, count(*) AS requests "
                            "FROM records WHERE msearch_sub_query_index = 0 GROUP BY 1",
     }
@@ -250,6 +253,9 @@ def summaries() -> dict[str, str]:
     }
 
 
+_FEEDBACK = "TIMESTAMP '2024-01-10 12:00:00'"
+
+
 def baselines() -> dict[str, str]:
     queries = "request_operation IN ('_search', '_msearch', '_count')"
     usable = "CASE WHEN {0} > 0 THEN {0} END"
@@ -270,9 +276,42 @@ def baselines() -> dict[str, str]:
         "scored_asof": f", {ticks} SELECT {OP}, round(sum(round({took_w} * ({TOOK} / coalesce(baseline_took_ms, 100.0)), 4)), 2) AS took, "
                        f"round(sum(round({shards_w} * (response_shards_total / coalesce(baseline_shards_total, 5.0)), 4)), 2) AS shards, count(*) AS n "
                        "FROM records LEFT JOIN ticks ON tick = date_trunc('minute', \"timestamp\") GROUP BY 1",
+        "scored_by_feedback": f", b AS (SELECT {took} AS b_took, {shards} AS b_shards FROM records WHERE \"timestamp\" >= {_FEEDBACK} - INTERVAL 1 HOUR "
+                              f"AND \"timestamp\" < {_FEEDBACK} AND {queries}) SELECT {OP}, "
+                              f"round(sum(round({took_w} * ({TOOK} / CASE WHEN \"timestamp\" >= {_FEEDBACK} THEN coalesce(b_took, 100.0) ELSE 100.0 END), 4)), 2) AS took, "
+                              f"round(sum(round({shards_w} * (response_shards_total / CASE WHEN \"timestamp\" >= {_FEEDBACK} THEN coalesce(b_shards, 5.0) ELSE 5.0 END), 4)), 2) AS shards, "
+                              "count(*) AS n FROM records CROSS JOIN b GROUP BY 1",
+    }
+
+
+def storage() -> dict[str, str]:
+    """Streams and tables whose answer differs from that over the plain log."""
+    request = record_views()["record_request"]
+    return {
+        # The watermark stands ten days before the newest request that did not fail; failed ones come after it is set.
+        "live_hours": ", w AS (SELECT max(\"timestamp\") FILTER (response_status < 400) - INTERVAL 10 DAY AS mark FROM records) "
+                      f"SELECT {HOUR} AS time_bucket, {OP}, cluster_name, count(*) AS count, round(sum(stress_score), 7) AS sum_score, "
+                      f"round(avg(stress_score), 7) AS avg_score FROM records, w WHERE response_status < 400 OR {HOUR} + INTERVAL 1 HOUR > mark GROUP BY ALL",
+        "mixed_versions": f"SELECT {OP}, count(*) AS n, 0::BIGINT AS not_default, 0::BIGINT AS missing FROM records GROUP BY 1",
+        "retained_requests": f"{request} WHERE \"timestamp\" > TIMESTAMP '2024-01-17 10:30:00'",
+        # Whole days only: the day that the border falls on stays.
+        "catalogued_requests": f"{request} WHERE \"timestamp\" >= TIMESTAMP '2024-01-15'",
     }
 
 
+def batches() -> str:
+    turn = "SELECT conv_id, turn, {slot} AS slot, {method} AS method, {path} AS path, {digest} AS digest, {error} AS scan_error FROM conversations WHERE {where}"
+    none = {"method": "NULL", "path": "NULL", "digest": "NULL"}
+    user = "role IS NULL OR role NOT IN ('assistant', 'system')"
+    return " UNION ALL ".join(turn.format(**part) for part in (
+        {"slot": "0", "method": "'POST'", "path": "'/' || role || '/_search'", "digest": "md5(text)", "error": "NULL", "where": user},
+        {"slot": "1", **none, "error": "'non-object item'", "where": user},
+        {"slot": "2", **none, "path": "'/odd'", "error": "'identity header is not a string'", "where": user},
+        {"slot": "NULL::INT", **none, "error": "'unparseable payload'", "where": "role = 'system'"},
+        {"slot": "NULL::INT", **none, "error": "'expected JSON array'", "where": "role = 'assistant'"},
+    ))
+
+
 # -- metric samples -------------------------------------------------------------------------
 
 _COLUMNS = ("cluster", "instance", "reason", "status", "handler", "le", "plugin", "type", "gc")
@@ -448,7 +487,7 @@ STORED = {
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: with_records(sql) for name, sql in {**record_panels(), **record_views(), **filtered(), **ranges(), **summaries(), **baselines()}.items()}
+    out = {name: with_records(sql) for name, sql in {**record_panels(), **record_views(), **filtered(), **ranges(), **summaries(), **baselines(), **storage()}.items()}
     # What went through files, streams or tables must come back as the same records.
     out |= {name: out[same] for name, same in STORED.items()}
-    return {**out, **health(), **latency(), **bodies()}
+    return {**out, **health(), **latency(), **bodies(), "array_batches": batches()}

@@ -82,6 +82,7 @@ RECORD_VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "record_stress": _stress,
     "record_msearch": lambda r: r.where("request_operation = '_msearch'").select(
         *_WHO, "msearch_batch_size", "request_target", "request_template", "response_hits"),
+    "record_msearch_ids": lambda r: r.where("request_operation = '_msearch'").select(*_WHO, "msearch_request_id"),
     "msearch_parents": lambda r: dedupe_msearch(r).groupBy("request_operation").agg(
         F.sum("request_size_bytes").alias("request_bytes"), F.count(F.lit(1)).alias("requests")),
 }
@@ -169,11 +170,23 @@ def _scored_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = request_log(configure(spark), sf_dir)
     ticks = B.asof_baselines(build_records(log, decompress=False))
     scored = build_records(log, baselines=ticks, decompress=False)
+    return _took_and_shards(scored)
+
+
+def _took_and_shards(scored: DataFrame) -> DataFrame:
     return rounded(scored.groupBy("request_operation").agg(
         F.sum("stress_components_took").alias("took"), F.sum("stress_components_shards").alias("shards"),
         F.count(F.lit(1)).alias("n")), 2)
 
 
+def _late_columns(r: DataFrame) -> DataFrame:
+    """What columns that older files lack hold now: a default in old rows, their values in new ones."""
+    zero = F.col("from_old") & (F.col("request_bulk_doc_count") != 0)
+    return r.groupBy("request_operation").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(zero).alias("not_default"),
+        F.count_if(F.col("request_bulk_doc_count").isNull() | F.col("stress_components_bulk_doc_count").isNull()).alias("missing"))
+
+
 # -- compressed bodies ----------------------------------------------------------------------
 
 
@@ -251,6 +264,12 @@ def queries() -> dict[str, Query]:
     out["streamed_dead_letters"] = stored.streamed("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
     out["streamed_summary"] = stored.streamed("summary", lambda s: rounded(_no_sketches(S.finalize_states(s))))
     out["delivered_twice"] = stored.delivered_twice("records", lambda r: rounded(view["record_request"](r)))
+    out["live_hours"] = lambda spark, sf_dir: rounded(stored.live("10 days")(spark, sf_dir))
+    out["scored_by_feedback"] = stored.scored_by_feedback(_AT, _took_and_shards)
+    out["mixed_versions"] = stored.mixed_versions(_late_columns)
+    out["retained_requests"] = stored.retained(_NOW, lambda r: rounded(view["record_request"](r)))
+    out["catalogued_requests"] = stored.catalogued(_NOW, 5, lambda r: rounded(view["record_request"](r)))
+    out["array_batches"] = stored.array_batches
     out["tabled_requests"] = stored.tabled("records", lambda r: rounded(view["record_request"](r)))
     out["tabled_dead_letters"] = stored.tabled("dead_letters", C.DEAD_LETTER_PANELS["dlq_count"])
     out["compacted_summary"] = stored.compacted_summary(lambda s: rounded(_no_sketches(S.finalize_states(s))))

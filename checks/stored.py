@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loadlens.operators import summary as S
 from loadlens.operators.records import analyze, build_records, split_dead_letters
 from loadlens.session import configure, shared_dir
+from loadlens.schema import LATE_RECORD_COLUMNS
 from loadlens.sources import tables
-from loadlens.sources.payloads import read_payloads, stream_payloads
+from loadlens.sources.payloads import explode_batches, read_payloads, stream_payloads
 from loadlens.sources.request_log import request_log
-from loadlens.streaming.ingest import start_ingest
+from loadlens.streaming.ingest import BaselineCache, read_live_summary, start_ingest, start_live_summary
 
 View = Callable[[DataFrame], DataFrame]
 
@@ -91,3 +92,101 @@ def compacted_summary(view: View):
         return view(tables.read_table(spark, "summary", path))
 
     return query
+
+
+def _deliver(log: DataFrame, folder: str) -> None:
+    log.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+
+
+def live(late: str):
+    """Hours of a stream whose failed requests arrive after all others: those later than the watermark are dropped."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, root = _folder(spark), _folder(spark)
+        log = request_log(configure(spark), sf_dir)
+        failed = F.coalesce(F.col("response_status").cast("string").try_cast("bigint"), F.lit(0)) >= 400
+        for part in (log.where(~failed), log.where(failed)):
+            _deliver(part, source)
+            records = build_records(stream_payloads(spark, source), decompress=False)
+            start_live_summary(records, f"{root}/hours", f"{root}/progress", late, once=True).awaitTermination()
+        return read_live_summary(spark, f"{root}/hours")
+
+    return query
+
+
+def scored_by_feedback(at, view: View):
+    """Records of a stream in two deliveries; the second, from ``at`` on, is scored by medians of what the first left."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, root = _folder(spark), _folder(spark)
+        log = request_log(configure(spark), sf_dir)
+        before = F.col("event_time").cast("timestamp_ntz") < F.lit(at).cast("timestamp_ntz")
+        for part in (log.where(before), log.where(~before)):
+            _deliver(part, source)
+            cache = BaselineCache(f"{root}/records", ttl=0, now=lambda: at)
+            start_ingest(stream_payloads(spark, source), root, f"{root}/progress", baselines=cache, once=True).awaitTermination()
+        return view(tables.read_table(spark, "records", f"{root}/records"))
+
+    return query
+
+
+def mixed_versions(view: View):
+    """A table whose older batch was written before some columns existed, and whose newer one came with an unknown column."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        made = build_records(request_log(configure(spark), sf_dir), decompress=False)
+        old = F.pmod(F.xxhash64("timestamp", "request_path"), F.lit(2)) == 0
+        aged = tables.with_partition(made.where(old), "records").drop(*LATE_RECORD_COLUMNS)
+        aged.write.partitionBy("day").parquet(f"{path}/batch=0")
+        tables.write_table(made.where(~old).withColumn("not_in_schema", F.lit(1)), "records", path, batch=1, options={"compression": "snappy"})
+        return view(tables.read_table(spark, "records", path).withColumn("from_old", old))
+
+    return query
+
+
+def retained(now, view: View):
+    """Rows that retention leaves: whole days go first, the rest of a day is hidden on read."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        tables.write_table(build_records(request_log(configure(spark), sf_dir), decompress=False), "records", path, batch=0)
+        tables.drop_expired(spark, "records", path, now)
+        return view(tables.apply_retention(tables.read_table(spark, "records", path), "timestamp", tables.RAW_DAYS, now))
+
+    return query
+
+
+def catalogued(now, days: int, view: View):
+    """Records in a catalogue table, the days that the catalogue says are expired dropped; made twice, which changes nothing."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        database = f"loadlens_{uuid.uuid4().hex}"
+        made = build_records(request_log(configure(spark), sf_dir), decompress=False)
+        for _ in range(2):
+            tables.create_tables(spark, database, skip=("summary",), options=tables.parse_options("compression=zstd"))
+        tables.insert(made.withColumn("not_in_schema", F.lit(1)), database, "records")
+        tables.expire_partitions(spark, database, "records", now, days)
+        return view(spark.table(f"{database}.records"))
+
+    return query
+
+
+def array_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation sent as a JSON array of a request, a bare string, and a request with a wrong header.
+
+    A system turn is sent without the closing bracket, and so is no JSON at all; an assistant's is an object, not an array.
+    """
+    turns = configure(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    request = F.struct(F.lit("POST").alias("method"), F.concat(F.lit("/"), "role", F.lit("/_search")).alias("path"), F.col("text").alias("request_body"))
+    odd = F.struct("text", F.struct(F.lit(1).alias("user-agent")).alias("headers"), F.lit("/odd").alias("path"))
+    first = F.to_json(request)
+    bare = F.regexp_replace(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r'^\{"t":(.*)\}$', "$1")
+    value = (
+        F.when(F.col("role") == "assistant", first)
+        .when(F.col("role") == "system", F.concat(F.lit("["), first))
+        .otherwise(F.concat(F.lit("["), F.concat_ws(",", first, bare, F.to_json(odd)), F.lit("]")))
+    )
+    opened = explode_batches(turns.select("conv_id", "turn", value.alias("value")))
+    return opened.select("conv_id", "turn", F.col("slot").cast("int").alias("slot"), "method", "path",
+                         F.md5(F.encode("request_body", "UTF-8")).alias("digest"), "scan_error")

@@ -14,12 +14,11 @@ _ACTION_SCHEMA = ", ".join(f"{name} struct<_index: string>" for name in BULK_ACT
 
 _METRICS = "took variant, hits struct<total: variant>, _shards variant"
 # Only the named parts are materialised; the parser skips the documents a search returns.
-RESPONSE_SCHEMA = (
-    f"{_METRICS}, updated variant, deleted variant, "
-    "items array<map<string, struct<_index: string, _shards: struct<total: bigint>>>>, "
-    "responses array<struct<took: variant, hits: struct<total: variant>, _shards: variant>>, "
-    "_mismatch string"
-)
+# Parts of a response that only one operation has; elsewhere keys of these names are not looked at.
+_PARTS = {
+    "_bulk": ("items", "array<map<string, struct<_index: string, _shards: struct<total: bigint>>>>"),
+    "_msearch": ("responses", "array<struct<took: variant, hits: struct<total: variant>, _shards: variant>>"),
+}
 
 
 def single_value(text: Column) -> Column:
@@ -108,10 +107,25 @@ def requested_size(document: Column) -> Column:
 
 # -- responses ------------------------------------------------------------------------------
 
-def response_document(text: Column) -> Column:
+def response_document(text: Column, operation: Column) -> Column:
+    """Response as one struct for all operations, read by what the operation has; ``_mismatch`` if a part has another shape."""
     body = F.btrim(text, F.lit(" \t\r\n"))
     whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & single_value(body), body)
-    return F.from_json(whole, RESPONSE_SCHEMA, {"columnNameOfCorruptRecord": "_mismatch"})
+
+    def read(part: str = "", kind: str = "") -> Column:
+        own = f"{part} {kind}, " if part else ""
+        parsed = F.from_json(
+            whole, f"{_METRICS}, updated variant, deleted variant, {own}_mismatch string", {"columnNameOfCorruptRecord": "_mismatch"})
+        # The lambda names the parsed value, so that it is parsed once for all fields.
+        shaped = F.transform(F.array(parsed), lambda r: F.struct(
+            *[r[n].alias(n) for n in ("took", "hits", "_shards", "updated", "deleted", "_mismatch")],
+            *[(r[n] if n == part else F.lit(None).cast(t)).alias(n) for n, t in _PARTS.values()]))
+        return F.get(shaped, F.lit(0))
+
+    out = None
+    for name, part in _PARTS.items():
+        out = F.when(operation == name, read(*part)) if out is None else out.when(operation == name, read(*part))
+    return out.otherwise(read())
 
 
 def _number(value: Column, path: str = "$", kind: str = "bigint") -> Column:

@@ -45,7 +45,7 @@ def _parsed_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     plain = ~operation.isin("_bulk", "_msearch")
     # Lines are split in a step of their own: the folds refer to them many times.
     return {"rows": F.when(~plain, lines(F.col("request_body")))}, {
-        "response": bodies.response_document(F.col("response_body")),
+        "response": bodies.response_document(F.col("response_body"), operation),
         "document": F.when(plain, json_document(F.col("request_body"))),
         "bulk": F.when(operation == "_bulk", bodies.bulk_lines(F.col("rows"))),
         "pairs": F.when(operation == "_msearch", bodies.msearch_pairs(F.col("rows"))),

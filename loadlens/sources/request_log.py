@@ -77,7 +77,7 @@ _BULK_RESPONSE = """'{"items":[' || repeat('{"index":{"_index":"orders-a","_shar
 
 _SEARCH_RESPONSE = """'{"_shards":{"total":' || shards || '},"hits":{"hits":[{"_id":"1"}],"total":{"relation":"'
   || CASE WHEN hits >= 10000 THEN 'gte' ELSE 'eq' END || '","value":'
-  || CAST(CASE WHEN hits >= 10000 THEN 10000 ELSE hits END AS STRING) || '}},"took":' || took || '}'"""
+  || CAST(CASE WHEN hits >= 10000 THEN 10000 ELSE hits END AS STRING) || '}},"took":' || took || CASE WHEN k % 9 = 4 THEN ',"items":"none","responses":3' ELSE '' END || '}'"""
 
 _REQUEST_BODY = """CASE event_type
   WHEN 'view' THEN @SEARCH

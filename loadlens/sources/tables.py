@@ -211,6 +211,30 @@ def compact_summary(spark: SparkSession, path: str, closed: int) -> str | None:
 
 # -- catalog tables -------------------------------------------------------------------------
 
+def insert(df: DataFrame, database: str, table: str) -> None:
+    """Append to a catalogue table: columns by name, unknown ones dropped, missing ones NULL."""
+    rows = with_partition(align_schema(df, LAYOUT[table][0]), table)
+    name = f"{database}.{table}"
+    rows.select(*df.sparkSession.table(name).columns).write.insertInto(name)
+
+
+def expire_partitions(spark: SparkSession, database: str, table: str, now: datetime, days: int | None = None) -> list[date]:
+    """Drop partitions of a catalogue table whose every row is older than the retention, by the catalogue alone."""
+    column = LAYOUT[table][2]
+    limit = now - timedelta(days=days if days is not None else SUMMARY_DAYS if table == "summary" else RAW_DAYS)
+    gone = []
+    # One row a partition: days or months.
+    for row in spark.sql(f"SHOW PARTITIONS {database}.{table}").collect():
+        value = row["partition"].partition("=")[2]
+        if "__HIVE" in value:
+            continue
+        start = date.fromisoformat(value)
+        if datetime.combine(_end(start, column), datetime.min.time()) <= limit:
+            spark.sql(f"ALTER TABLE {database}.{table} DROP IF EXISTS PARTITION ({column} = DATE '{value}')")
+            gone.append(start)
+    return sorted(gone)
+
+
 def create_tables(
     spark: SparkSession, database: str, skip: Sequence[str] = (), options: Mapping[str, str] | None = None
 ) -> list[str]:

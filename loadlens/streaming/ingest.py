@@ -126,3 +126,31 @@ def live_summary(records: DataFrame, late: str = "2 hours") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("count"), F.sum("stress_score").alias("sum_score"), F.avg("stress_score").alias("avg_score"))
         .select(F.col("w.start").cast("timestamp_ntz").alias("time_bucket"), "request_operation", "cluster_name", "count", "sum_score", "avg_score")
     )
+
+
+_LIVE_KEYS = ("time_bucket", "request_operation", "cluster_name")
+
+
+def start_live_summary(
+    records: DataFrame, path: str, checkpoint: str, late: str = "2 hours", every: str = "5 seconds", once: bool = False,
+) -> StreamingQuery:
+    """Keep ``live_summary`` of a stream of records under ``path``; ``once`` drains what is there and stops.
+
+    Hours that changed are written again with every micro-batch, each batch in a folder of its own that a repeated batch
+    replaces; the state store holds hours that are still open.  A row whose hour ended more than ``late`` before the
+    newest row of earlier batches is dropped.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = live_summary(records, late).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def read_live_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of every hour, closed or open."""
+    found = spark.read.parquet(path)
+    numbers = [c for c in found.columns if c not in (*_LIVE_KEYS, "batch")]
+    latest = F.max_by(F.struct(*numbers), F.col("batch").cast("long")).alias("latest")
+    return found.groupBy(*_LIVE_KEYS).agg(latest).select(*_LIVE_KEYS, "latest.*")

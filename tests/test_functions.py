@@ -267,7 +267,7 @@ def test_msearch_pairs(spark):
 
 def test_responses(spark):
     def one(text, operation="_search"):
-        df = spark.createDataFrame([(text,)], "v string").withColumn("r", B.response_document(F.col("v")))
+        df = spark.createDataFrame([(text,)], "v string").withColumn("r", B.response_document(F.col("v"), F.lit(operation)))
         r = F.col("r")
         return tuple(df.select(
             B.took_ms(r).alias("a"), B.hits(r).alias("b"), B.hits_lower_bound(r).alias("c"), B.shards_total(r).alias("d"),
@@ -286,7 +286,7 @@ def test_responses(spark):
 def test_bulk_shards_take_the_first_count_of_each_index(spark):
     items = [("i1", 0), ("i1", 2), ("i1", 5), ("i2", 3), ("", 9), (None, 9)]
     text = json.dumps({"items": [{"index": {"_index": i, "_shards": {"total": n}}} for i, n in items]})
-    df = spark.createDataFrame([(text,)], "v string").withColumn("r", B.response_document(F.col("v")))
+    df = spark.createDataFrame([(text,)], "v string").withColumn("r", B.response_document(F.col("v"), F.lit("_bulk")))
     assert df.select(B.bulk_shards_total(F.col("r")["items"])).first()[0] == 5
 
 

@@ -150,6 +150,16 @@ def test_bad_requests_become_dead_letters(spark, payload, error):
     assert [d.error for d in letter] == [error] and json.loads(letter[0].raw)["method"] == "POST"
 
 
+def test_parts_of_other_operations_are_not_looked_at(spark):
+    odd = {"took": 7, "items": "none", "responses": [3]}
+    given = [{"response_body": odd}, {"path": "/shop/_count", "response_body": odd},
+             {"path": "/_bulk", "request_body": BULK, "response_body": {"took": 7, "items": [{"index": {}}], "responses": 5}},
+             {"path": "/_msearch", "request_body": "{}\n{}\n", "response_body": {"items": 5, "responses": [{"took": 7}]}}]
+    got = build_records(frame(spark, *given)).collect()
+    assert [(r.request_operation, r.response_es_took_ms, r.response_docs_affected) for r in sorted(got, key=lambda r: r.request_operation)] == [
+        ("_bulk", 7.0, 1), ("_count", 7.0, 0), ("_msearch", 7.0, 0), ("_search", 7.0, 0)]
+
+
 def test_the_model_can_be_reweighted(spark):
     model = ScoringModel(baselines=Baselines(took_ms=50), formulas=(Formula(("_search",), {"took": 1.0}),)).with_thresholds(excessive_bool=2)
     r = build_records(frame(spark, {"request_body": bool_body(3)}), model=model).first()

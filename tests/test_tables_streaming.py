@@ -11,7 +11,9 @@ from loadlens.plans.filters import Filters
 from loadlens.schema import RECORD
 from loadlens.sources import tables
 from loadlens.sources.payloads import read_payloads, stream_payloads
-from loadlens.streaming.ingest import BaselineCache, drop_repeats, live_summary, process_batch, start_ingest
+from loadlens.streaming.ingest import (
+    BaselineCache, drop_repeats, live_summary, process_batch, read_live_summary, start_ingest, start_live_summary,
+)
 
 HOUR = datetime(2024, 3, 1, 10)
 
@@ -178,6 +180,41 @@ def test_live_summary(spark, folder):
     assert {r.time_bucket.hour: r["count"] for r in spark.table("live").collect()} == {10: 2, 11: 1}
 
 
+def test_live_hours_take_late_rows_until_the_watermark(spark, folder):
+    def deliver(name, rows):
+        put(f"{folder}/in", name, rows)
+        records = build_records(stream_payloads(spark, f"{folder}/in"), decompress=False)
+        assert start_live_summary(records, f"{folder}/live", f"{folder}/check", "2 hours", once=True).awaitTermination(120)
+        return {r.time_bucket.hour: (r["count"], r["sum_score"] > 0) for r in read_live_summary(spark, f"{folder}/live").collect()}
+
+    assert deliver("a", [payload(1), payload(70), payload(200)]) == {10: (1, True), 11: (1, True), 13: (1, True)}
+    # The watermark is 11:20: the hour from 10 is closed, the one from 11 still counts.
+    assert deliver("b", [payload(2), payload(80), payload(190)]) == {10: (1, True), 11: (2, True), 13: (2, True)}
+
+
+def test_a_stream_scores_by_what_it_wrote(spark, folder):
+    cache = BaselineCache(f"{folder}/out/records", ttl=0, now=lambda: HOUR + timedelta(minutes=30))
+    for name, rows in (("a", [payload(1, 20), payload(2, 200), payload(3, 80)]), ("b", [payload(31, 160)])):
+        put(f"{folder}/in", name, rows)
+        assert start_ingest(
+            stream_payloads(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/check", baselines=cache, once=True).awaitTermination(120)
+    took = {r.timestamp.minute: r.stress_components_took for r in tables.read_table(spark, "records", f"{folder}/out/records").collect()}
+    # Static baseline of 100 ms at first, then the median 80 ms of the first batch.
+    assert took == pytest.approx({1: 0.1, 2: 1.0, 3: 0.4, 31: 1.0})
+
+
+def test_catalogue_tables_take_rows_and_drop_days(spark, folder):
+    put(f"{folder}/in", "a", [payload(0), payload(60 * 24 * 2), payload(60 * 24 * 5)])
+    records = build_records(read_payloads(spark, f"{folder}/in"))
+    tables.create_tables(spark, "kept_days", skip=("summary", "dead_letters"))
+    tables.insert(records.withColumn("surplus", F.lit(1)), "kept_days", "records")
+    now = HOUR + timedelta(days=5)
+    assert tables.expire_partitions(spark, "kept_days", "records", now) == [date(2024, 3, 1)]
+    assert tables.expire_partitions(spark, "kept_days", "records", now) == []
+    assert sorted(r.day.day for r in spark.table("kept_days.records").select("day").collect()) == [3, 6]
+    spark.sql("DROP DATABASE kept_days CASCADE")
+
+
 def test_retention(spark, folder):
     put(f"{folder}/in", "a", [payload(0), payload(60 * 24 * 2), payload(60 * 24 * 5)])
     process_batch(read_payloads(spark, f"{folder}/in"), 0, f"{folder}/out")
