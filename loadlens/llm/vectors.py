@@ -7,11 +7,12 @@ robust pruning; adjacency lists of a node are united over its shards.  Every nod
 the medoid, and expands from all nodes within a slack of the range until nothing new is found.  What is found is verified
 in double precision.
 
-Recall is audited against brute force: blocks of nodes, in the order of a hash, are compared with all vectors until
-``enough`` of them have a neighbour, or none is left.  Below ``goal`` another graph on shards of another seed adds its
-links; if ``tries`` graphs do not reach it, the blocks go on through all nodes, and the result is exact.  So it is where
-near pairs are too rare to tell: no pair seen proves nothing before all nodes are asked.  This costs time with the square
-of the nodes, but lists no pairs.
+Recall is audited against brute force in one job: ``AUDITED`` nodes, the first in the order of a hash, are compared with
+all vectors.  The links returned are the graphs'.  Below ``goal``, or where fewer than ``enough`` of the audited nodes have
+a neighbour and the audit so proves little, another graph on shards of another seed adds its links.  A recall measured on
+too few nodes after that is returned as unproven.  Where ``tries`` graphs are shown to fall short of the goal, as in a group
+of near vectors larger than a shard, the nodes are compared with all others in blocks, and the result is exact; this costs
+time with the square of the nodes, but lists no pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing.  Vectors of different lengths
 do not link.  Rows with equal ids are separate vectors.  A null id counts as larger than every id.  An empty table gives an
@@ -30,8 +31,8 @@ from loadlens.llm.common import components, cut, table
 
 LAST = (1 << 63) - 1
 SAMPLE = 4096
-#: Nodes of the first block of the audit, of the largest, and bytes of vectors that a block may have.
-AUDITED, LARGEST, ASKED_BYTES = 256, 16_384, 32 << 20
+#: Nodes of the audit, of the largest block of the exact comparison, and bytes of vectors that a block may have.
+AUDITED, LARGEST, ASKED_BYTES = 1024, 16_384, 32 << 20
 #: Up to this many centroid rows are broadcast; beyond it they are joined by shard.
 BROADCAST_SHARDS = 2048
 
@@ -269,12 +270,13 @@ def graph_links(shards: DataFrame, limit: float, degree: int = 16, candidates: i
 class Recall(float):
     """Audited recall, with the number of nodes compared with all others, those of them that have a neighbour, and their pairs.
 
-    1.0 of no pair says something only if all nodes were asked.
+    ``proven`` is false where too few audited nodes have a neighbour to tell; 1.0 of no pair says nothing then.
     """
 
     asked: int
     linked: int
     pairs: int
+    proven: bool
 
 
 def stars(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,13 +352,13 @@ def compared(nodes: DataFrame, asked: DataFrame, limit: float) -> DataFrame:
 
 
 class Audit:
-    """Brute force for a growing share of the nodes, in the order of a hash: each block is compared with all nodes."""
+    """Brute force for a share of the nodes, in the order of a hash: each block is compared with all nodes."""
 
     def __init__(self, nodes: DataFrame, limit: float):
         self.nodes, self.limit = nodes, limit
         self.total, wide = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("unit")), F.lit(1))).first()
         self.block = max(256, min(LARGEST, ASKED_BYTES // (8 * wide)))
-        self.next, self.done, self.asked, self.seen = AUDITED, 0.0, 0, None
+        self.next, self.done, self.asked, self.seen = min(AUDITED, self.block), 0.0, 0, None
 
     def all_asked(self) -> bool:
         return self.done >= 1 or not self.total
@@ -375,7 +377,7 @@ class Audit:
         return self.seen.where("other is null").groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
 
     def recall(self, links: DataFrame, enough: int) -> Recall:
-        """Recall of ``links`` once ``enough`` asked nodes have neighbours, or all nodes are asked.
+        """Recall of ``links`` over the first block of nodes, proven if ``enough`` of them have neighbours or they are all.
 
         The smaller of two: the share of all pairs, and the mean share of a node's pairs, which a large group of near
         vectors does not settle alone.
@@ -383,18 +385,16 @@ class Audit:
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         known = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "vector-degrees")
         linked, pairs, value = 0, 0, 1.0
-        while True:
-            if self.seen is not None:
-                both = cut(self.counts(), "vector-asked").join(known, "node", "left").select(
-                    "pairs", F.coalesce("found", F.lit(0)).alias("found"))
-                linked, pairs, found, mean = both.agg(
-                    F.count(F.lit(1)), F.sum("pairs"), F.sum("found"), F.avg(F.col("found") / F.col("pairs"))).first()
-                value = min(found / pairs, mean) if linked else 1.0
-            if linked >= enough or self.all_asked():
-                break
+        if self.seen is None and self.total:
             self.ask()
+        if self.seen is not None:
+            both = cut(self.counts(), "vector-asked").join(known, "node", "left").select(
+                "pairs", F.coalesce("found", F.lit(0)).alias("found"))
+            linked, pairs, found, mean = both.agg(
+                F.count(F.lit(1)), F.sum("pairs"), F.sum("found"), F.avg(F.col("found") / F.col("pairs"))).first()
+            value = min(found / pairs, mean) if linked else 1.0
         out = Recall(value)
-        out.asked, out.linked, out.pairs = self.asked, linked, pairs or 0
+        out.asked, out.linked, out.pairs, out.proven = self.asked, linked, pairs or 0, linked >= enough or self.all_asked()
         return out
 
 
@@ -404,7 +404,7 @@ def near_vectors(
 ) -> tuple[DataFrame, Recall]:
     """(one row per vector: id, n_links, component_id, kept; audited recall).
 
-    The recall is that of what is returned; below ``goal``, or with too few pairs to tell, the rows are exact.
+    The recall is that of what is returned.  Rows are the graphs' unless those are shown to stay below ``goal``.
     """
     rows, nodes = nodes_of(vectors, id_, embedding)
     audit, links, recall = Audit(nodes, limit), None, Recall(0.0)
@@ -414,20 +414,22 @@ def near_vectors(
         links = more if links is None else cut(
             links.unionByName(more).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "vector-links")
         recall = audit.recall(links, enough)
-        if recall >= goal or audit.all_asked():
+        # What too few nodes show is not relied on: a second, independent graph adds what the first may have lost.
+        if recall >= goal and (recall.proven or seed > 0):
             break
-    if recall < goal:
+    exact = recall < goal
+    if exact:
         while not audit.all_asked():
             audit.ask()
-    if audit.all_asked() and audit.seen is not None:
-        # Every node has met every other: counts and joins are exact, and the graph is not needed.
+    if exact:
+        # Every node has met every other: counts and joins are exact.
         counts = cut(audit.counts(), "vector-asked")
         linked = counts.select("node", F.col("rows").alias("others"))
         groups = components(
             audit.seen.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector")
         n_linked, n_pairs = counts.agg(F.count(F.lit(1)), F.sum("pairs")).first()
         recall = Recall(1.0)
-        recall.asked, recall.linked, recall.pairs = audit.asked, n_linked, n_pairs or 0
+        recall.asked, recall.linked, recall.pairs, recall.proven = audit.asked, n_linked, n_pairs or 0, True
     else:
         groups = components(links.select("a", "b"), "vector")
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
