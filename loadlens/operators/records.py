@@ -15,7 +15,7 @@ from loadlens.functions.text import MAX_BODY_BYTES, is_truncated, lines, seconds
 from loadlens.operators.baselines import join_baselines
 from loadlens.operators.scoring import DEFAULT_MODEL, QUERY_OPERATIONS, ScoringModel, with_cost_indicators, with_stress
 from loadlens.schema import DEAD_LETTER, RECORD
-from loadlens.session import built_once
+from loadlens.session import built_once, held
 from loadlens.sources.decompression import decompress_bodies
 from loadlens.sources.payloads import clean_payload, recover_text
 
@@ -102,60 +102,54 @@ def _metrics(response: Column) -> dict[str, Column]:
     }
 
 
+def _opens() -> Column:
+    return (F.col("request_operation") == "_msearch") & F.col("error").isNull()
+
+
 @built_once
-def _parts() -> Column:
-    """Records of one request as an array."""
+def _part_columns() -> list[Column]:
+    """What a record takes from its sub-search (``at``, ``pair``) or, where none is opened, from the whole request."""
     operation, response, gateway = F.col("request_operation"), F.col("response"), F.col("response_gateway_took_ms")
-    is_bulk = operation == "_bulk"
-    target = F.col("path_target")
+    is_bulk, opens = operation == "_bulk", _opens()
+    target, pair, at = F.col("path_target"), F.col("pair"), F.col("at")
     single = _metrics(response)
     single["response_es_took_ms"] = F.when(is_bulk & (gateway > 0), gateway).otherwise(single["response_es_took_ms"])
     single["response_shards_total"] = F.when(is_bulk, bodies.bulk_shards_total(response["items"])).otherwise(
         single["response_shards_total"]
     )
-    whole = F.struct(
-        F.lit("").alias("msearch_request_id"),
-        F.lit(0).alias("msearch_batch_size"),
-        F.lit(0).alias("msearch_sub_query_index"),
-        F.when(is_bulk & (target == "_all"), F.array_join(bodies.bulk_targets(F.col("bulk")), ","))
-        .otherwise(target).alias("request_target"),
-        F.col("request_body").alias("body"),
-        F.col("document").alias("query_document"),
-        *[column.alias(name) for name, column in single.items()],
-        bodies.docs_affected(operation, response).alias("response_docs_affected"),
-        F.when(is_bulk, bodies.bulk_doc_count(F.col("bulk"))).otherwise(_big()).alias("request_bulk_doc_count"),
-        F.when(is_bulk, bodies.bulk_template(F.col("bulk"))).alias("bulk_template"),
-    )
     # Deterministic, so that a retried batch yields the same records.
     request_id = F.left(
         F.sha2(F.concat_ws("\u0001", "event_time", "client_host", "path", "request_body").cast("binary"), 256), F.lit(12)
     )
-
-    def sub(pair: Column, at: Column) -> Column:
-        answer = F.get(response["responses"], at)
-        return F.struct(
-            request_id.alias("msearch_request_id"),
-            F.size("pairs").alias("msearch_batch_size"),
-            at.alias("msearch_sub_query_index"),
-            bodies.msearch_target(pair["header"], target).alias("request_target"),
-            F.when(F.regexp_like(pair["text"], F.lit(r"^\{\s*\}$")), F.lit("")).otherwise(pair["text"]).alias("body"),
-            pair["document"].alias("query_document"),
-            *[column.alias(name) for name, column in _metrics(answer).items()],
-            _big().alias("response_docs_affected"),
-            _big().alias("request_bulk_doc_count"),
-            F.lit(None).cast("string").alias("bulk_template"),
-        )
-
-    opens = (operation == "_msearch") & F.col("error").isNull()
-    return F.when(opens, F.transform("pairs", sub)).otherwise(F.array(whole))
+    parts = {
+        "msearch_request_id": (request_id, F.lit("")),
+        "msearch_batch_size": (F.size("pairs"), F.lit(0)),
+        "msearch_sub_query_index": (at, F.lit(0)),
+        "request_target": (
+            bodies.msearch_target(pair["header"], target),
+            F.when(is_bulk & (target == "_all"), F.array_join(bodies.bulk_targets(F.col("bulk")), ",")).otherwise(target),
+        ),
+        "body": (
+            F.when(F.regexp_like(pair["text"], F.lit(r"^\{\s*\}$")), F.lit("")).otherwise(pair["text"]),
+            F.col("request_body"),
+        ),
+        "query_document": (pair["document"], F.col("document")),
+        **{name: (column, single[name]) for name, column in _metrics(F.get(response["responses"], at)).items()},
+        "response_docs_affected": (_big(), bodies.docs_affected(operation, response)),
+        "request_bulk_doc_count": (_big(), F.when(is_bulk, bodies.bulk_doc_count(F.col("bulk"))).otherwise(_big())),
+        "bulk_template": (F.lit(None).cast("string"), F.when(is_bulk, bodies.bulk_template(F.col("bulk")))),
+    }
+    return [F.when(opens, part).otherwise(whole).alias(name) for name, (part, whole) in parts.items()]
 
 
 def fan_out(df: DataFrame) -> DataFrame:
     """One row per record: a multi-search opens into its usable sub-searches, the rest pass through."""
-    return df.select(
+    kind = df.schema["pairs"].dataType
+    pairs = F.when(_opens(), F.col("pairs")).otherwise(F.array(F.lit(None).cast(kind.elementType)))
+    return df.select("*", F.posexplode(pairs).alias("at", "pair")).select(
         "event_time", "method", "path", "headers", "client_host", "cluster_name", "response_status",
         "response_size_bytes", "request_operation", "response_gateway_took_ms", "request_size_bytes", "error", "raw",
-        F.inline(_parts()),
+        *_part_columns(),
     )
 
 
@@ -202,9 +196,8 @@ def _structure_columns(max_body_bytes: int) -> tuple[dict[str, Column], ...]:
 
 def with_structure(df: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Template, clause counts and geo vertices of the query body."""
-    for columns in _structure_columns(max_body_bytes):
-        df = df.withColumns(columns)
-    return df
+    texts, found, out = _structure_columns(max_body_bytes)
+    return held(df.withColumns(texts).withColumns(found), *found).withColumns(out)
 
 
 @built_once
