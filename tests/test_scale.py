@@ -1,5 +1,8 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from loadlens import session
 from loadlens.operators.records import build_records
 from loadlens.schema import PAYLOAD
 
@@ -21,3 +24,21 @@ def test_conditions_do_not_repeat_the_record_job(spark):
         # Clause keys in two parts of the body, its bracket tokens, its vertices.
         assert plan.count("regexp_extract_all") == 4
         assert [tuple(r) for r in kept.collect()] == [("/shop/_search", ["has_wildcard"])]
+
+
+def test_rows_of_one_row_group_reach_all_tasks(spark, folder):
+    rows = 40_000
+    spark.range(rows).coalesce(1).write.parquet(f"{folder}/one")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = spark.read.parquet(f"{folder}/one")
+        assert read.rdd.getNumPartitions() >= 4
+        sizes = [r["count"] for r in session.spread(read).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) >= 4 and max(sizes) < rows / 2 and sum(sizes) == rows
+
+
+def test_tasks_grow_with_the_table(spark):
+    assert session.spread(spark.range(2 * 10**6)).rdd.getNumPartitions() == 20
+    assert session.spread(spark.range(0)).rdd.getNumPartitions() == 4
