@@ -1,9 +1,10 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from loadlens import session
 from loadlens.operators.records import build_records
+from loadlens.plans import panels as P
 from loadlens.schema import PAYLOAD
 
 AT = datetime(2024, 5, 1, 12, 0, 0, 900000)
@@ -42,3 +43,21 @@ def test_rows_of_one_row_group_reach_all_tasks(spark, folder):
 def test_tasks_grow_with_the_table(spark):
     assert session.spread(spark.range(2 * 10**6)).rdd.getNumPartitions() == 20
     assert session.spread(spark.range(0)).rdd.getNumPartitions() == 4
+
+
+def test_bins_from_the_range_look_at_the_rows_once(spark):
+    ends = [AT + timedelta(seconds=s, milliseconds=m) for s, m in ((0, 0), (1, 50), (1, 200), (999, 300), (5000, 0))]
+    rows = spark.createDataFrame(
+        [(t, name, float(i)) for i, t in enumerate(ends) for name in ("a", None, "b")], "timestamp timestamp_ntz, name string, value double")
+    series = P.trend(rows, "name", "avg", "value", None, 2)
+    got = [tuple(r) for r in series.collect()]
+    plan = series._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+    bin_of = lambda t: datetime(1970, 1, 1) + timedelta(seconds=(t - datetime(1970, 1, 1)) // timedelta(seconds=5) * 5)
+    want = {}
+    for i, t in enumerate(ends):
+        for name in (None, "a"):
+            want.setdefault((bin_of(t), name), []).append(float(i))
+    order = sorted(want, key=lambda k: (k[0], k[1] or ""))
+    assert got == [(*k, sum(want[k]) / len(want[k])) for k in order]
+    assert P.trend(rows.limit(0), "name", "avg", "value", None, 2).collect() == []
