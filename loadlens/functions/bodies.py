@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from loadlens.functions.template import display_template, json_document
+from loadlens.functions.template import display_template, json_document, trimmed
 
 # Bulk actions in the order they are looked for.
 BULK_ACTIONS = ("index", "create", "update", "delete")
@@ -60,13 +60,13 @@ def bulk_doc_count(parsed: Column) -> Column:
 def bulk_targets(parsed: Column) -> Column:
     """Distinct index names over all action-like lines, sorted; ['_all'] when none is named."""
     named = F.filter(F.transform(parsed, lambda line: line["index"]), lambda index: index.isNotNull() & (index != ""))
-    found = F.array_sort(F.array_distinct(named))
+    found = F.sort_array(F.array_distinct(named))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("_all")))
 
 
 def bulk_template(parsed: Column) -> Column:
     """Actions and targets as a template, '' when no line names an action."""
-    actions = F.array_sort(F.array_distinct(
+    actions = F.sort_array(F.array_distinct(
         F.filter(F.transform(parsed, lambda line: line["action"]), lambda action: action.isNotNull())
     ))
     text = F.to_json(F.struct(actions.alias("actions"), bulk_targets(parsed).alias("target")))
@@ -107,10 +107,19 @@ def requested_size(document: Column) -> Column:
 
 # -- responses ------------------------------------------------------------------------------
 
+def response_text(text: Column) -> Column:
+    """The one JSON object that a response is, without blanks around it; NULL if it is anything else."""
+    body = trimmed(text)
+    return F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & single_value(body), body)
+
+
 def response_document(text: Column, operation: Column) -> Column:
     """Response as one struct for all operations, read by what the operation has; ``_mismatch`` if a part has another shape."""
-    body = F.btrim(text, F.lit(" \t\r\n"))
-    whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & single_value(body), body)
+    return response_parts(response_text(text), operation)
+
+
+def response_parts(whole: Column, operation: Column) -> Column:
+    """``response_document`` of a ``response_text``, which is best a column of its own: it is named once per operation."""
 
     def read(part: str = "", kind: str = "") -> Column:
         own = f"{part} {kind}, " if part else ""
@@ -171,7 +180,7 @@ def bulk_shards_total(items: Column) -> Column:
     placed = F.transform(results, lambda result, at: F.struct(
         result["_index"].alias("index"), at.alias("at"), result["_shards"]["total"].alias("shards")
     ))
-    counted = F.array_sort(F.filter(placed, lambda r: (r["index"] != "") & (r["shards"] != 0)))
+    counted = F.sort_array(F.filter(placed, lambda r: (r["index"] != "") & (r["shards"] != 0)))
     start = F.struct(F.lit("").alias("index"), F.lit(0).cast("bigint").alias("total"))
     total = F.aggregate(
         counted, start,

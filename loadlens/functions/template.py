@@ -17,6 +17,12 @@ _SPACE = rf'(?s)\G((?:[^",:]++|{STRING})*+)([,:])'
 _BLANK = " \t\r\n"
 
 
+def trimmed(text: Column) -> Column:
+    """Text without JSON's blanks at its ends; trimming walks the whole text, so text that has none is passed on."""
+    bare = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    return F.when(bare, text).otherwise(F.btrim(text, F.lit(_BLANK)))
+
+
 def json_document(text: Column) -> Column:
     """Text as VARIANT, NULL unless it is exactly one JSON object.
 
@@ -24,7 +30,7 @@ def json_document(text: Column) -> Column:
     value: rows of NDJSON or trailing garbage must not pass as a document.  Paths therefore start
     with ``$[0]``.
     """
-    body = F.btrim(text, F.lit(_BLANK))
+    body = trimmed(text)
     is_object = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
     parsed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
     return F.when(is_object, parsed)

@@ -43,9 +43,10 @@ def with_operation(df: DataFrame) -> DataFrame:
 def _parsed_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     operation = F.col("request_operation")
     plain = ~operation.isin("_bulk", "_msearch")
-    # Lines are split in a step of their own: the folds refer to them many times.
-    return {"rows": F.when(~plain, lines(F.col("request_body")))}, {
-        "response": bodies.response_document(F.col("response_body"), operation),
+    # Lines and the response's text are made in a step of their own: what follows refers to them many times.
+    split = {"rows": F.when(~plain, lines(F.col("request_body"))), "response_text": bodies.response_text(F.col("response_body"))}
+    return split, {
+        "response": bodies.response_parts(F.col("response_text"), operation),
         "document": F.when(plain, json_document(F.col("request_body"))),
         "bulk": F.when(operation == "_bulk", bodies.bulk_lines(F.col("rows"))),
         "pairs": F.when(operation == "_msearch", bodies.msearch_pairs(F.col("rows"))),

@@ -1,11 +1,14 @@
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from loadlens import session
+from loadlens.functions.bodies import response_document
 from loadlens.operators.records import build_records
 from loadlens.plans import panels as P
 from loadlens.schema import PAYLOAD
+from loadlens.sources.request_log import log_of_events
 
 AT = datetime(2024, 5, 1, 12, 0, 0, 900000)
 BODY = '{"query":{"bool":{"must":[{"wildcard":{"a":"x*"}},{"terms":{"b":[1,2,3]}}]}}}'
@@ -61,3 +64,26 @@ def test_bins_from_the_range_look_at_the_rows_once(spark):
     order = sorted(want, key=lambda k: (k[0], k[1] or ""))
     assert got == [(*k, sum(want[k]) / len(want[k])) for k in order]
     assert P.trend(rows.limit(0), "name", "avg", "value", None, 2).collect() == []
+
+
+def test_stages_too_large_to_compile_are_not_fused(spark):
+    events = spark.createDataFrame(
+        [(1, AT, 5, "view", 2.5, '{"k": 3}')],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    stages = log_of_events(events)._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [int(re.search(r"\((\d+),", str(stages.apply(i)._3())).group(1)) for i in range(stages.size())]
+    # The JVM interprets methods beyond this size for good, so Spark must be told to leave such stages apart.
+    assert max(sizes) > 8000 and int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_response_text_is_made_once(spark):
+    plan = build_records(frame(spark), decompress=False)._jdf.queryExecution().optimizedPlan().toString()
+    # Whether a text is one value: for a line of a bulk body, and for the response whatever its operation.
+    assert plan.count("lengthOfJsonArray") == 2
+
+
+def test_texts_with_and_without_blanks_are_one_document(spark):
+    for text, took in (('{"took":1}', "1"), (' \t{"took":1}\r\n', "1"), ('{"took":1} ', "1"), ('{"took":1}\n{"a":2}', None),
+                       ("{", None), ("", None), (" ", None), (None, None), ("\u00a0{}", None)):
+        df = spark.createDataFrame([(text,)], "v string").withColumn("r", response_document(F.col("v"), F.lit("_search")))
+        assert df.select(F.to_json("r.took")).first()[0] == took, text
