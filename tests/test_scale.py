@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from checks import registry
 from loadlens import session
 from loadlens.functions.bodies import response_document
 from loadlens.operators.records import build_records
@@ -48,6 +49,18 @@ def test_tasks_grow_with_the_table(spark):
     assert session.spread(spark.range(0)).rdd.getNumPartitions() == 4
 
 
+def test_panels_deal_the_events_over_tasks_of_bounded_rows(spark, folder):
+    spark.range(450_001).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "id % 50 AS user_id", "'view' AS event_type",
+        "1.0D AS value", "'{\"k\": 3}' AS props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    for name in ("base_vs_final", "top_templates", "pie_target", "clause_trends", "summary_states", "flagged_vs_total",
+                 "multiplier_by_application", "trend_target", "indicator_frequency"):
+        plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        # At most 100,000 events a task, so five tasks, wherever a plan reads the events.
+        deals = [line for line in plan.splitlines() if "RoundRobinPartitioning" in line]
+        assert deals and all("RoundRobinPartitioning(5)" in line for line in deals), name
+
+
 def test_bins_from_the_range_look_at_the_rows_once(spark):
     ends = [AT + timedelta(seconds=s, milliseconds=m) for s, m in ((0, 0), (1, 50), (1, 200), (999, 300), (5000, 0))]
     rows = spark.createDataFrame(
