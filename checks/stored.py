@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlens.operators import summary as S
 from loadlens.operators.records import analyze, build_records, split_dead_letters
-from loadlens.session import configure, shared_dir
+from loadlens.session import configure, dropped_shuffles, shared_dir
 from loadlens.schema import LATE_RECORD_COLUMNS
 from loadlens.sources import tables
 from loadlens.sources.payloads import explode_batches, read_payloads, stream_payloads
-from loadlens.sources.request_log import request_log
+from loadlens.sources.request_log import request_log, time_parts
 from loadlens.streaming.ingest import BaselineCache, read_live_summary, start_ingest, start_live_summary
 
 View = Callable[[DataFrame], DataFrame]
@@ -47,15 +47,24 @@ def streamed(table: str, view: View):
     return query
 
 
+#: Events of one delivery, at most: shuffles, held rows and state of a micro-batch grow with them.
+DELIVERY_ROWS = 4_000_000
+
+
 def delivered_twice(table: str, view: View):
-    """A table filled by ingest that removes repeats, from a log whose every request was sent and sent again."""
+    """A table filled by ingest that removes repeats, from a log whose every request was sent and sent again.
+
+    A sender delivers in the order of time, a part of the log at a time and that part again; ingest goes on after each.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         source, root = _folder(spark), _folder(spark)
-        log = request_log(configure(spark), sf_dir).select(F.to_json(F.struct("*")).alias("value"))
-        for _ in range(2):
-            log.write.mode("append").text(source)
-        start_ingest(stream_payloads(spark, source), root, f"{root}/progress", once=True, repeats_within="1 hour").awaitTermination()
+        for part in time_parts(configure(spark), sf_dir, DELIVERY_ROWS):
+            log = request_log(spark, sf_dir, part)
+            with dropped_shuffles(spark):
+                for _ in range(2):
+                    _deliver(log, source, compression="gzip")
+            start_ingest(stream_payloads(spark, source), root, f"{root}/progress", once=True, repeats_within="1 hour").awaitTermination()
         return view(tables.read_table(spark, table, f"{root}/{table}"))
 
     return query
@@ -94,8 +103,8 @@ def compacted_summary(view: View):
     return query
 
 
-def _deliver(log: DataFrame, folder: str) -> None:
-    log.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+def _deliver(log: DataFrame, folder: str, **options) -> None:
+    log.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").options(**options).text(folder)
 
 
 def live(late: str):

@@ -8,7 +8,9 @@ purpose: bodies that are not JSON, sizes that are not numbers, responses of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.schema import PAYLOAD
 from loadlens.session import spread
@@ -170,10 +172,30 @@ LAYERS: tuple[dict[str, str], ...] = (
 CONTENT_LENGTH = "CASE WHEN k % 19 = 0 THEN '' ELSE CAST(length(request_body) AS STRING) END"
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log as payloads, unusable rows already dropped."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return drop_unusable(log_of_events(events))
+def request_log(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
+    """The derived log as payloads, unusable rows already dropped; of the events that meet ``part`` only, if it is given."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return drop_unusable(log_of_events(spread(events if part is None else events.where(part))))
+
+
+def time_parts(spark: SparkSession, sf_dir: str, rows: int) -> list[Column]:
+    """Conditions that part the events in the order of time, about ``rows`` or fewer in each; every event meets exactly one.
+
+    A second is never parted, however many events it has.  An event without a time stands where a stream puts it: now.
+    """
+    second = F.coalesce(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(int(time.time())))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(second.alias("second"))
+    number = -(-events.count() // rows)
+    if number < 2:
+        return [F.lit(True)]
+    shares = [i / number for i in range(1, number)]
+    # One row: the first second, and one second a border.
+    first, borders = events.agg(F.min("second"), F.percentile_approx("second", shares, max(10_000, 100 * number))).first()
+    edges = [None, *sorted({b for b in borders if b > first}), None]
+    return [
+        (F.lit(True) if low is None else second >= low) & (F.lit(True) if high is None else second < high)
+        for low, high in zip(edges, edges[1:])
+    ]
 
 
 def log_of_events(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ neither loses nor doubles rows.  Late rows need no watermark: they add one more
 
 from __future__ import annotations
 
+import contextlib
 import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -21,6 +22,7 @@ from loadlens.operators.baselines import trailing_baselines
 from loadlens.operators.records import analyze, split_dead_letters
 from loadlens.operators.scoring import ScoringModel
 from loadlens.operators.summary import summary_states
+from loadlens.session import dropped_shuffles
 from loadlens.sources.tables import read_table, write_table
 
 
@@ -101,7 +103,10 @@ def start_ingest(
         process_batch(batch, number, root, model, current, **options)
 
     writer = payloads.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    # Whole payloads go through the shuffle that brings repeats together.
+    with dropped_shuffles(payloads.sparkSession) if repeats_within else contextlib.nullcontext():
+        return writer.start()
 
 
 def drop_repeats(payloads: DataFrame, within: str = "10 minutes") -> DataFrame:

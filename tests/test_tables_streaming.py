@@ -1,9 +1,12 @@
 import json
+import os
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry, stored
 from loadlens.operators.records import build_records
 from loadlens.operators.summary import finalize_states
 from loadlens.plans.catalog import pick_source, raw_since, routed_trend
@@ -11,6 +14,7 @@ from loadlens.plans.filters import Filters
 from loadlens.schema import RECORD
 from loadlens.sources import tables
 from loadlens.sources.payloads import read_payloads, stream_payloads
+from loadlens.sources.request_log import time_parts
 from loadlens.streaming.ingest import (
     BaselineCache, drop_repeats, live_summary, process_batch, read_live_summary, start_ingest, start_live_summary,
 )
@@ -148,6 +152,60 @@ def test_ingest_drops_what_is_delivered_twice(spark, folder):
     assert tables.read_table(spark, "summary", f"{root}/summary").agg(F.sum("count_state")).first()[0] == 4
 
 
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name for top in dirs for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+
+def test_ingest_leaves_no_shuffle_of_payloads(spark, folder):
+    put(f"{folder}/in", "a", [payload(i) for i in range(9)] * 2)
+    before = shuffle_files(spark)
+    assert start_ingest(
+        stream_payloads(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/check", once=True, repeats_within="1 hour").awaitTermination(120)
+    assert not shuffle_files(spark) - before
+    assert tables.read_table(spark, "records", f"{folder}/out/records").count() == 9
+
+
+def put_events(spark, folder, moments):
+    rows = [(i, at, i % 50, ("view", "click", "purchase", "signup", "error")[i % 5], 1.0 + i, '{"k": %d}' % (i % 100)) for i, at in enumerate(moments)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    events.write.parquet(f"{folder}/events.parquet")
+
+
+def test_a_log_is_delivered_twice_part_by_part(spark, folder, monkeypatch):
+    put_events(spark, folder, [HOUR + timedelta(minutes=17 * (i * 37 % 120), milliseconds=i) for i in range(120)])
+    roots, parts = [], []
+    folder_of, start = stored._folder, stored.start_ingest
+
+    def started(stream, root, *args, **options):
+        parts.append(spark.read.text(roots[0]).count())
+        return start(stream, root, *args, **options)
+
+    monkeypatch.setattr(stored, "_folder", lambda s: roots.append(folder_of(s)) or roots[-1])
+    monkeypatch.setattr(stored, "start_ingest", started)
+    monkeypatch.setattr(stored, "DELIVERY_ROWS", 60)
+    got = Counter(map(tuple, registry.queries()["delivered_twice"](spark, folder).collect()))
+    want = Counter(map(tuple, registry.queries()["record_request"](spark, folder).collect()))
+    assert got == want and sum(want.values()) > 100
+    # Half of the log with its repeat lands before each of two runs of the stream, in compressed files.
+    assert len(parts) == 2 and all(100 <= b - a <= 140 for a, b in zip([0, *parts], parts))
+    assert all(name.endswith(".gz") for name in os.listdir(roots[0]) if name.startswith("part-"))
+
+
+def test_time_parts_hold_every_event_once(spark, folder):
+    # Many in one second, some without a time, some to come.
+    moments = [HOUR] * 30 + [HOUR + timedelta(seconds=i, milliseconds=999) for i in range(50)] + [None] * 7 + [datetime(2190, 1, 1)] * 13
+    put_events(spark, folder, moments)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    parts = [sorted(r.event_id for r in events.where(part).collect()) for part in time_parts(spark, folder, 20)]
+    assert sorted(i for ids in parts for i in ids) == list(range(100)) and len(parts) >= 4
+    assert [ids for ids in parts if 0 in ids][0][:30] == list(range(30))
+    place = {i: number for number, ids in enumerate(parts) for i in ids}
+    order = sorted(range(100), key=lambda i: moments[i] or datetime(2100, 1, 1))
+    assert [place[i] for i in order] == sorted(place.values())
+    assert len(time_parts(spark, folder, 100)) == 1
+
+
 def test_baseline_cache(spark, folder):
     clock = [0.0]
     cache = BaselineCache(f"{folder}/out/records", ttl=60, now=lambda: HOUR + timedelta(minutes=30), clock=lambda: clock[0])
